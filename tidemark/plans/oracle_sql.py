@@ -227,12 +227,13 @@ VIEWS = {
         count(DISTINCT business_key) AS distinct_businesses,
         CAST(sum(points_earned) AS BIGINT) AS total_points,
         sum(cashback_amount) AS total_cashback,
-        date_diff('day', CAST(max(visit_timestamp) AS DATE), (SELECT
-          CAST(max(visit_timestamp) AS DATE) FROM order_visits)) AS days_since_last_visit,
+        date_diff('day', CAST(max(visit_timestamp) AS DATE), max(now))
+          AS days_since_last_visit,
         CASE WHEN max(visit_timestamp) IS NULL THEN 'never_visited'
           WHEN days_since_last_visit > 30 THEN 'churned' ELSE 'active' END AS churn_status
-      FROM dim_users u LEFT JOIN order_visits v ON u.user_key = v.user_key
-      GROUP BY ALL""",
+      FROM dim_users u LEFT JOIN order_visits v ON u.user_key = v.user_key,
+        (SELECT CAST(max(o_orderdate) AS DATE) AS now FROM orders)
+      GROUP BY 1, 2, 3, 4, 5, 6""",
     "attribution": """
       SELECT event_id AS query_id, 'USER_' || user_id AS user_name,
         event_type AS warehouse_name, ts AS start_time,
@@ -289,7 +290,7 @@ VIEWS = {
         -3.0::DOUBLE - user_id / 100000.0::DOUBLE AS longitude,
         CAST(floor(value) AS BIGINT) % (k + 1) AS free_bikes,
         k - CAST(floor(value) AS BIGINT) % (k + 1) AS empty_slots, k AS total_slots,
-        'Calle ' || user_id AS address,
+        trim(rtrim('Calle ' || user_id || ' , ,,', ',')) AS address,
         event_type <> 'error' AS is_online, event_type AS availability_light,
         CASE k % 4 WHEN 0 THEN date_trunc('second', ts) WHEN 1 THEN date_trunc('second', ts)
           WHEN 2 THEN date_trunc('second', ts) - INTERVAL 2 HOUR END AS api_timestamp,
@@ -869,7 +870,8 @@ _CURATION = {
       FROM c JOIN dim_date ON calendar_date = day""",
     "t06_fee_check": """
       SELECT transaction_id, revenue_amount::DOUBLE AS revenue_amount,
-        CAST((CAST(aum_amount * fee_basis_points * 1000000 AS HUGEINT) + 600000000)
+        CAST((CAST(CAST(aum_amount * fee_basis_points AS DECIMAL(38,6)) * 1000000 AS HUGEINT)
+          + 600000000)
           // 1200000000 AS DOUBLE) / 100 AS expected_fee FROM fact_revenue""",
     "t07_calendar": "SELECT * FROM dim_date",
     "t07_calendar_iso_running": """
@@ -927,11 +929,12 @@ _LOYALTY = {
         count(DISTINCT business_key) AS distinct_businesses,
         CAST(sum(points_earned) AS BIGINT) AS total_points,
         sum(cashback_amount)::DOUBLE AS total_cashback,
-        date_diff('day', CAST(max(visit_timestamp) AS DATE),
-          (SELECT CAST(max(ts) AS DATE) FROM events)) AS days_since_last_visit,
+        date_diff('day', CAST(max(visit_timestamp) AS DATE), max(now))
+          AS days_since_last_visit,
         CASE WHEN max(visit_timestamp) IS NULL THEN 'never_visited'
           WHEN days_since_last_visit > 1 THEN 'churned' ELSE 'active' END AS churn_status
-      FROM dim_users u LEFT JOIN visits v ON u.user_key = v.user_key GROUP BY ALL""",
+      FROM dim_users u LEFT JOIN visits v ON u.user_key = v.user_key,
+        (SELECT CAST(max(ts) AS DATE) AS now FROM events) GROUP BY 1, 2, 3, 4, 5, 6""",
     "c02_churn_summary": """
       SELECT churn_status, count(*) AS user_count,
         round(sum(total_visits)::DOUBLE / count(*), 4) AS avg_total_visits,

@@ -15,7 +15,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StructType
 
 from tidemark.operators.dedupe import latest_per_key
 
@@ -145,7 +145,7 @@ def apply_changes(
 
 def live_rows(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """Rows of a change-driven table that are not deleted."""
-    full = StructType([*schema.fields]).add(BUCKET, "int")
+    full = StructType([*schema.fields]).add(BUCKET, IntegerType())
     return read_table(spark, path, full).where(~F.col("is_deleted")).drop(
         BUCKET, "is_deleted"
     )
