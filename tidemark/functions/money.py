@@ -16,6 +16,25 @@ def cents(value: Column) -> Column:
     return value.cast("decimal(12,2)")
 
 
+def hundredths(value: Column) -> Column:
+    """A two-place amount held in a double, as a whole number of hundredths.
+
+    Integer arithmetic is exact and far cheaper than going through decimals.
+    """
+    return F.floor(value * 100 + 0.5)
+
+
+def from_hundredths(count: Column) -> Column:
+    """Hundredths back to money."""
+    unit = F.lit("0.01").cast("decimal(2,2)")
+    return money(count.cast("decimal(18,0)") * unit)
+
+
+def half_up_hundredths(ten_thousandths: Column) -> Column:
+    """A non-negative product of two amounts in hundredths, rounded half up."""
+    return F.floor((ten_thousandths + 50) / F.lit(100).cast("double"))
+
+
 def ratio(part: Column, whole: Column) -> Column:
     """``part / whole`` as a double; null when the denominator is zero."""
     return F.try_divide(part.cast("double"), whole.cast("double"))

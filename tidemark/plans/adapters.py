@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.money import cents, money
+from tidemark.functions.money import (
+    cents, from_hundredths, half_up_hundredths, hundredths,
+)
 from tidemark.functions.temporal import date_key, earliest, hour_floor, latest
 from tidemark.functions.text import map_values, padded_code
 from tidemark.plans.calendar import calendar
@@ -113,7 +115,8 @@ class Tables:
             )
             lines = lines.join(owners, "l_orderkey", "left")
             client = [F.col("client_key")]
-        price, discount = cents(F.col("l_extendedprice")), cents(F.col("l_discount"))
+        price = hundredths(F.col("l_extendedprice"))
+        discount = hundredths(F.col("l_discount"))
         return lines.select(
             F.concat_ws("-", F.col("l_orderkey"), F.col("l_linenumber")).alias(
                 "transaction_id"
@@ -122,14 +125,17 @@ class Tables:
             *client,
             F.col("l_partkey").alias("product_key"),
             (F.lit(4010) + F.col("l_linenumber") % 4 * 10).alias("gl_account_key"),
-            money(price).alias("aum_amount"),
-            money(price * (1 - discount)).alias("revenue_amount"),
-            (discount * 10000).cast("decimal(8,4)").alias("fee_basis_points"),
+            from_hundredths(price).alias("aum_amount"),
+            from_hundredths(half_up_hundredths(price * (100 - discount))).alias(
+                "revenue_amount"
+            ),
+            (discount * 100).cast("decimal(8,4)").alias("fee_basis_points"),
             _hours(F.col("l_shipdate"), F.col("l_linenumber")).alias("created_at"),
         )
 
     def fact_expense(self) -> DataFrame:
-        price, tax = cents(F.col("l_extendedprice")), cents(F.col("l_tax"))
+        price = hundredths(F.col("l_extendedprice"))
+        tax = hundredths(F.col("l_tax"))
         status = (
             F.when(F.col("l_linestatus") == "F", "Paid")
             .when(F.col("l_returnflag") == "R", "Pending")
@@ -142,7 +148,7 @@ class Tables:
             date_key(F.col("l_shipdate")).alias("date_key"),
             F.col("l_suppkey").alias("cost_center_key"),
             (F.lit(5000) + F.col("l_suppkey") % 25 * 100).alias("gl_account_key"),
-            money(price * tax).alias("expense_amount"),
+            from_hundredths(half_up_hundredths(price * tax)).alias("expense_amount"),
             status.alias("payment_status"),
             _hours(F.col("l_shipdate"), F.col("l_linenumber")).alias("created_at"),
         )
@@ -156,7 +162,7 @@ class Tables:
             F.when(F.col("o_orderstatus") != "P", F.col("o_orderkey")).alias(
                 "product_key"
             ),
-            money(cents(F.col("o_totalprice"))).alias("budget_amount"),
+            from_hundredths(hundredths(F.col("o_totalprice"))).alias("budget_amount"),
         )
 
     def fact_client_aum(self) -> DataFrame:
@@ -164,7 +170,7 @@ class Tables:
             date_key(F.col("o_orderdate")).alias("date_key"),
             F.col("o_custkey").alias("client_key"),
             F.left("o_orderpriority", F.lit(1)).cast("bigint").alias("product_key"),
-            money(cents(F.col("o_totalprice"))).alias("aum_amount"),
+            from_hundredths(hundredths(F.col("o_totalprice"))).alias("aum_amount"),
         )
 
     def entity_crossref(self) -> DataFrame:
@@ -677,8 +683,12 @@ class Tables:
     def bike_stations_raw(self) -> DataFrame:
         rows = self.station_payloads()
         payload = [F.col(f"`{c}`") for c in rows.columns if c != "ingestion_time"]
+        # A landed table stores the value; here it is built on the fly.  Passing
+        # it through a one-element array keeps Catalyst from repeating the build
+        # for each field read from it.
+        built = F.to_variant_object(F.struct(*payload))
         return rows.select(
-            F.to_variant_object(F.struct(*payload)).alias("raw_data"),
+            F.explode(F.array(built)).alias("raw_data"),
             F.lit("events.parquet").alias("filename"),
             "ingestion_time",
         )

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.money import percent, ratio
-from tidemark.functions.temporal import hour_floor, parse_instant
+from tidemark.functions.temporal import hour_floor, latest, parse_instant
 from tidemark.functions.text import clean_address
 from tidemark.operators.dedupe import duplicate_excess, latest_per_key
 from tidemark.operators.shape import top_k, union_all
@@ -48,9 +48,30 @@ def project_payload(raw: DataFrame, strict: bool = False) -> DataFrame:
 
     A value of the wrong type becomes null, or fails the job when ``strict``.
     """
-    typed = raw.select(
-        *[_field(name, strict).alias(name) for name in PAYLOAD], "ingestion_time"
+    return _cleaned(
+        raw.select(
+            *[_field(name, strict).alias(name) for name in PAYLOAD], "ingestion_time"
+        )
     )
+
+
+def project_columns(rows: DataFrame) -> DataFrame:
+    """The same from rows landed as columns, such as a typed Parquet feed.
+
+    Only the columns a query needs are read then.
+    """
+    return _cleaned(
+        rows.select(
+            *[
+                F.col(f"`{path}`").try_cast(kind).alias(name)
+                for name, (path, kind) in PAYLOAD.items()
+            ],
+            "ingestion_time",
+        )
+    )
+
+
+def _cleaned(typed: DataFrame) -> DataFrame:
     return typed.withColumns(
         {
             "address": clean_address(F.col("address")),
@@ -69,11 +90,15 @@ def usable(rows: DataFrame) -> DataFrame:
 
 
 def silver_clean(raw: DataFrame, strict: bool = False) -> DataFrame:
-    """Clean rows, one per station and snapshot: the last ingested.
+    """Clean rows of raw payloads."""
+    return silver_latest(usable(project_payload(raw, strict)))
+
+
+def silver_latest(rows: DataFrame) -> DataFrame:
+    """One row per station and snapshot: the last ingested.
 
     Equal ingestion times are settled by the remaining columns.
     """
-    rows = usable(project_payload(raw, strict))
     order = [F.desc("ingestion_time"), F.desc("free_bikes"), F.desc("total_slots"),
              F.desc("availability_light")]
     return latest_per_key(rows, SILVER_KEYS, order).drop("ingestion_time")
@@ -136,6 +161,12 @@ def latest_snapshot(network: DataFrame) -> DataFrame:
     return top_k(network, [F.desc("extraction_at")], 1)
 
 
+def newest_hour(rows: DataFrame) -> DataFrame:
+    """Rows of the newest hour, found before anything is aggregated."""
+    newest = hour_floor(latest(rows, "extraction_at"))
+    return rows.where(F.col("extraction_at") >= newest)
+
+
 def latest_hour(hourly: DataFrame) -> DataFrame:
     newest = hourly.agg(F.max("hour_bucket").alias("h")).scalar()
     return hourly.where(F.col("hour_bucket") == newest)

@@ -312,8 +312,16 @@ def _(t: Tables) -> DataFrame:
     return silver.withColumn("api_timestamp", F.col("api_timestamp").cast("timestamp_ntz"))
 
 
+def _usable(t: Tables) -> DataFrame:
+    return bikes.usable(bikes.project_columns(t.station_payloads()))
+
+
 def _silver(t: Tables) -> DataFrame:
-    return bikes.silver_clean(t.bike_stations_raw())
+    return bikes.silver_latest(_usable(t))
+
+
+def _newest_hourly(t: Tables) -> DataFrame:
+    return bikes.station_hourly(bikes.silver_latest(bikes.newest_hour(_usable(t))))
 
 
 @register("b02_network_summary")
@@ -333,7 +341,7 @@ def _(t: Tables) -> DataFrame:
 
 @register("b04_map_rows")
 def _(t: Tables) -> DataFrame:
-    rows = bikes.map_rows(bikes.station_hourly(_silver(t)))
+    rows = bikes.map_rows(_newest_hourly(t))
     return rows.select(
         "station_name", "avg_occupancy_pct", "radius",
         F.array_join(F.col("color").cast("array<string>"), ",").alias("color"),
@@ -342,7 +350,7 @@ def _(t: Tables) -> DataFrame:
 
 @register("b04_top_bottom")
 def _(t: Tables) -> DataFrame:
-    return bikes.top_bottom_stations(bikes.station_hourly(_silver(t)))
+    return bikes.top_bottom_stations(_newest_hourly(t))
 
 
 @register("b04_occupancy_series")
@@ -790,7 +798,8 @@ def _(t: Tables) -> DataFrame:
 
 def _loyalty_raw(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
     def landed(df: DataFrame, *fields: Column) -> DataFrame:
-        return df.select(F.parse_json(F.to_json(F.struct(*fields))).alias("raw_data"))
+        value = F.parse_json(F.to_json(F.struct(*fields)))
+        return df.select(F.explode(F.array(value)).alias("raw_data"))
 
     users = landed(
         t.dim_users(), "user_id", "first_name", "last_name",
@@ -1187,16 +1196,16 @@ def _(t: Tables) -> DataFrame:
 # -- metric layer -------------------------------------------------------------
 
 
-def _model(t: Tables) -> model.MetricModel:
+def _model(t: Tables, with_client: bool = True) -> model.MetricModel:
     return model.finance_model(
         t.dim_date(), t.dim_client(), t.dim_product(), t.dim_cost_center(),
-        t.fact_revenue(True), t.fact_expense(), t.fact_budget(),
+        t.fact_revenue(with_client), t.fact_expense(), t.fact_budget(),
     )
 
 
 @register("k01_metrics_by_quarter")
 def _(t: Tables) -> DataFrame:
-    return _model(t).query(
+    return _model(t, with_client=False).query(
         ["total_revenue", "total_expenses", "net_income", "profit_margin",
          "expense_ratio", "budget_variance"],
         by=["year_number", "quarter_name"],
@@ -1214,7 +1223,7 @@ def _(t: Tables) -> DataFrame:
 
 @register("k01_metrics_total")
 def _(t: Tables) -> DataFrame:
-    return _model(t).query(
+    return _model(t, with_client=False).query(
         ["total_revenue", "total_expenses", "net_income", "total_budget"]
     )
 
