@@ -104,9 +104,18 @@ class Tables:
             F.col("r_name").alias("expense_group"),
         )
 
-    def fact_revenue(self, with_client: bool = False) -> DataFrame:
+    def _lines(self, since: Column | None) -> DataFrame:
+        """Lines shipped from a date on; the raw column is compared, so files
+        and row groups before it are skipped."""
+        if since is None:
+            return self.lineitem
+        return self.lineitem.where(F.col("l_shipdate") >= since.cast("timestamp_ntz"))
+
+    def fact_revenue(
+        self, with_client: bool = False, since: Column | None = None
+    ) -> DataFrame:
         """Fee revenue; the client needs a join with orders, so only on demand."""
-        lines = self.lineitem
+        lines = self._lines(since)
         client: list[Column] = []
         if with_client:
             owners = self.orders.select(
@@ -133,7 +142,7 @@ class Tables:
             _hours(F.col("l_shipdate"), F.col("l_linenumber")).alias("created_at"),
         )
 
-    def fact_expense(self) -> DataFrame:
+    def fact_expense(self, since: Column | None = None) -> DataFrame:
         price = hundredths(F.col("l_extendedprice"))
         tax = hundredths(F.col("l_tax"))
         status = (
@@ -141,7 +150,7 @@ class Tables:
             .when(F.col("l_returnflag") == "R", "Pending")
             .otherwise("Accrued")
         )
-        return self.lineitem.select(
+        return self._lines(since).select(
             F.concat_ws(
                 "-", F.lit("NS"), F.col("l_orderkey"), F.col("l_linenumber")
             ).alias("transaction_id"),

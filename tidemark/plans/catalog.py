@@ -69,6 +69,14 @@ def _ship_day(t: Tables) -> Column:
     return F.to_date(latest(t.lineitem, "l_shipdate"))
 
 
+def _since(t: Tables, days: int = 0, months: int = 0) -> Column:
+    """First day a check over the last days or months looks at."""
+    day = _ship_day(t)
+    if days:
+        return F.date_sub(day, days)
+    return F.add_months(F.trunc(day, "month"), -months)
+
+
 def _event_time(t: Tables) -> Column:
     return latest(t.events, "ts")
 
@@ -470,14 +478,16 @@ def _(t: Tables) -> DataFrame:
 @register("q12_daily_row_trend")
 def _(t: Tables) -> DataFrame:
     return validation.daily_row_trend(
-        t.dim_date(), t.fact_revenue(), t.fact_expense(), _ship_day(t)
+        t.dim_date(), t.fact_revenue(since=_since(t, days=7)),
+        t.fact_expense(since=_since(t, days=7)), _ship_day(t),
     )
 
 
 @register("q13_revenue_reconciliation")
 def _(t: Tables) -> DataFrame:
     return validation.raw_vs_curated_revenue(
-        t.portfolio_transactions(False), t.fact_revenue(), t.dim_date(), _ship_day(t)
+        t.portfolio_transactions(False), t.fact_revenue(since=_since(t)), t.dim_date(),
+        _ship_day(t),
     )
 
 
@@ -492,18 +502,23 @@ def _(t: Tables) -> DataFrame:
 
 @register("q14_revenue_by_month")
 def _(t: Tables) -> DataFrame:
-    return validation.revenue_by_month(t.fact_revenue(), t.dim_date(), _ship_day(t))
+    return validation.revenue_by_month(
+        t.fact_revenue(since=_since(t, months=6)), t.dim_date(), _ship_day(t)
+    )
 
 
 @register("q14_expense_by_month")
 def _(t: Tables) -> DataFrame:
-    return validation.expense_by_month(t.fact_expense(), t.dim_date(), _ship_day(t))
+    return validation.expense_by_month(
+        t.fact_expense(since=_since(t, months=6)), t.dim_date(), _ship_day(t)
+    )
 
 
 @register("q15_profitability_band")
 def _(t: Tables) -> DataFrame:
     return validation.profitability_band(
-        t.fact_revenue(), t.fact_expense(), t.dim_date(), _ship_day(t)
+        t.fact_revenue(since=_since(t, months=12)),
+        t.fact_expense(since=_since(t, months=12)), t.dim_date(), _ship_day(t),
     )
 
 

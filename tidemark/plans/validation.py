@@ -36,6 +36,18 @@ STALE_AFTER_MINUTES = {
 row_counts = labelled_counts
 
 
+def on_days(fact: DataFrame, days: DataFrame) -> DataFrame:
+    """Fact rows between the first and last of some calendar days.
+
+    The bounds come from the calendar, whatever its keys look like, and are
+    plain comparisons with the stored key: old files and row groups are skipped.
+    """
+    bounds = days.agg(
+        F.struct(F.min("date_key").alias("lo"), F.max("date_key").alias("hi"))
+    ).scalar()
+    return fact.where(F.col("date_key").between(bounds["lo"], bounds["hi"]))
+
+
 def per_day(fact: DataFrame, dim_date: DataFrame, sums: dict) -> DataFrame:
     """Additive measures per calendar date."""
     return star_rollup(fact, dim_date, "date_key", "date_key", ["calendar_date"], sums)
@@ -51,7 +63,9 @@ def daily_row_trend(
     ).select("date_key", "calendar_date")
 
     def counts(fact: DataFrame, name: str) -> DataFrame:
-        return fact.groupBy("date_key").agg(F.count(F.lit(1)).alias(name))
+        return on_days(fact, recent).groupBy("date_key").agg(
+            F.count(F.lit(1)).alias(name)
+        )
 
     daily = (
         recent.join(counts(revenue, "revenue_rows"), "date_key", "left")
@@ -88,7 +102,7 @@ def raw_vs_curated_revenue(
         (F.col("transaction_type") == "FEE") & (F.col("transaction_date") >= start)
     ).agg(F.round(F.sum("fee_amount"), 2).cast("decimal(28,2)").alias("total"))
     days = dim_date.where(F.col("calendar_date") >= start)
-    curated = per_day(revenue, days, {"v": F.col("revenue_amount")}).agg(
+    curated = per_day(on_days(revenue, days), days, {"v": F.col("revenue_amount")}).agg(
         F.sum("v").cast("decimal(28,2)").alias("total")
     )
     return union_all(
@@ -118,7 +132,7 @@ def raw_vs_curated_expense(
         ).cast("decimal(28,2)").alias("total")
     )
     days = dim_date.where(F.col("calendar_date") >= start)
-    curated = per_day(expense, days, {"v": F.col("expense_amount")}).agg(
+    curated = per_day(on_days(expense, days), days, {"v": F.col("expense_amount")}).agg(
         F.sum("v").cast("decimal(28,2)").alias("total")
     )
     return union_all(
@@ -157,7 +171,9 @@ def revenue_by_month(
         "bps": F.col("fee_basis_points"),
         "bps_rows": F.when(F.col("fee_basis_points").isNotNull(), 1),
     }
-    return star_rollup(revenue, days, "date_key", "date_key", _MONTH, sums).select(
+    return star_rollup(
+        on_days(revenue, days), days, "date_key", "date_key", _MONTH, sums
+    ).select(
         *_MONTH, "transaction_count", "total_revenue", "total_aum",
         mean(F.col("bps"), F.col("bps_rows"), 2).alias("avg_fee_bps"),
     )
@@ -168,7 +184,9 @@ def expense_by_month(
 ) -> DataFrame:
     days = _last_months(dim_date, as_of, 6)
     sums = {"transaction_count": F.lit(1), "total_expenses": F.col("expense_amount")}
-    return star_rollup(expense, days, "date_key", "date_key", _MONTH, sums)
+    return star_rollup(
+        on_days(expense, days), days, "date_key", "date_key", _MONTH, sums
+    )
 
 
 def profitability_band(
@@ -181,9 +199,9 @@ def profitability_band(
     """
     days = dim_date.where(F.col("calendar_date") >= F.add_months(as_of, -12))
     quarter = ["year_number", "quarter_name"]
-    earned = star_rollup(revenue, days, "date_key", "date_key", quarter,
+    earned = star_rollup(on_days(revenue, days), days, "date_key", "date_key", quarter,
                          {"total_revenue": F.col("revenue_amount")})
-    spent = star_rollup(expense, days, "date_key", "date_key", quarter,
+    spent = star_rollup(on_days(expense, days), days, "date_key", "date_key", quarter,
                         {"total_expenses": F.col("expense_amount")})
     share = ratio(F.col("total_expenses"), F.col("total_revenue"))
     low, high = EXPENSE_RATIO_BAND
@@ -221,7 +239,7 @@ def business_days_without_rows(
     dim_date: DataFrame, fact: DataFrame, as_of: Column, days: int = 30
 ) -> DataFrame:
     recent = _recent_business_days(dim_date, as_of, days)
-    present = fact.select("date_key").distinct()
+    present = on_days(fact, recent).select("date_key").distinct()
     return missing_in(recent, present, "date_key").select(
         "calendar_date", "day_name", F.lit("NO REVENUE DATA").alias("status")
     )
@@ -232,7 +250,7 @@ def expense_gap_runs(
 ) -> DataFrame:
     """Runs of business days without expenses."""
     recent = _recent_business_days(dim_date, as_of, days)
-    present = expense.select("date_key").distinct().withColumn("has_data", F.lit(1))
+    present = on_days(expense, recent).select("date_key").distinct().withColumn("has_data", F.lit(1))
     series = recent.join(present, "date_key", "left").select(
         "calendar_date", F.coalesce("has_data", F.lit(0)).alias("has_data")
     )
