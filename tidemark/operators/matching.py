@@ -60,14 +60,10 @@ def propose_matches(
         .where("distance >= 0")
     )
     longer = F.greatest(F.length("left_name"), F.length("right_name"))
+    # Two empty names are equal, hence the default.
+    similarity = F.coalesce(1 - F.try_divide(F.col("distance"), longer), F.lit(1.0))
     best = pairs.groupBy("city", "left_name").agg(
-        F.min(
-            F.struct(
-                "distance",
-                "right_id",
-                (1 - F.col("distance") / longer).alias("similarity"),
-            )
-        ).alias("b")
+        F.min(F.struct("distance", "right_id", similarity.alias("similarity"))).alias("b")
     )
     return (
         left.withColumnsRenamed({"id": "left_id", "name": "left_name"})
