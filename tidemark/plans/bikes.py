@@ -89,9 +89,12 @@ def usable(rows: DataFrame) -> DataFrame:
     )
 
 
-def silver_clean(raw: DataFrame, strict: bool = False) -> DataFrame:
-    """Clean rows of raw payloads."""
-    return silver_latest(usable(project_payload(raw, strict)))
+def silver_clean(
+    raw: DataFrame, strict: bool = False, with_ingestion: bool = False
+) -> DataFrame:
+    """Clean rows of raw payloads; ``with_ingestion`` keeps their load time."""
+    rows = silver_latest(usable(project_payload(raw, strict)))
+    return rows if with_ingestion else rows.drop("ingestion_time")
 
 
 def silver_latest(rows: DataFrame) -> DataFrame:
@@ -101,7 +104,7 @@ def silver_latest(rows: DataFrame) -> DataFrame:
     """
     order = [F.desc("ingestion_time"), F.desc("free_bikes"), F.desc("total_slots"),
              F.desc("availability_light")]
-    return latest_per_key(rows, SILVER_KEYS, order).drop("ingestion_time")
+    return latest_per_key(rows, SILVER_KEYS, order)
 
 
 def with_partition(silver: DataFrame) -> DataFrame:

@@ -1261,16 +1261,17 @@ def _event_stream(t: Tables) -> Tables:
 
 
 def _silver_schema(t: Tables) -> StructType:
-    return bikes.with_partition(_silver(t)).schema
+    raw = t.bike_stations_raw()
+    return bikes.with_partition(bikes.silver_clean(raw, with_ingestion=True)).schema
 
 
 def _run_silver(t: Tables, after=None) -> str:
     silver = scratch_path(t.spark, "silver")
     jobs.run_bronze_silver(
         _event_stream(t).bike_stations_raw(),
-        lambda raw: bikes.with_partition(bikes.silver_clean(raw)),
+        lambda raw: bikes.with_partition(bikes.silver_clean(raw, with_ingestion=True)),
         silver, bikes.SILVER_KEYS, bikes.SILVER_PARTITION,
-        scratch_path(t.spark, "mark"), after=after(silver) if after else None,
+        scratch_path(t.spark, "mark"), newest_by="ingestion_time", after=after(silver) if after else None,
     )
     return silver
 
@@ -1278,7 +1279,7 @@ def _run_silver(t: Tables, after=None) -> str:
 @register("r01_bronze_silver")
 def _(t: Tables) -> DataFrame:
     silver = tables.read_table(t.spark, _run_silver(t), _silver_schema(t))
-    return silver.drop(bikes.SILVER_PARTITION).withColumn(
+    return silver.drop(bikes.SILVER_PARTITION, "ingestion_time").withColumn(
         "api_timestamp", F.col("api_timestamp").cast("timestamp_ntz")
     )
 
@@ -1306,7 +1307,9 @@ def _(t: Tables) -> DataFrame:
     gold, mark = scratch_path(t.spark, "hourly"), scratch_path(t.spark, "mark")
     silver = scratch_path(t.spark, "silver")
     bikes.with_partition(_silver(t)).write.parquet(silver)
-    stream = jobs.file_stream(t.spark, silver, _silver_schema(t))
+    stream = jobs.file_stream(
+        t.spark, silver, bikes.with_partition(_silver(t)).schema
+    )
     timed = stream.withColumn("extraction_at", jobs.event_time("extraction_at"))
     hourly = bikes.station_hourly(
         timed.withWatermark("extraction_at", "2 hours")

@@ -67,22 +67,37 @@ def append_dedup(
 
 
 def upsert(
-    src: DataFrame, path: str, keys: Sequence[str], partition_by: str, change_id: int
+    src: DataFrame,
+    path: str,
+    keys: Sequence[str],
+    partition_by: str,
+    change_id: int,
+    newest_by: str | None = None,
 ) -> None:
     """Insert new keys, replace matching ones.
 
     ``src`` has one row per key and its partition value is a function of the
-    key.  A null in a key matches nothing, as in a MERGE condition.
+    key.  A null in a key matches nothing, as in a MERGE condition.  With
+    ``newest_by`` a matching row is replaced only by one that is not older, so
+    the result does not depend on the order in which changes arrive.
+
+    ``change_id`` is unique per change of a table and grows; repeating an id
+    repeats that change.
     """
     spark = src.sparkSession
 
     def merged() -> DataFrame:
         old = read_table(spark, path, src.schema)
         touched = src.select(partition_by).distinct()
-        kept = old.join(touched, partition_by, "left_semi").join(
-            src.select(*keys), list(keys), "left_anti"
+        nearby = old.join(touched, partition_by, "left_semi").select(*src.columns)
+        if newest_by is None:
+            kept = nearby.join(src.select(*keys), list(keys), "left_anti")
+            return kept.select(*src.columns).unionByName(src)
+        both = nearby.withColumn("_new", F.lit(0)).unionByName(
+            src.withColumn("_new", F.lit(1))
         )
-        return kept.select(*src.columns).unionByName(src)
+        order = [F.desc_nulls_last(newest_by), F.desc("_new")]
+        return latest_per_key(both, list(keys), order).drop("_new")
 
     _swap_partitions(spark, merged, src.schema, path, partition_by, change_id)
 

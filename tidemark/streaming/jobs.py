@@ -85,6 +85,7 @@ def run_bronze_silver(
     keys: Sequence[str],
     partition_by: str,
     checkpoint: str,
+    newest_by: str | None = None,
     after: Callable[[DataFrame, int], None] | None = None,
     available_now: bool = True,
     every: str = "1 hour",
@@ -97,7 +98,7 @@ def run_bronze_silver(
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         rows = clean(batch)
-        upsert(rows, silver, keys, partition_by, batch_id)
+        upsert(rows, silver, keys, partition_by, batch_id, newest_by)
         if after is not None:
             after(rows, batch_id)
 
