@@ -16,19 +16,15 @@ from tidemark.plans import catalog
 from tidemark.session import build_session
 
 HEADLINE = [
-    "b01_silver_clean", "b02_network_summary", "b03_station_hourly", "b04_map_rows",
-    "q01_kpi_revenue", "q03_pl_trend", "q06_revenue_by_segment",
-    "q07_revenue_by_product", "q08_top_expenses", "q09_client_profitability",
-    "q10_monthly_change", "q12_daily_row_trend", "q14_revenue_by_month",
-    "q15_profitability_band", "q18_expense_gaps", "q20_orphan_keys", "q24_latency",
-    "q25_health", "q26_revenue_drift", "t01_dim_client", "t02_fact_revenue",
-    "t03_fact_expense", "t05_fact_client_aum", "t08_crossref", "c01_churn_flags",
-    "c03_churn_by_category", "c04_monthly_churn", "v01_kpis", "v04_category_breakdown",
-    "v05_top_merchants", "v08_loyalty_checks", "m03_week_over_week",
-    "m10_expensive_queries", "g01_masked_view", "g03_access_review",
-    "g04_failed_logins", "l01_failed_login_spikes", "j11_asof_rates",
-    "j11_asof_events", "w01_latest_per_key", "a06_duplicate_keys",
-    "k01_metrics_by_quarter", "k02_monthly_rollup",
+    "b02_network_summary", "b03_station_hourly", "q01_kpi_revenue", "q03_pl_trend",
+    "q06_revenue_by_segment", "q07_revenue_by_product", "q08_top_expenses",
+    "q10_monthly_change", "q12_daily_row_trend", "q15_profitability_band",
+    "q20_orphan_keys", "q24_latency", "q25_health", "q26_revenue_drift",
+    "t01_dim_client", "t02_fact_revenue", "t03_fact_expense", "t05_fact_client_aum",
+    "t08_crossref", "c01_churn_flags", "v01_kpis", "v04_category_breakdown",
+    "v08_loyalty_checks", "m03_week_over_week", "g01_masked_view",
+    "g03_access_review", "l01_failed_login_spikes", "j11_asof_rates",
+    "w01_latest_per_key", "k02_monthly_rollup",
 ]
 RUNS = int(os.environ.get("BENCH_RUNS", "3"))
 

@@ -1,5 +1,7 @@
+import re
 import shutil
 from datetime import date
+from pathlib import Path
 
 import pytest
 from conftest import rows
@@ -77,13 +79,25 @@ def test_upsert_touches_only_partitions_of_the_change(spark, folder):
     path = f"{folder}/t"
     tables.upsert(spark.createDataFrame([(1, 1, "a"), (2, 1, "b"), (3, 2, "c")], UP),
                   path, ["id", "day"], "day", 0)
-    untouched = sorted(p.name for p in __import__("pathlib").Path(path, "day=2").iterdir())
+    untouched = sorted(p.name for p in Path(path, "day=2").iterdir())
     change = spark.createDataFrame([(2, 1, "B"), (4, 1, "d")], UP)
     tables.upsert(change, path, ["id", "day"], "day", 1)
     got = tables.read_table(spark, path, change.schema)
     assert rows(got, "id", "day", "v") == [(1, 1, "a"), (2, 1, "B"), (3, 2, "c"), (4, 1, "d")]
     assert untouched == sorted(
-        p.name for p in __import__("pathlib").Path(path, "day=2").iterdir())
+        p.name for p in Path(path, "day=2").iterdir())
+
+
+def test_change_opens_only_its_partitions(spark, folder):
+    path = f"{folder}/t"
+    spark.createDataFrame([(i, i % 5, "a") for i in range(50)], UP).write.partitionBy(
+        "day").parquet(path)
+    change = spark.createDataFrame([(1, 1, "b"), (3, 3, "b")], UP)
+    old = tables.read_table(spark, path, change.schema)
+    near = tables.in_touched_partitions(old, change, "day")
+    assert sorted({r["day"] for r in near.collect()}) == [1, 3]
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\n]*array_contains\(Subquery", plan)
 
 
 def test_upsert_replay_and_recovery_after_a_half_done_swap(spark, folder):

@@ -44,6 +44,19 @@ def read_table(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def in_touched_partitions(
+    old: DataFrame, change: DataFrame, partition_by: str
+) -> DataFrame:
+    """Rows of the table in the partitions a change has rows for.
+
+    The partition values of the change come as a scalar subquery, which makes
+    the condition a partition filter: other partitions are not even opened.
+    There are never more values than the table has partitions.
+    """
+    values = change.agg(F.collect_set(partition_by).alias("touched")).scalar()
+    return old.where(F.array_contains(values, F.col(partition_by)))
+
+
 def full_replace(df: DataFrame, path: str) -> None:
     """Replace a reference table as a whole."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(path)
@@ -60,8 +73,7 @@ def append_dedup(
     spark = new.sparkSession
     on = list(dict.fromkeys([*keys, partition_by]))
     old = read_table(spark, path, new.schema)
-    touched = new.select(partition_by).distinct()
-    known = old.join(touched, partition_by, "left_semi").select(*on)
+    known = in_touched_partitions(old, new, partition_by).select(*on)
     fresh = new.dropDuplicates(on).join(known, on, "left_anti")
     fresh.write.mode("append").partitionBy(partition_by).parquet(path)
 
@@ -88,8 +100,7 @@ def upsert(
 
     def merged() -> DataFrame:
         old = read_table(spark, path, src.schema)
-        touched = src.select(partition_by).distinct()
-        nearby = old.join(touched, partition_by, "left_semi").select(*src.columns)
+        nearby = in_touched_partitions(old, src, partition_by).select(*src.columns)
         if newest_by is None:
             kept = nearby.join(src.select(*keys), list(keys), "left_anti")
             return kept.select(*src.columns).unionByName(src)
@@ -148,8 +159,7 @@ def apply_changes(
 
     def merged() -> DataFrame:
         old = read_table(spark, path, src.schema)
-        touched = src.select(BUCKET).distinct()
-        known = old.join(touched, BUCKET, "left_semi").select(*src.columns)
+        known = in_touched_partitions(old, src, BUCKET).select(*src.columns)
         rest = [F.col(c).desc() for c in changes.columns if c not in keys]
         return latest_per_key(
             known.unionByName(src), list(keys), [F.col(sequence).desc(), *rest]

@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from tidemark.operators.dedupe import latest_per_key
-from tidemark.sources.tables import apply_changes, read_table, upsert
+from tidemark.sources.tables import (
+    apply_changes, full_replace, in_touched_partitions, read_table, upsert,
+)
 
 FILES_PER_BATCH = 1000
 
@@ -97,10 +98,13 @@ def run_bronze_silver(
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        rows = clean(batch)
-        upsert(rows, silver, keys, partition_by, batch_id, newest_by)
-        if after is not None:
-            after(rows, batch_id)
+        rows = clean(batch).persist()  # read by the upsert and by what follows
+        try:
+            upsert(rows, silver, keys, partition_by, batch_id, newest_by)
+            if after is not None:
+                after(rows, batch_id)
+        finally:
+            rows.unpersist()
 
     return _start(
         stream.writeStream.foreachBatch(apply), checkpoint, available_now, every
@@ -123,10 +127,11 @@ def refresh_touched(
     """
 
     def refresh(batch: DataFrame, batch_id: int) -> None:
-        groups = batch.select(partition_by, touched_by).distinct()
-        rows = read_table(batch.sparkSession, silver, schema).join(
-            groups, [partition_by, touched_by], "left_semi"
+        nearby = in_touched_partitions(
+            read_table(batch.sparkSession, silver, schema), batch, partition_by
         )
+        groups = batch.select(touched_by).distinct()
+        rows = nearby.join(groups, touched_by, "left_semi")
         upsert(build(rows), target, target_keys, partition_by, batch_id)
 
     return refresh
@@ -145,7 +150,11 @@ def apply_change_stream(
     """Apply a change feed batch by batch."""
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        apply_changes(batch, path, keys, sequence, batch_id, buckets)
+        changes = batch.persist()
+        try:
+            apply_changes(changes, path, keys, sequence, batch_id, buckets)
+        finally:
+            changes.unpersist()
 
     return _start(
         stream.writeStream.foreachBatch(apply), checkpoint, available_now, every
@@ -176,7 +185,11 @@ def upsert_stream(
     """Write an update-mode aggregate: changed groups replace their old row."""
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        upsert(batch, sink, keys, partition_by, batch_id)
+        groups = batch.persist()
+        try:
+            upsert(groups, sink, keys, partition_by, batch_id)
+        finally:
+            groups.unpersist()
 
     return _start(
         result.writeStream.outputMode("update").foreachBatch(apply),
@@ -211,16 +224,7 @@ def sliding_counts(
     )
 
 
-def latest_in_batch(
-    batch: DataFrame, keys: Sequence[str], order: Sequence[Column]
-) -> DataFrame:
-    """One row per key of a micro-batch."""
-    return latest_per_key(batch, keys, order)
-
-
 def refresh_all(steps: Sequence[tuple[str, Callable[[], DataFrame], str]]) -> None:
     """Run refresh steps (name, build, path) in dependency order."""
-    from tidemark.sources.tables import full_replace
-
     for _name, build, path in steps:
         full_replace(build(), path)
