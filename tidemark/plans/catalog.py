@@ -524,7 +524,7 @@ def _(t: Tables) -> DataFrame:
 
 @register("q16_calendar_continuity")
 def _(t: Tables) -> DataFrame:
-    """Order dates taken as the calendar: days without any order."""
+    """Dates of urgent finished orders taken as the calendar."""
     days = t.orders.select(F.to_date("o_orderdate").alias("calendar_date")).where(
         "o_orderstatus = 'F' and o_orderpriority = '1-URGENT'"
     )
@@ -539,7 +539,7 @@ def _(t: Tables) -> DataFrame:
 
 
 def _urgent_revenue(t: Tables) -> DataFrame:
-    """Budget rows by order date of one kind: sparse enough to leave gaps."""
+    """Urgent finished orders by date: a business that does not trade every day."""
     return t.orders.where(
         "o_orderstatus = 'F' and o_orderpriority = '1-URGENT'"
     ).select((F.date_format("o_orderdate", "yyyyMMdd")).cast("int").alias("date_key"))
