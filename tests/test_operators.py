@@ -70,15 +70,6 @@ def test_orphans_of_an_empty_fact_are_zero(spark):
     assert rows(joins.orphan_count(fact, dim, "fk", "pk", "x")) == [("x", 0)]
 
 
-def test_orphan_counts_of_several_keys(spark):
-    fact = spark.createDataFrame([(1, 1), (9, None), (9, 7), (None, None)], "a int, b int")
-    dim = spark.createDataFrame([(1,), (1,), (2,)], "pk int")
-    rules = {"a": ("a", dim, "pk", False), "b": ("b", dim, "pk", True),
-             "c": ("a", fact, "a", True)}
-    assert rows(joins.orphan_counts(fact, rules)) == [("a", 3), ("b", 1), ("c", 0)]
-    assert rows(joins.orphan_counts(fact.limit(0), rules)) == [("a", 0), ("b", 0), ("c", 0)]
-
-
 def test_rollup_equals_join_then_group(spark):
     fact = spark.createDataFrame(
         [(i % 5 if i % 3 else 0, i) for i in range(200)], "fk int, v int")

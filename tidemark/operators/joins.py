@@ -85,37 +85,6 @@ def orphan_count(
     )
 
 
-def orphan_counts(
-    fact: DataFrame, references: dict[str, tuple[str, DataFrame, str, bool]]
-) -> DataFrame:
-    """Orphan counts of several integer foreign keys in one pass over the fact.
-
-    ``references`` maps a label to (fact key, dimension, dimension key,
-    nullable).  Keys are turned to (label, key) rows and counted before they
-    meet the dimensions, so a hot key is one row by then.
-    """
-    spark = fact.sparkSession
-    keys = fact.select(
-        *[F.col(fk).cast("bigint").alias(n) for n, (fk, *_) in references.items()]
-    ).unpivot([], list(references), "fk_check", "key")
-    per_key = keys.groupBy("fk_check", "key").agg(F.count(F.lit(1)).alias("n"))
-    known = None
-    for label, (_fk, dim, pk, _nullable) in references.items():
-        part = dim.select(
-            F.lit(label).alias("fk_check"), F.col(pk).cast("bigint").alias("key")
-        )
-        known = part if known is None else known.unionByName(part)
-    lost = per_key.join(known, ["fk_check", "key"], "left_anti")
-    optional = [n for n, (*_, nullable) in references.items() if nullable]
-    if optional:
-        lost = lost.where(F.col("key").isNotNull() | ~F.col("fk_check").isin(optional))
-    counts = lost.groupBy("fk_check").agg(F.sum("n").alias("n"))
-    labels = spark.createDataFrame([(n,) for n in references], "fk_check string")
-    return labels.join(counts, "fk_check", "left").select(
-        "fk_check", F.coalesce("n", F.lit(0)).alias("orphan_count")
-    )
-
-
 def present_in(
     df: DataFrame, reference: DataFrame, key: str, reference_key: str | None = None
 ) -> DataFrame:

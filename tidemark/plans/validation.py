@@ -14,7 +14,7 @@ from tidemark.functions.temporal import day_diff, minute_diff, month_floor
 from tidemark.functions.text import name_matches_any
 from tidemark.operators.dedupe import duplicate_keys, latest_per_key
 from tidemark.operators.joins import (
-    missing_in, orphan_counts, star_join, star_rollup,
+    missing_in, orphan_count, star_join, star_rollup,
 )
 from tidemark.operators.shape import (
     domain_violations, labelled_counts, rule_violations, union_all,
@@ -284,8 +284,11 @@ def orphan_checks(
 ) -> DataFrame:
     """Orphan counts of one fact; references map a label to
     (fact key, dimension, dimension key, nullable)."""
-    return orphan_counts(
-        fact, {f"{name} -> {label}": rule for label, rule in references.items()}
+    return union_all(
+        [
+            orphan_count(fact, dim, fk, pk, f"{name} -> {label}", nullable)
+            for label, (fk, dim, pk, nullable) in references.items()
+        ]
     )
 
 
@@ -406,12 +409,13 @@ def health(
 ) -> DataFrame:
     """Eleven checks, each PASS or FAIL.
 
-    The key checks of a fact share one pass, its null and sign checks another.  ``expense_key`` is what
+    Null and sign checks of a fact share one pass.  ``expense_key`` is what
     makes an expense row unique: the document, or the document line.
     """
-    def orphans(fact: DataFrame, references: dict) -> DataFrame:
-        return orphan_counts(fact, references).withColumnsRenamed(
-            {"fk_check": "check_name", "orphan_count": "fail_count"}
+    def orphans(fact, label, fk, dim, pk) -> DataFrame:
+        return orphan_count(fact, dim, fk, pk, label).select(
+            F.col("fk_check").alias("check_name"),
+            F.col("orphan_count").alias("fail_count"),
         )
 
     def repeated(fact: DataFrame, keys: list[str], label: str) -> DataFrame:
@@ -421,18 +425,15 @@ def health(
 
     checks = union_all(
         [
-            orphans(revenue, {
-                "FK: Revenue -> Client": ("client_key", dim_client, "client_key", False),
-                "FK: Revenue -> Product":
-                    ("product_key", dim_product, "product_key", False),
-                "FK: Revenue -> Date": ("date_key", dim_date, "date_key", False),
-            }),
-            orphans(expense, {
-                "FK: Expense -> Cost Center":
-                    ("cost_center_key", dim_cost_center, "cost_center_key", False),
-                "FK: Expense -> GL Account":
-                    ("gl_account_key", dim_gl_account, "gl_account_key", False),
-            }),
+            orphans(revenue, "FK: Revenue -> Client", "client_key", dim_client,
+                    "client_key"),
+            orphans(revenue, "FK: Revenue -> Product", "product_key", dim_product,
+                    "product_key"),
+            orphans(revenue, "FK: Revenue -> Date", "date_key", dim_date, "date_key"),
+            orphans(expense, "FK: Expense -> Cost Center", "cost_center_key",
+                    dim_cost_center, "cost_center_key"),
+            orphans(expense, "FK: Expense -> GL Account", "gl_account_key",
+                    dim_gl_account, "gl_account_key"),
             rule_violations(
                 revenue,
                 {"NULL: Revenue Amount": F.col("revenue_amount").isNull(),
