@@ -57,7 +57,19 @@ def test_full_replace(spark, folder):
     path = f"{folder}/t"
     tables.full_replace(spark.range(5), path)
     tables.full_replace(spark.range(2), path)
-    assert rows(spark.read.parquet(path)) == [(0,), (1,)]
+    assert rows(tables.read_current(spark, path)) == [(0,), (1,)]
+
+
+def test_full_replace_that_fails_leaves_the_table(spark, folder):
+    path = f"{folder}/t"
+    tables.full_replace(spark.range(2), path)
+    broken = spark.range(3).withColumn("id", F.raise_error(F.lit("no")).cast("long"))
+    with pytest.raises(Exception, match="no"):
+        tables.full_replace(broken, path)
+    assert rows(tables.read_current(spark, path)) == [(0,), (1,)]
+    # a table may be replaced by what is made of itself
+    tables.full_replace(tables.read_current(spark, path).where("id = 1"), path)
+    assert rows(tables.read_current(spark, path)) == [(1,)]
 
 
 def test_append_dedup(spark, folder):
@@ -72,16 +84,59 @@ def test_append_dedup(spark, folder):
     assert rows(got, "id", "v") == [(1, "a"), (2, "b"), (3, "c")]
 
 
+def test_append_dedup_knows_null_keys_and_has_an_order(spark, folder):
+    path = f"{folder}/t"
+    rows_ = [(None, "b", 1), (None, "a", 1), (5, "z", 1), (5, "y", 1)]
+    load = spark.createDataFrame(rows_, "id int, v string, day int")
+    for _load in range(2):
+        tables.append_dedup(load, path, ["id"], "day")
+    got = tables.read_table(spark, path, load.schema)
+    assert rows(got, "id", "v") == [(5, "y"), (None, "a")]
+
+
 UP = "id int, day int, v string"
 
 
+def test_plain_upserts_need_no_numbers_and_lose_nothing(spark, folder):
+    path = f"{folder}/t"
+    for k in range(3):
+        tables.upsert(spark.createDataFrame([(k, 1, "a")], UP), path, ["id", "day"], "day")
+    assert rows(tables.read_table(spark, path, spark.createDataFrame([], UP).schema), "id") == [
+        (0,), (1,), (2,)]
+
+
+def test_two_streams_with_the_same_numbers(spark, folder):
+    path = f"{folder}/t"
+    for stream, value in (("a", 1), ("b", 2)):
+        for _time in range(2):  # a repeated change is applied once
+            tables.upsert(spark.createDataFrame([(value, 1, stream)], UP), path,
+                          ["id", "day"], "day", (stream, 0))
+    got = tables.read_table(spark, path, spark.createDataFrame([], UP).schema)
+    assert rows(got, "id", "v") == [(1, "a"), (2, "b")]
+
+
+def test_upsert_moves_a_row_between_partitions(spark, folder):
+    path = f"{folder}/t"
+    tables.upsert(spark.createDataFrame([(1, 1, "a"), (2, 1, "b"), (3, 2, "c")], UP),
+                  path, ["id"], "day")
+    tables.upsert(spark.createDataFrame([(1, 3, "A"), (3, 1, "C")], UP), path, ["id"], "day")
+    got = tables.read_table(spark, path, spark.createDataFrame([], UP).schema)
+    assert rows(got, "id", "day", "v") == [(1, 3, "A"), (2, 1, "b"), (3, 1, "C")]
+
+
+def test_upsert_refuses_two_rows_of_one_key(spark, folder):
+    twice = spark.createDataFrame([(1, 1, "a"), (1, 1, "b")], UP)
+    with pytest.raises(Exception, match="two source rows of one key"):
+        tables.upsert(twice, f"{folder}/t", ["id", "day"], "day")
+
+
 def test_upsert_touches_only_partitions_of_the_change(spark, folder):
     path = f"{folder}/t"
     tables.upsert(spark.createDataFrame([(1, 1, "a"), (2, 1, "b"), (3, 2, "c")], UP),
-                  path, ["id", "day"], "day", 0)
+                  path, ["id", "day"], "day")
     untouched = sorted(p.name for p in Path(path, "day=2").iterdir())
     change = spark.createDataFrame([(2, 1, "B"), (4, 1, "d")], UP)
-    tables.upsert(change, path, ["id", "day"], "day", 1)
+    tables.upsert(change, path, ["id", "day"], "day")
     got = tables.read_table(spark, path, change.schema)
     assert rows(got, "id", "day", "v") == [(1, 1, "a"), (2, 1, "B"), (3, 2, "c"), (4, 1, "d")]
     assert untouched == sorted(
@@ -103,36 +158,46 @@ def test_change_opens_only_its_partitions(spark, folder):
 def test_upsert_replay_and_recovery_after_a_half_done_swap(spark, folder):
     path = f"{folder}/t"
     base = spark.createDataFrame([(1, 1, "a"), (2, 2, "b")], UP)
-    tables.upsert(base, path, ["id", "day"], "day", 0)
+    tables.upsert(base, path, ["id", "day"], "day", ("s", 0))
     change = spark.createDataFrame([(1, 1, "A"), (3, 2, "c")], UP)
-    tables.upsert(change, path, ["id", "day"], "day", 1)
     expected = [(1, 1, "A"), (2, 2, "b"), (3, 2, "c")]
     # A run that died after it had removed a partition: its staged rows remain.
+    spark.createDataFrame(expected, UP).write.parquet(f"{path}__staged/s-1")
     shutil.rmtree(f"{path}/day=2")
-    tables.upsert(change, path, ["id", "day"], "day", 1)
-    tables.upsert(change, path, ["id", "day"], "day", 1)
-    got = tables.read_table(spark, path, change.schema)
-    assert rows(got, "id", "day", "v") == expected
-
-
-def test_changes_keep_tombstones(spark, folder):
-    path = f"{folder}/t"
-    schema = "id int, seq int, v string, is_deleted boolean"
-
-    def feed(change_id, *changes):
-        df = spark.createDataFrame(list(changes), schema)
-        tables.apply_changes(df, path, ["id"], "seq", change_id, buckets=4)
-        return df.schema
-
-    feed(0, (1, 1, "a", False), (2, 1, "b", False), (1, 3, "c", False))
-    feed(1, (2, 5, None, True))
-    feed(2, (2, 4, "late", False), (1, 2, "old", False))
-    kept = feed(3, (3, 1, "new", False))
-    assert rows(tables.live_rows(spark, path, kept), "id", "seq", "v") == [
-        (1, 3, "c"), (3, 1, "new")]
-    feed(4, (2, 6, "back", False))
-    assert rows(tables.live_rows(spark, path, kept), "id", "v") == [
-        (1, "c"), (2, "back"), (3, "new")]
+    for _time in range(2):
+        tables.upsert(change, path, ["id", "day"], "day", ("s", 1))
+        got = tables.read_table(spark, path, change.schema)
+        assert rows(got, "id", "day", "v") == expected
+    assert not Path(f"{path}__staged/s-1").exists()
+
+
+def test_changes_keep_tombstones_over_compaction(spark, folder):
+    path, number = f"{folder}/t", iter(range(100))
+    schema = spark.createDataFrame([], "id int, seq int, v string, is_deleted boolean").schema
+
+    def feed(*changes):
+        change = "s", next(number)
+        for _time in range(2):  # a repeated change is one change
+            tables.apply_changes(spark.createDataFrame(list(changes), schema), path, ["id"],
+                                 "seq", change)
+
+    def live():
+        return rows(tables.live_rows(spark, path, schema, ["id"], "seq"), "id", "v")
+
+    feed((1, 1, "a", False), (2, 1, "b", False), (1, 3, "c", False))
+    feed((2, 5, None, True))
+    tables.compact_changes(spark, path, schema, ["id"], "seq")
+    feed((2, 4, "late", False), (1, 2, "old", False))
+    feed((3, 1, "new", False))
+    assert live() == [(1, "c"), (3, "new")]
+    tables.compact_changes(spark, path, schema, ["id"], "seq")
+    assert live() == [(1, "c"), (3, "new")]
+    # the last change comes again after it was folded into the base
+    tables.apply_changes(spark.createDataFrame([(3, 1, "new", False)], schema), path, ["id"],
+                         "seq", ("s", 3))
+    assert not list(Path(path, "log").iterdir())
+    feed((2, 6, "back", False))
+    assert live() == [(1, "c"), (2, "back"), (3, "new")]
 
 
 def test_incremental_since_reads_all_without_a_mark(spark, folder):
@@ -140,13 +205,37 @@ def test_incremental_since_reads_all_without_a_mark(spark, folder):
     none = F.lit(None).cast("int")
     assert tables.incremental_since(df, "t", none).count() == 3
     tables.store_high_water(df.where("t < 6"), "t", f"{folder}/mark")
-    mark = spark.read.parquet(f"{folder}/mark").select("high_water").scalar()
-    assert rows(tables.incremental_since(df, "t", mark)) == [(9,)]
-
-
-def test_erasure(spark, folder):
-    df = spark.createDataFrame([(1, "a"), (2, "b"), (1, "c")], "s int, v string")
+    mark = tables.read_current(spark, f"{folder}/mark").select("high_water").scalar()
+    # rows of the same instant may come later
+    assert rows(tables.incremental_since(df, "t", mark)) == [(5,), (9,)]
+
+
+def test_archive_keeps_days_that_the_log_has_lost(spark, folder):
+    path, limit = f"{folder}/a", F.lit(date(2024, 1, 4))
+    log = spark.sql("""select timestamp_ntz'2024-01-01' + make_dt_interval(0, 8 * id) as ts, id
+        from range(12)""")
+    archive = lambda df: tables.archive_log(df, "ts", path, limit)
+    archive(log)
+    archive(log.where("id >= 2"))  # the first day is half gone
+    got = spark.read.parquet(path)
+    assert rows(got, "id") == [(i,) for i in range(9)]
+    before = sorted(p.name for p in Path(path, "log_date=2024-01-02").iterdir())
+    late = log.union(spark.sql("select timestamp_ntz'2024-01-03 05:00:00', 99L"))
+    archive(late)  # a day that got a row is written again, the others are not
+    assert rows(spark.read.parquet(path), "id") == [(i,) for i in range(9)] + [(99,)]
+    assert before == sorted(p.name for p in Path(path, "log_date=2024-01-02").iterdir())
+
+
+def test_erasure_rewrites_touched_partitions_and_keeps_its_audit(spark, folder):
+    path, audit = f"{folder}/t", f"{folder}/audit"
+    df = spark.createDataFrame(
+        [(1, "a", 1), (2, "b", 1), (1, "c", 2), (3, "d", 3)], "s int, v string, p int")
+    df.write.partitionBy("p").parquet(path)
     gone = spark.createDataFrame([(1,), (1,), (7,)], "s int")
-    tables.erase_subjects(df, gone, "s", f"{folder}/v2")
-    assert rows(spark.read.parquet(f"{folder}/v2"), "s", "v") == [(2, "b")]
+    before = sorted(f.name for f in Path(path, "p=3").iterdir())
+    for _time in range(2):
+        tables.erase_subjects(spark, path, df.schema, gone, "s", "p", audit, "r1")
+    assert rows(tables.read_table(spark, path, df.schema), "s", "v") == [(2, "b"), (3, "d")]
+    assert before == sorted(f.name for f in Path(path, "p=3").iterdir())
+    assert rows(spark.read.parquet(audit), "s", "erased_rows") == [(1, 2)]
     assert rows(tables.erasure_audit({"t": df}, gone, "s")) == [("t", 1, 2)]

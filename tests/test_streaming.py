@@ -14,7 +14,8 @@ from tidemark.streaming import jobs
 
 @pytest.fixture
 def event_files(spark, tmp_path):
-    """The event table in four files, and the views over them as a stream."""
+    """The event table in four files, none later than another, and the views over
+    them as a stream."""
     events = spark.read.parquet(f"{SMALL}/events.parquet")
     source = str(tmp_path / "events")
     events.repartition(4, "event_id").write.parquet(source)
@@ -33,49 +34,74 @@ def silver_rows(df):
     return rows(plain, *bikes.PAYLOAD)
 
 
+def clean(raw):
+    return bikes.with_partition(bikes.silver_clean(raw, with_ingestion=True))
+
+
+def run_silver(stream, silver, checkpoint, after=None):
+    jobs.run_bronze_silver(
+        stream.bike_stations_raw(), clean, silver,
+        [*bikes.SILVER_KEYS, bikes.SILVER_PARTITION], bikes.SILVER_PARTITION, checkpoint,
+        "ingestion_time", after=after)
+
+
+GOLD = [(bikes.network_summary, "extraction_at"), (bikes.station_hourly, "hour_bucket")]
+
+
 @pytest.mark.parametrize("files_per_batch", [1, 4])
-def test_silver_and_gold_equal_batch(spark, tmp_path, event_files, files_per_batch):
+@pytest.mark.parametrize("build, day", GOLD, ids=["summary", "hourly"])
+def test_silver_and_gold_equal_batch(spark, tmp_path, event_files, files_per_batch, build, day):
     batch = bikes.silver_clean(
         Tables(spark, SMALL).bike_stations_raw(), with_ingestion=True)
     schema = bikes.with_partition(batch).schema
     silver, gold = str(tmp_path / "silver"), str(tmp_path / "gold")
     checkpoint = str(tmp_path / "mark")
-
-    def build(part):
-        return bikes.with_partition(bikes.network_summary(part))
-
-    def clean(raw):
-        return bikes.with_partition(bikes.silver_clean(raw, with_ingestion=True))
-
+    refresh = jobs.refresh_touched(
+        silver, schema, gold, bikes.SILVER_PARTITION, "day",
+        lambda rows: build(rows).withColumn("day", F.to_date(day)))
     for _run in range(2):  # the second run has nothing to do
-        jobs.run_bronze_silver(
-            event_files(files_per_batch).bike_stations_raw(), clean, silver,
-            bikes.SILVER_KEYS, bikes.SILVER_PARTITION, checkpoint, "ingestion_time",
-            after=jobs.refresh_touched(silver, schema, gold, "extraction_at",
-                                       bikes.SILVER_PARTITION, build, ["extraction_at"]))
+        run_silver(event_files(files_per_batch), silver, checkpoint, refresh)
     got = tables.read_table(spark, silver, schema)
     # Files are not ordered by time: a later batch may hold an older copy of a
     # station and hour, which must not replace the newer one.
     assert silver_rows(got) == silver_rows(batch)
-    columns = bikes.network_summary(batch).columns
-    assert rows(spark.read.parquet(gold), *columns) == rows(
-        bikes.network_summary(got), *columns)
+    columns = build(batch).columns
+    assert rows(spark.read.parquet(gold), *columns) == rows(build(batch), *columns)
 
 
-def test_hourly_stream_equals_batch(spark, tmp_path):
+def test_two_checkpoints_and_a_reset_one_lose_nothing(spark, tmp_path, event_files):
+    batch = bikes.silver_clean(
+        Tables(spark, SMALL).bike_stations_raw(), with_ingestion=True)
     silver = str(tmp_path / "silver")
-    batch = bikes.with_partition(
-        bikes.silver_clean(Tables(spark, SMALL).bike_stations_raw()))
-    batch.repartitionByRange(3, "extraction_at").write.parquet(silver)
-    stream = jobs.file_stream(spark, silver, batch.schema, files_per_batch=1)
-    timed = stream.withColumn("extraction_at", jobs.event_time("extraction_at"))
-    hourly = bikes.station_hourly(timed.withWatermark("extraction_at", "60 days"))
-    hourly = hourly.withColumn("day", F.to_date("hour_bucket"))
-    jobs.upsert_stream(hourly, str(tmp_path / "gold"), [*bikes.STATION, "hour_bucket"],
-                       "day", str(tmp_path / "mark"))
-    got = tables.read_table(spark, str(tmp_path / "gold"), hourly.schema)
-    expected = bikes.station_hourly(batch)
-    assert rows(got, *expected.columns) == rows(expected)
+    events = spark.read.parquet(f"{SMALL}/events.parquet")
+    for half in (0, 1):  # two feeds with batch numbers of their own
+        source = str(tmp_path / f"half{half}")
+        events.where(F.col("event_id") % 2 == half).write.parquet(source)
+        views = Tables(spark, SMALL)
+        views.__dict__["events"] = jobs.file_stream(spark, source, events.schema)
+        run_silver(views, silver, str(tmp_path / f"mark{half}"))
+    schema = bikes.with_partition(batch).schema
+    assert silver_rows(tables.read_table(spark, silver, schema)) == silver_rows(batch)
+    run_silver(event_files(4), silver, str(tmp_path / "reset"))
+    assert silver_rows(tables.read_table(spark, silver, schema)) == silver_rows(batch)
+
+
+@pytest.mark.parametrize("files_per_batch", [1, 4])
+def test_login_windows_over_midnight_equal_batch(spark, tmp_path, event_files, files_per_batch):
+    sink, alerts = str(tmp_path / "logins"), str(tmp_path / "alerts")
+    logins = event_files(files_per_batch).login_history().withColumn(
+        "log_date", F.to_date("event_timestamp"))
+
+    def spikes(rows):
+        return governance.failed_login_spikes(rows, 0, "2 hours", "1 hour")
+
+    refresh = jobs.refresh_touched(
+        sink, logins.schema, alerts, "log_date", "window_date",
+        lambda rows: spikes(rows).withColumn("window_date", F.to_date("window_start")), reach=1)
+    for _run in range(2):
+        jobs.append_stream(logins, sink, "log_date", str(tmp_path / "mark"), refresh)
+    expected = spikes(Tables(spark, SMALL).login_history())
+    assert rows(spark.read.parquet(alerts), *expected.columns) == rows(expected)
 
 
 @pytest.mark.parametrize("files_per_batch", [1, 4])
@@ -85,12 +111,14 @@ def test_change_stream_does_not_depend_on_arrival(
         "user_id", F.col("event_id").alias("seq"), "event_type",
         (F.col("event_type") == "error").alias("is_deleted"))
     path = str(tmp_path / "users")
-    jobs.apply_change_stream(feed, path, ["user_id"], "seq", str(tmp_path / "mark"), 4)
+    jobs.apply_change_stream(feed, path, ["user_id"], "seq", str(tmp_path / "mark"))
     events = spark.read.parquet(f"{SMALL}/events.parquet")
     last = events.groupBy("user_id").agg(
         F.max("event_id").alias("seq"), F.max_by("event_type", "event_id").alias("e"))
-    assert rows(tables.live_rows(spark, path, feed.schema), "user_id", "seq",
-                "event_type") == rows(last.where("e != 'error'"))
+    for _step in range(2):
+        live = tables.live_rows(spark, path, feed.schema, ["user_id"], "seq")
+        assert rows(live, "user_id", "seq", "event_type") == rows(last.where("e != 'error'"))
+        tables.compact_changes(spark, path, feed.schema, ["user_id"], "seq")
 
 
 def test_ingest_skips_loaded_files_and_takes_new_ones(spark, tmp_path):
@@ -123,16 +151,16 @@ def test_running_ingest_picks_files_up_as_they_arrive(spark, tmp_path):
     assert spark.read.parquet(sink).count() == 7
 
 
-def test_dedup_stream_across_batches(spark, tmp_path):
-    source = str(tmp_path / "in")
+def test_dedup_stream_keeps_each_key_once_however_late(spark, tmp_path):
+    source, sink = str(tmp_path / "in"), str(tmp_path / "out")
     start = datetime(2024, 1, 1)
-    data = [(i % 10, start + timedelta(minutes=i)) for i in range(40)]
+    data = [(i % 10, start + timedelta(days=(i * 37) % 400)) for i in range(40)]
     df = spark.createDataFrame(data, "k int, ts timestamp_ntz")
-    df.repartitionByRange(4, "ts").write.parquet(source)
+    df.repartition(4, "ts").write.parquet(source)
     stream = jobs.file_stream(spark, source, df.schema, files_per_batch=1)
-    once = jobs.dedup_stream(stream, ["k"], "ts", "1 day")
-    jobs.append_stream(once.select("k"), str(tmp_path / "out"), str(tmp_path / "mark"))
-    assert rows(spark.read.parquet(str(tmp_path / "out"))) == [(k,) for k in range(10)]
+    keyed = stream.select("k", tables.key_bucket(["k"], 3).alias("b"))
+    jobs.dedup_stream(keyed, sink, ["k"], "b", str(tmp_path / "mark"))
+    assert rows(spark.read.parquet(sink), "k") == [(k,) for k in range(10)]
 
 
 def test_login_spike_window_is_sliding(spark):

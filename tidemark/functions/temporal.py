@@ -75,6 +75,11 @@ def last_n_days(df: DataFrame, ts: str, days: int, as_of: Column) -> DataFrame:
     return df.where(F.col(ts) >= days_before(as_of, days))
 
 
+def last_minutes(df: DataFrame, ts: str, minutes: int, as_of: Column) -> DataFrame:
+    """Rows of the ``minutes`` up to ``as_of``; the raw column is compared."""
+    return df.where(F.col(ts) > as_of - F.make_dt_interval(mins=F.lit(minutes)))
+
+
 def parse_instant(value: Column) -> Column:
     """Text to an instant; junk gives null.
 

@@ -18,11 +18,17 @@ from tidemark.functions.money import ratio
 
 @dataclass(frozen=True)
 class Dimension:
-    """A dimension table, its key and the attributes it offers."""
+    """A dimension table, its key and the attributes it offers.
+
+    ``early``: a small table (a calendar) whose attributes are much coarser than
+    its key.  It is joined before the fact is summed, so that the shuffle has a row
+    per attribute, not per key.
+    """
 
     df: DataFrame
     key: str
     attributes: tuple[str, ...]
+    early: bool = False
 
 
 @dataclass(frozen=True)
@@ -73,25 +79,32 @@ class MetricModel:
             raise ValueError(f"{fact_name} has no key to {unreachable}")
         sums = [m for m in measures if m in fact.sums]
         distincts = [m for m in measures if m in fact.distincts]
-        grain = list(
-            dict.fromkeys(
-                [fact.keys[h] for h in homes] + [fact.distincts[m] for m in distincts]
-            )
-        )
-        rows = fact.df.groupBy(*grain).agg(
-            F.count(F.lit(1)).alias("_rows"),
-            *[F.sum(fact.sums[m]).alias(f"{fact_name}.{m}") for m in sums],
-        )
-        for home in homes:
+        early = [h for h in homes if self.dimensions[h].early]
+        late = [h for h in homes if h not in early]
+        attributes = list(dict.fromkeys([*by, *where]))
+
+        def joined(rows: DataFrame, home: str) -> DataFrame:
             dim = self.dimensions[home]
-            wanted = [a for a in dict.fromkeys([*by, *where]) if a in dim.attributes]
+            wanted = [a for a in attributes if a in dim.attributes]
             slim = dim.df.select(F.col(dim.key).alias("_dim_key"), *wanted)
             for attribute in wanted:
                 if attribute in where:
                     slim = slim.where(F.col(attribute) == where[attribute])
-            rows = rows.join(slim, F.col(fact.keys[home]) == F.col("_dim_key")).drop(
+            return rows.join(slim, F.col(fact.keys[home]) == F.col("_dim_key")).drop(
                 "_dim_key"
             )
+
+        rows = reduce(joined, early, fact.df)
+        grain = dict.fromkeys(
+            [a for a in attributes if self._home(a) in early]
+            + [fact.keys[h] for h in late]
+            + [fact.distincts[m] for m in distincts]
+        )
+        rows = rows.groupBy(*grain).agg(
+            F.count(F.lit(1)).alias("_rows"),
+            *[F.sum(fact.sums[m]).alias(f"{fact_name}.{m}") for m in sums],
+        )
+        rows = reduce(joined, late, rows)
         return rows.groupBy(*by).agg(
             *[
                 F.sum(f"`{fact_name}.{m}`").alias(f"{fact_name}.{m}")

@@ -39,15 +39,17 @@ def rolling_average(
     )
 
 
-def gap_runs(series: DataFrame, order: str, has_data: str) -> DataFrame:
-    """Runs of consecutive rows without data (gaps and islands)."""
-    so_far = Window.orderBy(order).rangeBetween(
+def gap_runs(
+    series: DataFrame, order: str, has_data: str, by: Sequence[str] = ()
+) -> DataFrame:
+    """Runs of consecutive rows without data (gaps and islands), within each group."""
+    so_far = Window.partitionBy(*by).orderBy(order).rangeBetween(
         Window.unboundedPreceding, Window.currentRow
     )
     grouped = series.withColumn("_group", F.sum(has_data).over(so_far))
     return (
         grouped.where(F.col(has_data) == 0)
-        .groupBy("_group")
+        .groupBy(*by, "_group")
         .agg(
             F.min(order).alias("gap_start"),
             F.max(order).alias("gap_end"),

@@ -138,12 +138,7 @@ def station_hourly(silver: DataFrame) -> DataFrame:
     def average(column: str) -> Column:
         return ratio(F.sum(column), F.count(column))
 
-    # On a stream the hour is a window, so that old state can be dropped.
-    hour = (
-        F.window("extraction_at", "1 hour").start.cast("timestamp_ntz")
-        if silver.isStreaming
-        else hour_floor(F.col("extraction_at"))
-    )
+    hour = hour_floor(F.col("extraction_at"))
     return silver.groupBy(*STATION, hour.alias("hour_bucket")).agg(
         average("free_bikes").alias("avg_free_bikes"),
         average("empty_slots").alias("avg_empty_slots"),

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import (
     DecimalType, DoubleType, LongType, StringType, StructField, StructType,
+    TimestampNTZType,
 )
 
 from tidemark.functions.masks import ANALYST, OPS
@@ -160,7 +161,7 @@ def _(t: Tables) -> DataFrame:
     path = scratch_path(t.spark, "reference")
     tables.full_replace(t.nation.where("n_regionkey = 0"), path)
     tables.full_replace(t.nation, path)
-    return t.spark.read.schema(t.nation.schema).parquet(path)
+    return tables.read_current(t.spark, path)
 
 
 def _dated_orders(t: Tables) -> DataFrame:
@@ -184,9 +185,9 @@ def _(t: Tables) -> DataFrame:
     path = scratch_path(t.spark, "upsert")
     rows = _dated_orders(t)
     tables.upsert(rows.where("o_orderstatus != 'F'"), path, ["o_orderkey"],
-                  "order_year", 0)
+                  "order_year")
     paid = rows.where("o_orderstatus != 'O'").withColumn("o_orderstatus", F.lit("X"))
-    tables.upsert(paid, path, ["o_orderkey"], "order_year", 1)
+    tables.upsert(paid, path, ["o_orderkey"], "order_year")
     return tables.read_table(t.spark, path, rows.schema)
 
 
@@ -344,7 +345,10 @@ def _(t: Tables) -> DataFrame:
 
 @register("b04_latest_snapshot")
 def _(t: Tables) -> DataFrame:
-    return bikes.latest_snapshot(bikes.network_summary(_silver(t)))
+    """The newest snapshot is found before anything is aggregated."""
+    rows = _usable(t)
+    newest = rows.where(F.col("extraction_at") == latest(rows, "extraction_at"))
+    return bikes.latest_snapshot(bikes.network_summary(bikes.silver_latest(newest)))
 
 
 @register("b04_map_rows")
@@ -524,31 +528,22 @@ def _(t: Tables) -> DataFrame:
 
 @register("q16_calendar_continuity")
 def _(t: Tables) -> DataFrame:
-    """Dates of urgent finished orders taken as the calendar."""
-    days = t.orders.select(F.to_date("o_orderdate").alias("calendar_date")).where(
-        "o_orderstatus = 'F' and o_orderpriority = '1-URGENT'"
-    )
+    """Dates of all orders taken as the calendar."""
+    days = t.orders.select(F.to_date("o_orderdate").alias("calendar_date"))
     return validation.missing_calendar_days(days.distinct())
 
 
 @register("q17_days_without_revenue")
 def _(t: Tables) -> DataFrame:
     return validation.business_days_without_rows(
-        t.dim_date(), _urgent_revenue(t), _ship_day(t), 365
+        t.dim_date(), t.fact_revenue(), _ship_day(t), 365, ["gl_account_key"]
     )
 
 
-def _urgent_revenue(t: Tables) -> DataFrame:
-    """Urgent finished orders by date: a business that does not trade every day."""
-    return t.orders.where(
-        "o_orderstatus = 'F' and o_orderpriority = '1-URGENT'"
-    ).select((F.date_format("o_orderdate", "yyyyMMdd")).cast("int").alias("date_key"))
-
-
 @register("q18_expense_gaps")
 def _(t: Tables) -> DataFrame:
     return validation.expense_gap_runs(
-        t.dim_date(), _urgent_revenue(t), _ship_day(t), 365
+        t.dim_date(), t.fact_expense(), _ship_day(t), 365, ["gl_account_key"]
     )
 
 
@@ -570,8 +565,12 @@ def _(t: Tables) -> DataFrame:
     client = ("client_key", clients, "client_key", False)
     account = ("gl_account_key", accounts, "gl_account_key", False)
     return shape.union_all([
+        # the client of a revenue row takes a join, the other keys do not
         validation.orphan_checks(t.fact_revenue(True), "FACT_REVENUE", {
-            "DIM_DATE": date, "DIM_CLIENT": client,
+            "DIM_CLIENT": client,
+        }),
+        validation.orphan_checks(t.fact_revenue(), "FACT_REVENUE", {
+            "DIM_DATE": date,
             "DIM_PRODUCT": ("product_key", products, "product_key", False),
             "DIM_GL_ACCOUNT": account,
         }),
@@ -653,24 +652,28 @@ def _(t: Tables) -> DataFrame:
 @register("q24_latency")
 def _(t: Tables) -> DataFrame:
     since = latest(t.lineitem, "l_shipdate") - F.expr("interval 30 days")
+    # rows are created within a day of their date, which prunes the scan
+    shipped = latest(t.lineitem, "l_shipdate") - F.expr("interval 31 days")
     raw = t.portfolio_transactions(False).select("transaction_id", "loaded_at")
     lines = t.ledger_lines().select(
         F.concat_ws("-", F.lit("NS"), "transaction", "line_sequence").alias(
             "transaction_id"), "loaded_at",
     )
     return shape.union_all([
-        validation.latency(t.fact_revenue(), raw, "transaction_id", "Revenue", since),
-        validation.latency(t.fact_expense(), lines, "transaction_id", "Expenses", since),
+        validation.latency(t.fact_revenue(since=shipped), raw, "transaction_id",
+                           "Revenue", since),
+        validation.latency(t.fact_expense(since=shipped), lines, "transaction_id",
+                           "Expenses", since),
     ])
 
 
 @register("q25_health")
 def _(t: Tables) -> DataFrame:
     return validation.health(
-        t.fact_revenue(True), t.fact_expense(),
+        t.fact_revenue(), t.fact_expense(),
         t.customer.withColumnRenamed("c_custkey", "client_key"),
         t.dim_product(), t.dim_date(), t.dim_cost_center(), t.dim_gl_account(),
-        latest(t.lineitem, "l_shipdate"),
+        latest(t.lineitem, "l_shipdate"), revenue_clients=t.fact_revenue(True),
     )
 
 
@@ -694,9 +697,7 @@ def _(t: Tables) -> DataFrame:
 
 @register("q27_expense_rules")
 def _(t: Tables) -> DataFrame:
-    return validation.expense_rules(
-        t.fact_expense(), t.dim_gl_account().where("gl_account_name != 'Cost NATION_3'")
-    )
+    return validation.expense_rules(t.fact_expense(), t.dim_gl_account())
 
 
 # -- curation -----------------------------------------------------------------
@@ -1158,12 +1159,16 @@ def _erasures(t: Tables) -> DataFrame:
 
 @register("g06_erasure")
 def _(t: Tables) -> DataFrame:
-    path = scratch_path(t.spark, "erased")
+    path, audit = scratch_path(t.spark, "orders"), scratch_path(t.spark, "audit")
     orders = t.orders.select(
-        F.col("o_custkey").alias("subject"), "o_orderkey", "o_orderstatus"
+        F.col("o_custkey").alias("subject"), "o_orderkey", "o_orderstatus",
+        F.year("o_orderdate").alias("order_year"),
     )
-    tables.erase_subjects(orders, _erasures(t), "subject", path)
-    return t.spark.read.parquet(path)
+    orders.write.partitionBy("order_year").parquet(path)
+    for _run in range(2):  # repeating a request must not change its audit
+        tables.erase_subjects(t.spark, path, orders.schema, _erasures(t), "subject",
+                              "order_year", audit, "1")
+    return tables.read_table(t.spark, path, orders.schema).drop("order_year")
 
 
 @register("g06_erasure_audit")
@@ -1176,36 +1181,53 @@ def _(t: Tables) -> DataFrame:
     )
 
 
-@register("g07_log_archive")
-def _(t: Tables) -> DataFrame:
+def _archived(t: Tables, log: DataFrame, ts: str) -> DataFrame:
+    """Days of a log that is trimmed between two runs."""
     path = scratch_path(t.spark, "archive")
-    log = t.login_history()
     limit = F.date_sub(F.to_date(_event_time(t)), 10)
-    for _run in range(2):  # repeating it must not duplicate rows
-        tables.archive_log(log, "event_timestamp", path, limit)
+    trimmed = log.where(F.col(ts) >= F.date_sub(F.to_date(_event_time(t)), 20) + F.expr(
+        "interval 12 hours"))
+    for rows in (log, log, trimmed):
+        tables.archive_log(rows, ts, path, limit)
     return t.spark.read.parquet(path).groupBy("log_date").agg(
         F.count(F.lit(1)).alias("n_rows")
     )
 
 
+@register("g07_log_archive")
+def _(t: Tables) -> DataFrame:
+    return _archived(t, t.login_history(), "event_timestamp")
+
+
+@register("g07_query_archive")
+def _(t: Tables) -> DataFrame:
+    return _archived(t, t.query_history().select("user_name", "start_time"), "start_time")
+
+
 @register("l01_failed_login_spikes")
 def _(t: Tables) -> DataFrame:
     return governance.failed_login_spikes(t.login_history(), 5, "2 hours", "1 hour")
 
 
+#: The test log has few rows, so alerts look back two weeks.
+ALERT_MINUTES = 14 * 24 * 60
+
+
 @register("l02_off_hours")
 def _(t: Tables) -> DataFrame:
-    return governance.off_hours_access(t.query_history(), "FINANCE")
+    return governance.off_hours_access(
+        t.query_history(), "FINANCE", _event_time(t), ALERT_MINUTES)
 
 
 @register("l03_bulk_exports")
 def _(t: Tables) -> DataFrame:
-    return governance.bulk_exports(t.query_history(), "FINANCE")
+    return governance.bulk_exports(
+        t.query_history(), "FINANCE", _event_time(t), ALERT_MINUTES)
 
 
 @register("l04_admin_alerts")
 def _(t: Tables) -> DataFrame:
-    return governance.admin_alerts(t.query_history())
+    return governance.admin_alerts(t.query_history(), _event_time(t), ALERT_MINUTES)
 
 
 # -- metric layer -------------------------------------------------------------
@@ -1250,12 +1272,24 @@ def _(t: Tables) -> DataFrame:
 
 # -- incremental jobs ---------------------------------------------------------
 
+STREAM_FILES = 4
+
 
 def _event_stream(t: Tables) -> Tables:
-    """The same views over the event table read as a stream."""
+    """The same views over the events as a stream of several files.
+
+    Files are dealt by key, so none follows another in time, and come one batch
+    each.
+    """
+    return _streamed(t, "events", t.events.repartition(STREAM_FILES, "event_id"))
+
+
+def _streamed(t: Tables, name: str, rows: DataFrame) -> Tables:
+    source = scratch_path(t.spark, "files")
+    rows.write.parquet(source)
     stream = Tables(t.spark, t.folder)
-    stream.__dict__["events"] = jobs.file_stream(
-        t.spark, t.folder, t.events.schema, pattern="events.parquet"
+    stream.__dict__[name] = jobs.file_stream(
+        t.spark, source, rows.schema, files_per_batch=1
     )
     return stream
 
@@ -1270,8 +1304,9 @@ def _run_silver(t: Tables, after=None) -> str:
     jobs.run_bronze_silver(
         _event_stream(t).bike_stations_raw(),
         lambda raw: bikes.with_partition(bikes.silver_clean(raw, with_ingestion=True)),
-        silver, bikes.SILVER_KEYS, bikes.SILVER_PARTITION,
-        scratch_path(t.spark, "mark"), newest_by="ingestion_time", after=after(silver) if after else None,
+        silver, [*bikes.SILVER_KEYS, bikes.SILVER_PARTITION], bikes.SILVER_PARTITION,
+        scratch_path(t.spark, "mark"), newest_by="ingestion_time",
+        after=after(silver) if after else None,
     )
     return silver
 
@@ -1284,40 +1319,27 @@ def _(t: Tables) -> DataFrame:
     )
 
 
-@register("r02_network_summary_stream")
-def _(t: Tables) -> DataFrame:
-    schema = _silver_schema(t)
-    gold = scratch_path(t.spark, "gold")
-
-    def build(rows: DataFrame) -> DataFrame:
-        return bikes.with_partition(bikes.network_summary(rows))
-
+def _gold(t: Tables, build: Callable[[DataFrame], DataFrame], day: Column) -> DataFrame:
+    """A gold table kept up to date behind the silver stream."""
+    schema, gold = _silver_schema(t), scratch_path(t.spark, "gold")
     _run_silver(
         t,
         after=lambda silver: jobs.refresh_touched(
-            silver, schema, gold, "extraction_at", bikes.SILVER_PARTITION, build,
-            ["extraction_at"],
+            silver, schema, gold, bikes.SILVER_PARTITION, "gold_date",
+            lambda rows: build(rows).withColumn("gold_date", day),
         ),
     )
-    return t.spark.read.parquet(gold).drop(bikes.SILVER_PARTITION)
+    return t.spark.read.parquet(gold).drop("gold_date")
+
+
+@register("r02_network_summary_stream")
+def _(t: Tables) -> DataFrame:
+    return _gold(t, bikes.network_summary, F.to_date("extraction_at"))
 
 
 @register("r03_station_hourly_stream")
 def _(t: Tables) -> DataFrame:
-    gold, mark = scratch_path(t.spark, "hourly"), scratch_path(t.spark, "mark")
-    silver = scratch_path(t.spark, "silver")
-    bikes.with_partition(_silver(t)).write.parquet(silver)
-    stream = jobs.file_stream(
-        t.spark, silver, bikes.with_partition(_silver(t)).schema
-    )
-    timed = stream.withColumn("extraction_at", jobs.event_time("extraction_at"))
-    hourly = bikes.station_hourly(
-        timed.withWatermark("extraction_at", "2 hours")
-    ).withColumn("hour_date", F.to_date("hour_bucket"))
-    jobs.upsert_stream(
-        hourly, gold, [*bikes.STATION, "hour_bucket"], "hour_date", mark
-    )
-    return tables.read_table(t.spark, gold, hourly.schema).drop("hour_date")
+    return _gold(t, bikes.station_hourly, F.to_date("hour_bucket"))
 
 
 @register("r05_apply_changes")
@@ -1328,15 +1350,16 @@ def _(t: Tables) -> DataFrame:
         "user_id", F.col("event_id").alias("seq"), "event_type",
         (F.col("event_type") == "error").alias("is_deleted"),
     )
-    jobs.apply_change_stream(feed, path, ["user_id"], "seq", mark, buckets=8)
-    return tables.live_rows(t.spark, path, feed.schema)
+    jobs.apply_change_stream(feed, path, ["user_id"], "seq", mark)
+    tables.compact_changes(t.spark, path, feed.schema, ["user_id"], "seq")
+    return tables.live_rows(t.spark, path, feed.schema, ["user_id"], "seq")
 
 
 @register("r06_incremental_since")
 def _(t: Tables) -> DataFrame:
     path = scratch_path(t.spark, "high-water")
     tables.store_high_water(t.orders, "o_orderdate", path)
-    mark = t.spark.read.parquet(path).select("high_water").scalar()
+    mark = tables.read_current(t.spark, path).select("high_water").scalar()
     return tables.incremental_since(t.lineitem, "l_shipdate", mark).select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_shipdate"
     )
@@ -1346,7 +1369,10 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     """Dimension, fact, rollup: each step reads what the one before wrote."""
     root = scratch_path(t.spark, "layers")
-    read = t.spark.read.parquet
+
+    def read(path: str) -> DataFrame:
+        return tables.read_current(t.spark, path)
+
     jobs.refresh_all([
         ("dim_client", t.dim_client, f"{root}/dim_client"),
         ("fact_revenue", lambda: t.fact_revenue(True), f"{root}/fact_revenue"),
@@ -1360,23 +1386,38 @@ def _(t: Tables) -> DataFrame:
 
 @register("r08_failed_login_stream")
 def _(t: Tables) -> DataFrame:
-    sink, mark = scratch_path(t.spark, "alerts"), scratch_path(t.spark, "mark")
-    alerts = governance.failed_login_spikes(
-        _event_stream(t).login_history(), 5, "2 hours", "1 hour", "1 hour"
-    ).withColumn("window_date", F.to_date("window_start"))
-    jobs.upsert_stream(alerts, sink, ["window_start"], "window_date", mark)
-    return tables.read_table(t.spark, sink, alerts.schema).drop("window_date")
+    sink, alerts = scratch_path(t.spark, "logins"), scratch_path(t.spark, "alerts")
+    logins = _event_stream(t).login_history().withColumn(
+        "log_date", F.to_date("event_timestamp")
+    )
+
+    def build(rows: DataFrame) -> DataFrame:
+        found = governance.failed_login_spikes(rows, 5, "2 hours", "1 hour")
+        return found.withColumn("window_date", F.to_date("window_start"))
+
+    jobs.append_stream(
+        logins, sink, "log_date", scratch_path(t.spark, "mark"),
+        after=jobs.refresh_touched(
+            sink, logins.schema, alerts, "log_date", "window_date", build, reach=1
+        ),
+    )
+    schema = StructType([
+        StructField("window_start", TimestampNTZType()),
+        StructField("window_end", TimestampNTZType()),
+        StructField("failed_logins", LongType()),
+    ])
+    return tables.read_table(t.spark, alerts, schema).drop("window_date")
 
 
 @register("r09_dedup_stream")
 def _(t: Tables) -> DataFrame:
     sink, mark = scratch_path(t.spark, "once"), scratch_path(t.spark, "mark")
-    lines = jobs.file_stream(
-        t.spark, t.folder, t.lineitem.schema, pattern="lineitem.parquet"
-    ).select("l_orderkey", "l_linenumber", "l_shipdate")
-    once = jobs.dedup_stream(
-        lines, ["l_orderkey", "l_linenumber"], "l_shipdate", "1 day"
-    )
-    jobs.append_stream(once.drop("l_shipdate"), sink, mark)
-    return t.spark.read.parquet(sink)
-
+    lines = t.lineitem.select("l_orderkey", "l_linenumber", "l_shipdate")
+    # every line comes twice, in different files
+    twice = lines.unionAll(lines).repartition(STREAM_FILES)
+    keys = ["l_orderkey", "l_linenumber"]
+    stream = _streamed(t, "lineitem", twice).lineitem.select(
+        *keys, tables.key_bucket(keys, 8).alias(tables.BUCKET)
+    )
+    jobs.dedup_stream(stream, sink, keys, tables.BUCKET, mark)
+    return t.spark.read.parquet(sink).drop(tables.BUCKET)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.masks import (
     ANALYST, COMPLIANCE, EXECUTIVE, OPS, SERVICE, masked,
 )
-from tidemark.functions.temporal import day_diff, in_zone, iso_weekday, last_n_days
+from tidemark.functions.temporal import day_diff, in_zone, iso_weekday, last_minutes, last_n_days
 from tidemark.functions.text import name_matches_any
 from tidemark.operators.shape import labelled_counts, list_distinct
 from tidemark.streaming.jobs import sliding_counts
@@ -185,11 +185,11 @@ def log_coverage(
 
 def failed_login_spikes(
     logins: DataFrame, threshold: int = FAILED_LOGINS, width: str = "10 minutes",
-    step: str = "5 minutes", delay: str = "10 minutes",
+    step: str = "5 minutes",
 ) -> DataFrame:
-    """Sliding windows with too many failed logins; batch or stream."""
+    """Sliding windows with too many failed logins."""
     failed = logins.where(F.col("is_success") == "NO")
-    counted = sliding_counts(failed, "event_timestamp", width, step, delay)
+    counted = sliding_counts(failed, "event_timestamp", width, step)
     return counted.where(F.col("n") > threshold).select(
         F.col("window.start").cast("timestamp_ntz").alias("window_start"),
         F.col("window.end").cast("timestamp_ntz").alias("window_end"),
@@ -197,14 +197,16 @@ def failed_login_spikes(
     )
 
 
-def off_hours_access(log: DataFrame, database: str) -> DataFrame:
-    """Access outside 6-22 h on weekdays, local time of the office.
+def off_hours_access(
+    log: DataFrame, database: str, as_of: Column, minutes: int = 30
+) -> DataFrame:
+    """Access of the last minutes outside 6-22 h on weekdays, local time of the office.
 
     Hour and weekday are both taken from the local time.
     """
     local = in_zone(F.col("start_time"), OFFICE_ZONE)
     outside = ~F.hour(local).between(*OFFICE_HOURS) | (iso_weekday(local) > 5)
-    return log.where(
+    return last_minutes(log, "start_time", minutes, as_of).where(
         (F.col("database_name") == database)
         & outside
         & (F.col("role_name") != SERVICE)
@@ -213,15 +215,20 @@ def off_hours_access(log: DataFrame, database: str) -> DataFrame:
     )
 
 
-def bulk_exports(log: DataFrame, database: str, rows: int = BULK_ROWS) -> DataFrame:
-    return log.where(
+def bulk_exports(
+    log: DataFrame, database: str, as_of: Column, minutes: int = 15, rows: int = BULK_ROWS
+) -> DataFrame:
+    """Large results of the last minutes."""
+    return last_minutes(log, "start_time", minutes, as_of).where(
         (F.col("database_name") == database)
         & (F.col("rows_produced") > rows)
         & ~F.col("role_name").isin(SERVICE, OPS)
     ).select("user_name", "role_name", "start_time", "rows_produced")
 
 
-def admin_alerts(log: DataFrame) -> DataFrame:
-    return log.where(F.col("role_name") == ADMIN_ROLE).select(
+def admin_alerts(log: DataFrame, as_of: Column, minutes: int = 5) -> DataFrame:
+    """Use of the administrator role in the last minutes."""
+    recent = last_minutes(log, "start_time", minutes, as_of)
+    return recent.where(F.col("role_name") == ADMIN_ROLE).select(
         "user_name", "role_name", "start_time"
     )

@@ -46,6 +46,7 @@ def finance_model(
             "date": Dimension(
                 dim_date, "date_key",
                 ("calendar_date", "year_number", "quarter_name", "month_number"),
+                early=True,
             ),
             "client": Dimension(
                 dim_client, "client_key",

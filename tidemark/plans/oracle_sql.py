@@ -325,9 +325,6 @@ VIEWS = {
         strftime(strptime(CAST(min(date_key) AS VARCHAR), '%Y%m%d'), '%b %Y') AS month_label
       FROM fact_revenue GROUP BY 1""",
     "ship_day": "SELECT CAST(max(l_shipdate) AS DATE) AS as_of FROM lineitem",
-    "sparse": """
-      SELECT DISTINCT CAST(strftime(o_orderdate, '%Y%m%d') AS INT) AS date_key
-      FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'""",
     "access_map": """
       SELECT 'manager' || n_nationkey AS user_email, n_name AS office_location,
         CAST(NULL AS BIGINT) AS client_key FROM nation
@@ -628,27 +625,30 @@ _CHECKS = {
           WHEN spent / rev > 0.75 THEN 'WARNING: Ratio above 75%' ELSE 'OK' END AS status
       FROM r LEFT JOIN e USING (year_number, quarter_name)""",
     "q16_calendar_continuity": """
-      WITH d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders
-        WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'),
+      WITH d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders),
       x AS (SELECT CAST(unnest(generate_series(min(d), max(d), INTERVAL 1 DAY)) AS DATE) AS d
         FROM d)
       SELECT d AS missing_date, strftime(d, '%a') AS day_name FROM x
       WHERE d NOT IN (SELECT d FROM d)""",
     "q17_days_without_revenue": """
-      SELECT calendar_date, day_name, 'NO REVENUE DATA' AS status FROM dim_date, ship_day
+      SELECT gl_account_key, calendar_date, day_name, 'NO REVENUE DATA' AS status
+      FROM (SELECT DISTINCT gl_account_key FROM fact_revenue), dim_date, ship_day
       WHERE calendar_date BETWEEN as_of - 365 AND as_of AND is_business_day
-        AND date_key NOT IN (SELECT date_key FROM sparse)""",
+        AND (gl_account_key, date_key) NOT IN
+          (SELECT (gl_account_key, date_key) FROM fact_revenue)""",
     "q18_expense_gaps": """
-      WITH s AS (SELECT calendar_date,
-          CASE WHEN date_key IN (SELECT date_key FROM sparse) THEN 1 ELSE 0 END AS has
-        FROM dim_date, ship_day
+      WITH p AS (SELECT DISTINCT gl_account_key, date_key, 1 AS has FROM fact_expense),
+      s AS (SELECT gl_account_key, calendar_date, coalesce(has, 0) AS has
+        FROM (SELECT * FROM (SELECT DISTINCT gl_account_key FROM fact_expense), ship_day,
+          dim_date) LEFT JOIN p USING (gl_account_key, date_key)
         WHERE calendar_date BETWEEN as_of - 365 AND as_of AND is_business_day),
-      g AS (SELECT *, sum(has) OVER (ORDER BY calendar_date) AS grp FROM s)
-      SELECT min(calendar_date) AS gap_start, max(calendar_date) AS gap_end,
+      g AS (SELECT *, sum(has) OVER (PARTITION BY gl_account_key ORDER BY calendar_date)
+        AS grp FROM s)
+      SELECT gl_account_key, min(calendar_date) AS gap_start, max(calendar_date) AS gap_end,
         count(*) AS consecutive_missing_days,
         CASE WHEN count(*) >= 3 THEN 'ALERT: 3+ consecutive days missing'
           ELSE 'INFO: minor gap' END AS status
-      FROM g WHERE has = 0 GROUP BY grp""",
+      FROM g WHERE has = 0 GROUP BY gl_account_key, grp""",
     "q19_latest_dates": " UNION ALL ".join(
         f"""SELECT '{n.upper()}' AS table_name, max(calendar_date) AS latest_date,
           date_diff('day', max(calendar_date), (SELECT as_of FROM ship_day)) AS days_behind
@@ -794,8 +794,7 @@ _CHECKS = {
         ('Paid', 'Pending', 'Accrued')) FROM fact_expense
       UNION ALL SELECT 'expense: account out of range', count(*) FROM fact_expense
         JOIN dim_gl_account USING (gl_account_key)
-        WHERE gl_account_name <> 'Cost NATION_3'
-          AND (gl_account_id < '5000' OR gl_account_id >= '8000')""",
+        WHERE (gl_account_id < '5000' OR gl_account_id >= '8000')""",
 }
 
 _CURATION = {
@@ -1225,6 +1224,9 @@ _GOVERNANCE = {
     "g07_log_archive": """
       SELECT CAST(event_timestamp AS DATE) AS log_date, count(*) AS n_rows FROM logins
       WHERE event_timestamp < CAST(as_of AS DATE) - 10 GROUP BY 1""",
+    "g07_query_archive": """
+      SELECT CAST(start_time AS DATE) AS log_date, count(*) AS n_rows FROM query_history
+      WHERE start_time < CAST(as_of AS DATE) - 10 GROUP BY 1""",
     "l01_failed_login_spikes": """
       SELECT w AS window_start, w + INTERVAL 2 HOUR AS window_end, count(*) AS failed_logins
       FROM (SELECT unnest([date_trunc('hour', event_timestamp),
@@ -1234,14 +1236,15 @@ _GOVERNANCE = {
     "l02_off_hours": """
       SELECT user_name, role_name, start_time, start_time - INTERVAL 5 HOUR AS local_time
       FROM query_history
-      WHERE role_name <> 'SERVICE' AND (hour(start_time - INTERVAL 5 HOUR) NOT BETWEEN 6 AND 22
+      WHERE start_time > as_of - INTERVAL 14 DAY AND role_name <> 'SERVICE' AND (hour(start_time - INTERVAL 5 HOUR) NOT BETWEEN 6 AND 22
         OR isodow(start_time - INTERVAL 5 HOUR) > 5)""",
     "l03_bulk_exports": """
       SELECT user_name, role_name, start_time, rows_produced FROM query_history
-      WHERE rows_produced > 10000 AND role_name NOT IN ('SERVICE', 'OPS')""",
+      WHERE start_time > as_of - INTERVAL 14 DAY AND rows_produced > 10000
+        AND role_name NOT IN ('SERVICE', 'OPS')""",
     "l04_admin_alerts": """
       SELECT user_name, role_name, start_time FROM query_history
-      WHERE role_name = 'ACCOUNTADMIN'""",
+      WHERE role_name = 'ACCOUNTADMIN' AND start_time > as_of - INTERVAL 14 DAY""",
 }
 
 
@@ -1304,7 +1307,7 @@ _STREAMS = {
         AND event_type <> 'error'""",
     "r06_incremental_since": """
       SELECT l_orderkey, l_linenumber, l_partkey, l_shipdate FROM lineitem
-      WHERE l_shipdate > (SELECT max(o_orderdate) FROM orders)""",
+      WHERE l_shipdate >= (SELECT max(o_orderdate) FROM orders)""",
     "r07_refresh_all": _FINANCE["q06_revenue_by_segment"],
     "r08_failed_login_stream": _GOVERNANCE["l01_failed_login_spikes"],
     "r09_dedup_stream": "SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem",

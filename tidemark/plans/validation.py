@@ -6,6 +6,8 @@ it, so the checks cost one aggregation per fact whatever they compare.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -235,26 +237,47 @@ def _recent_business_days(dim_date: DataFrame, as_of: Column, days: int) -> Data
     )
 
 
+def _expected_days(
+    dim_date: DataFrame, fact: DataFrame, as_of: Column, days: int, by: Sequence[str]
+) -> tuple[DataFrame, DataFrame]:
+    """Recent business days for each group of the fact, and those with rows.
+
+    The days come as one array of at most ``days`` entries, so each group is
+    expanded by them without a join of everything with everything.
+    """
+    recent = _recent_business_days(dim_date, as_of, days)
+    present = on_days(fact, recent).select(*by, "date_key").distinct()
+    if not by:
+        return recent.select("date_key", "calendar_date", "day_name"), present
+    calendar = recent.agg(
+        F.collect_list(F.struct("date_key", "calendar_date", "day_name")).alias("d")
+    ).scalar()
+    groups = fact.select(*by).distinct().withColumn("_day", F.explode(calendar))
+    return groups.select(*by, "_day.*"), present
+
+
 def business_days_without_rows(
-    dim_date: DataFrame, fact: DataFrame, as_of: Column, days: int = 30
+    dim_date: DataFrame, fact: DataFrame, as_of: Column, days: int = 30,
+    by: Sequence[str] = (),
 ) -> DataFrame:
-    recent = _recent_business_days(dim_date, as_of, days)
-    present = on_days(fact, recent).select("date_key").distinct()
-    return missing_in(recent, present, "date_key").select(
-        "calendar_date", "day_name", F.lit("NO REVENUE DATA").alias("status")
+    """Business days without rows, for each group of ``by`` that has any row."""
+    expected, present = _expected_days(dim_date, fact, as_of, days, by)
+    return expected.join(present, [*by, "date_key"], "left_anti").select(
+        *by, "calendar_date", "day_name", F.lit("NO REVENUE DATA").alias("status")
     )
 
 
 def expense_gap_runs(
-    dim_date: DataFrame, expense: DataFrame, as_of: Column, days: int = 30
+    dim_date: DataFrame, expense: DataFrame, as_of: Column, days: int = 30,
+    by: Sequence[str] = (),
 ) -> DataFrame:
-    """Runs of business days without expenses."""
-    recent = _recent_business_days(dim_date, as_of, days)
-    present = on_days(expense, recent).select("date_key").distinct().withColumn("has_data", F.lit(1))
-    series = recent.join(present, "date_key", "left").select(
-        "calendar_date", F.coalesce("has_data", F.lit(0)).alias("has_data")
+    """Runs of business days without expenses, for each group of ``by``."""
+    expected, present = _expected_days(dim_date, expense, as_of, days, by)
+    present = present.withColumn("has_data", F.lit(1))
+    series = expected.join(present, [*by, "date_key"], "left").select(
+        *by, "calendar_date", F.coalesce("has_data", F.lit(0)).alias("has_data")
     )
-    return gap_runs(series, "calendar_date", "has_data").withColumn(
+    return gap_runs(series, "calendar_date", "has_data", by).withColumn(
         "status",
         F.when(F.col("consecutive_missing_days") >= 3,
                "ALERT: 3+ consecutive days missing").otherwise("INFO: minor gap"),
@@ -376,15 +399,16 @@ def latency(
 ) -> DataFrame:
     """Minutes from raw arrival to curated write, for rows created since.
 
-    Copies of a key on either side are counted before the join: pairs are
-    weighted, not built.
+    Raw rows are cut to the keys of those before they are grouped.  Copies of a
+    key on either side are counted before the join: pairs are weighted, not built.
     """
     left = (
         curated.where(F.col("created_at") >= since)
         .groupBy(key, "created_at")
         .agg(F.count(F.lit(1)).alias("_l"))
     )
-    right = raw.groupBy(key, "loaded_at").agg(F.count(F.lit(1)).alias("_r"))
+    near = raw.join(left.select(key), key, "left_semi")
+    right = near.groupBy(key, "loaded_at").agg(F.count(F.lit(1)).alias("_r"))
     weight = F.col("_l") * F.col("_r")
     minutes = minute_diff(F.col("loaded_at"), F.col("created_at"))
     return (
@@ -406,11 +430,14 @@ def health(
     revenue: DataFrame, expense: DataFrame, dim_client: DataFrame,
     dim_product: DataFrame, dim_date: DataFrame, dim_cost_center: DataFrame,
     dim_gl_account: DataFrame, as_of: Column, expense_key: list[str] | None = None,
+    revenue_clients: DataFrame | None = None,
 ) -> DataFrame:
     """Eleven checks, each PASS or FAIL.
 
     Null and sign checks of a fact share one pass.  ``expense_key`` is what
-    makes an expense row unique: the document, or the document line.
+    makes an expense row unique: the document, or the document line.  If the
+    client of a revenue row takes a join, ``revenue_clients`` has the clients
+    and ``revenue`` can do without.
     """
     def orphans(fact, label, fk, dim, pk) -> DataFrame:
         return orphan_count(fact, dim, fk, pk, label).select(
@@ -425,8 +452,8 @@ def health(
 
     checks = union_all(
         [
-            orphans(revenue, "FK: Revenue -> Client", "client_key", dim_client,
-                    "client_key"),
+            orphans(revenue if revenue_clients is None else revenue_clients,
+                    "FK: Revenue -> Client", "client_key", dim_client, "client_key"),
             orphans(revenue, "FK: Revenue -> Product", "product_key", dim_product,
                     "product_key"),
             orphans(revenue, "FK: Revenue -> Date", "date_key", dim_date, "date_key"),

@@ -1,13 +1,16 @@
 """Incremental jobs.
 
 Every job is a file-source stream with its own checkpoint, so a file is read
-once however often the job runs.  ``available_now=True`` (the scheduled form)
+once however often the job runs.  File order is not event order, so no result
+depends on a watermark: batches go into stored tables, and what depends on them
+is recomputed from those tables for the partitions a batch touched.  ``available_now=True`` (the scheduled form)
 drains what is there and stops; otherwise the stream keeps running with the
 given trigger.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,7 +19,8 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from tidemark.sources.tables import (
-    apply_changes, full_replace, in_touched_partitions, read_table, upsert,
+    append_dedup, apply_changes, full_replace, in_touched_partitions, read_table,
+    read_text, upsert,
 )
 
 FILES_PER_BATCH = 1000
@@ -41,12 +45,9 @@ def file_stream(
     )
 
 
-def event_time(ts: Column | str) -> Column:
-    """Event time of a stream: watermarks want an instant, not a zone-less time.
-
-    Run streams with a UTC session, so that no wall-clock time is ambiguous.
-    """
-    return F.col(ts).cast("timestamp") if isinstance(ts, str) else ts.cast("timestamp")
+def stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id of a checkpoint: the same after a restart, another after a reset."""
+    return json.loads(read_text(spark, f"{checkpoint}/metadata"))["id"]
 
 
 def _start(writer, checkpoint: str, available_now: bool, every: str) -> StreamingQuery:
@@ -99,8 +100,9 @@ def run_bronze_silver(
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         rows = clean(batch).persist()  # read by the upsert and by what follows
+        change = stream_id(batch.sparkSession, checkpoint), batch_id
         try:
-            upsert(rows, silver, keys, partition_by, batch_id, newest_by)
+            upsert(rows, silver, keys, partition_by, change, newest_by)
             if after is not None:
                 after(rows, batch_id)
         finally:
@@ -115,24 +117,35 @@ def refresh_touched(
     silver: str,
     schema: StructType,
     target: str,
-    touched_by: str,
-    partition_by: str,
+    day: str,
+    target_day: str,
     build: Callable[[DataFrame], DataFrame],
-    target_keys: Sequence[str],
+    reach: int = 0,
 ) -> Callable[[DataFrame, int], None]:
-    """An ``after`` step: rebuild the aggregate for the groups a batch touched.
+    """An ``after`` step: rebuild the partitions of ``target`` a batch touched.
 
-    Exact distinct counts are possible this way, and the cost follows the
-    batch: only silver partitions of the batch are read again.
+    Both tables are partitioned by a date.  A result row of one day depends on
+    silver rows of that day and of ``reach`` days after it (windows that go past
+    midnight), so a batch touches its own days and as many before.  Whole days are
+    rebuilt from the stored rows: the result is that of a batch job however files
+    arrive, groups that vanish go, and a repeated batch gives the same.
     """
 
-    def refresh(batch: DataFrame, batch_id: int) -> None:
-        nearby = in_touched_partitions(
-            read_table(batch.sparkSession, silver, schema), batch, partition_by
+    def refresh(batch: DataFrame, _batch_id: int) -> None:
+        days = batch.select(
+            F.explode(F.sequence(F.date_sub(day, reach), F.col(day))).alias(target_day)
+        ).distinct()
+        source = days.select(
+            F.explode(
+                F.sequence(F.col(target_day), F.date_add(target_day, reach))
+            ).alias(day)
         )
-        groups = batch.select(touched_by).distinct()
-        rows = nearby.join(groups, touched_by, "left_semi")
-        upsert(build(rows), target, target_keys, partition_by, batch_id)
+        stored = read_table(batch.sparkSession, silver, schema)
+        rows = build(in_touched_partitions(stored, source, day))
+        wanted = in_touched_partitions(rows, days, target_day)
+        wanted.hint("rebalance", target_day).write.mode("overwrite").option(
+            "partitionOverwriteMode", "dynamic"
+        ).partitionBy(target_day).parquet(target)
 
     return refresh
 
@@ -143,83 +156,84 @@ def apply_change_stream(
     keys: Sequence[str],
     sequence: str,
     checkpoint: str,
-    buckets: int = 64,
     available_now: bool = True,
     every: str = "5 minutes",
 ) -> StreamingQuery:
-    """Apply a change feed batch by batch."""
+    """Add a change feed to the log of its table, batch by batch."""
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        changes = batch.persist()
-        try:
-            apply_changes(changes, path, keys, sequence, batch_id, buckets)
-        finally:
-            changes.unpersist()
+        change = stream_id(batch.sparkSession, checkpoint), batch_id
+        apply_changes(batch, path, keys, sequence, change)
 
     return _start(
         stream.writeStream.foreachBatch(apply), checkpoint, available_now, every
     )
 
 
-def append_stream(
-    result: DataFrame,
+def dedup_stream(
+    stream: DataFrame,
     sink: str,
+    keys: Sequence[str],
+    partition_by: str,
     checkpoint: str,
     available_now: bool = True,
     every: str = "5 minutes",
 ) -> StreamingQuery:
-    """Write an append-mode result (closed windows, first occurrences, alerts)."""
-    writer = result.writeStream.outputMode("append").format("parquet")
-    return _start(writer.option("path", sink), checkpoint, available_now, every)
+    """Keep each key once, however late it comes again.
+
+    Keys are looked up in the stored table, in the partitions of the batch;
+    derive the partition from the key (:func:`key_bucket`).
+    """
+
+    def apply(batch: DataFrame, _batch_id: int) -> None:
+        rows = batch.persist()  # read for its partitions and for its rows
+        try:
+            append_dedup(rows, sink, keys, partition_by)
+        finally:
+            rows.unpersist()
+
+    return _start(
+        stream.writeStream.foreachBatch(apply), checkpoint, available_now, every
+    )
 
 
-def upsert_stream(
-    result: DataFrame,
+def append_stream(
+    stream: DataFrame,
     sink: str,
-    keys: Sequence[str],
     partition_by: str,
     checkpoint: str,
+    after: Callable[[DataFrame, int], None] | None = None,
     available_now: bool = True,
     every: str = "5 minutes",
 ) -> StreamingQuery:
-    """Write an update-mode aggregate: changed groups replace their old row."""
+    """Append every batch to a stored table, then run ``after`` on it.
+
+    A batch is a folder of its partitions that a repeated run overwrites, so no
+    row is appended twice.
+    """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        groups = batch.persist()
+        rows = batch.persist()
+        name = f"{stream_id(batch.sparkSession, checkpoint)}-{batch_id}"
         try:
-            upsert(groups, sink, keys, partition_by, batch_id)
+            rows.withColumn("_batch", F.lit(name)).write.mode("overwrite").option(
+                "partitionOverwriteMode", "dynamic"
+            ).partitionBy(partition_by, "_batch").parquet(sink)
+            if after is not None:
+                after(rows, batch_id)
         finally:
-            groups.unpersist()
+            rows.unpersist()
 
     return _start(
-        result.writeStream.outputMode("update").foreachBatch(apply),
-        checkpoint,
-        available_now,
-        every,
+        stream.writeStream.foreachBatch(apply), checkpoint, available_now, every
     )
 
 
-def dedup_stream(
-    rows: DataFrame, keys: Sequence[str], ts: str, delay: str
-) -> DataFrame:
-    """First occurrence of each key; keys are remembered for ``delay``."""
-    timed = rows.withColumn(ts, event_time(ts)).withWatermark(ts, delay)
-    return timed.dropDuplicatesWithinWatermark(list(keys))
-
-
 def sliding_counts(
-    rows: DataFrame,
-    ts: str,
-    width: str,
-    step: str,
-    delay: str,
-    by: Sequence[Column | str] = (),
+    rows: DataFrame, ts: str, width: str, step: str, by: Sequence[Column | str] = ()
 ) -> DataFrame:
-    """Row counts per sliding window; the same expression works in batch."""
-    late = rows
-    if rows.isStreaming:
-        late = rows.withColumn(ts, event_time(ts)).withWatermark(ts, delay)
-    return late.groupBy(F.window(ts, width, step), *by).agg(
+    """Row counts per sliding window."""
+    return rows.groupBy(F.window(ts, width, step), *by).agg(
         F.count(F.lit(1)).alias("n")
     )
 
