@@ -9,8 +9,10 @@ import pytest
 from conftest import SMALL
 
 import __spark_entry__ as contract
+from tidemark.plans import catalog
+from tidemark.plans.oracle_sql import oracle_sql
 
-QUERIES, SQL = contract.queries(), contract.oracle_sql()
+QUERIES, SQL = catalog.queries(), oracle_sql()
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents", "embeddings", "pages", "benchmark", "labels",
           "conversations"]
@@ -52,6 +54,22 @@ def test_every_query_has_sql():
     assert set(QUERIES) == set(SQL)
 
 
+def test_every_query_is_registered():
+    assert set(QUERIES) <= set(contract.queries())
+    assert set(SQL) <= set(contract.oracle_sql()) <= set(contract.queries())
+
+
+@pytest.mark.parametrize("name, scans", [
+    ("q20_orphan_keys", {"lineitem": 8, "orders": 9}),
+    ("q25_health", {"lineitem": 9, "orders": 2}),
+    ("b04_latest_snapshot", {"events": 3}),
+])
+def test_fact_scans_stay_few(spark, name, scans):
+    plan = QUERIES[name](spark, SMALL)._jdf.queryExecution().sparkPlan().toString()
+    for table_name, most in scans.items():
+        assert plan.count(f"{table_name}.parquet") <= most, (table_name, plan.count(f"{table_name}.parquet"))
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, duck, name):
     df = QUERIES[name](spark, SMALL)

@@ -32,6 +32,38 @@ def test_csv_null_tokens_quotes_and_bad_rows(spark, tmp_path):
     assert [r["_corrupt_record"] for r in bad.collect()] == ["x,bad,oops"]
 
 
+def test_csv_null_tokens_in_every_column_and_line_breaks(spark, tmp_path):
+    (tmp_path / "a.csv").write_text(
+        'id,name,amount\n1,"two\nlines",NULL\nNULL,b,2\n3,c,x\n4,d\n5,"q ""e"" ",1.5\n')
+    schema = StructType([StructField("id", LongType()), StructField("name", StringType()),
+                         StructField("amount", DoubleType())])
+    good, bad = files.split_bad_rows(files.land_csv(spark, str(tmp_path), schema))
+    assert rows(good, "id", "name", "amount") == [
+        (1, "two\nlines", None), (5, 'q "e" ', 1.5), (None, "b", 2.0)]
+    assert sorted(r["_corrupt_record"] for r in bad.collect()) == ["3,c,x", "4,d"]
+
+
+def test_json_documents_over_several_lines(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[\n {"a": 1},\n {"a":\n 2}\n]\n')
+    (tmp_path / "b.json").write_text('{\n "a": 3\n}')
+    (tmp_path / "c.json").write_text('{"a": \n')
+    landed = files.land_json(spark, str(tmp_path), whole_documents=True)
+    good, bad = files.split_bad_rows(landed)
+    values = good.select(F.variant_get("raw_data", "$.a", "int").alias("a"))
+    assert rows(values) == [(1,), (2,), (3,)]
+    assert [r["raw_text"] for r in bad.collect()] == ['{"a": \n']
+
+
+def test_corrupt_files_are_quarantined(spark, folder):
+    spark.range(3).coalesce(1).write.parquet(f"{folder}/in")
+    Path(folder, "in", "cut.parquet").write_bytes(b"PAR1 and no end")
+    found = files.quarantine_files(spark, f"{folder}/in", f"{folder}/bad", "*.parquet")
+    assert [r.filename.rpartition("/")[2] for r in found.collect()] == ["cut.parquet"]
+    good = spark.read.schema("id long").option("ignoreCorruptFiles", "true").parquet(
+        f"{folder}/in")
+    assert rows(good) == [(0,), (1,), (2,)]
+
+
 def test_json_keeps_unparseable_lines(spark, tmp_path):
     (tmp_path / "a.json").write_text('{"a": 1}\n{"a": \n{"a": "x"}\n')
     good, bad = files.split_bad_rows(files.land_json(spark, str(tmp_path)))
