@@ -21,10 +21,10 @@ from pyspark.sql import types as T
 from tidemark.llm.common import Adam, keep_rows, labelled_texts, map_texts, ranges, sigmoid
 
 #: Labelled texts of each class that the fit may hold, and bytes of one of them.
-PER_CLASS, MAX_BYTES = 2000, 60_000
+PER_CLASS, MAX_BYTES = 1000, 20_000
 PASSAGE_WORDS, HIDDEN, GATE = 64, 24, 12
 #: Words encoded at once, in whole passages.
-PIECE_WORDS = PASSAGE_WORDS * 2000
+PIECE_WORDS = PASSAGE_WORDS * 1000
 #: A document is kept by a filter from this score on.
 KEEP = 0.3
 
@@ -138,7 +138,10 @@ def fit(sample: list[tuple[bytes, object]], epochs: int = 30, batch: int = 128,
     truth = np.array([y for _, y in sample])
     if len(set(truth)) < 2:
         return Model(None, 0.5 if not len(truth) else 0.02 + 0.96 * truth[0])
-    x, per_doc = encode([t.split() for t, _ in sample])
+    texts = [t for t, _ in sample]
+    per_doc = np.array([-(-len(t.split()) // PASSAGE_WORDS) for t in texts], dtype=np.int64)
+    # shares and ratios keep what they need in half precision
+    x = np.concatenate([encode(g)[0].astype(np.float16) for g in _pieces(texts)])
     ends = np.cumsum(per_doc)
     random = np.random.default_rng(seed)
     shapes = [(WIDTH, HIDDEN), (HIDDEN,), (HIDDEN, GATE), (HIDDEN, GATE), (GATE,), (HIDDEN,), (1,)]
