@@ -277,7 +277,7 @@ def test_near_duplicates_of_awkward_rows(spark, monkeypatch):
     assert len(found) == docs.count()
     by_key = {r.doc_id: (r.n_shingles, r.component_id) for r in found}
     assert by_key[0] == (0, 0) and by_key[1] == (0, 1) and by_key[2] == (0, 2)
-    assert by_key[4] == by_key[5] == (9, 4)
+    assert by_key[4] == by_key[5] == (10, 4)
     assert by_key[None] == (3, None)
     kept = jaccard.one_of_each(docs)
     assert kept.columns == docs.columns
