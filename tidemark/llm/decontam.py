@@ -267,7 +267,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str], text:
                          _finder, shared)
         found = more.select(
             *names, "text", "n_words",
-            F.udf(merge, _SPANS)(F.concat("spans", "spans2")).alias("spans"),
+            F.udf(lambda spans: merge(spans), _SPANS)(F.concat("spans", "spans2")).alias("spans"),
             F.array_sort(F.array_distinct(F.concat("items", "items2"))).alias("items"),
         )
     return found.select(
