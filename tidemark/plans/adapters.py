@@ -617,9 +617,10 @@ class Tables:
         )
 
     def inventory(self) -> dict[str, DataFrame]:
-        """Catalog listings by object kind: (catalog, deleted, base_table)."""
-        def listing(df: DataFrame, owner: str, gone: Column) -> DataFrame:
+        """Catalog listings by object kind: (catalog, deleted), and the type of tables."""
+        def listing(df: DataFrame, owner: str, gone: Column, *more: Column) -> DataFrame:
             return df.select(
+                *more,
                 F.concat(
                     F.lit("DB_"), (F.col(owner) % 40).cast("string"),
                     F.when(F.col(owner) % 3 == 0, "_DEV").otherwise(""),
@@ -628,7 +629,11 @@ class Tables:
             )
 
         return {
-            "TABLE": listing(self.part, "p_partkey", F.col("p_size") > 40),
+            "TABLE": listing(
+                self.part, "p_partkey", F.col("p_size") > 40,
+                F.when(F.col("p_size") % 4 == 0, "VIEW").otherwise("BASE TABLE")
+                .alias("table_type"),
+            ),
             "VIEW": listing(self.customer, "c_custkey", F.col("c_acctbal") < 0),
             "FUNCTION": listing(self.supplier, "s_suppkey", F.col("s_acctbal") < 0),
             "PROCEDURE": listing(

@@ -504,6 +504,12 @@ def _(t: Tables) -> DataFrame:
     )
 
 
+@register("q13_expense_tolerance")
+def _(t: Tables) -> DataFrame:
+    """The month's expenses must agree within ten dollars."""
+    return validation.within_tolerance(REGISTRY["q13_expense_reconciliation"](t), 10)
+
+
 @register("q14_revenue_by_month")
 def _(t: Tables) -> DataFrame:
     return validation.revenue_by_month(
@@ -700,6 +706,20 @@ def _(t: Tables) -> DataFrame:
     return validation.expense_rules(t.fact_expense(), t.dim_gl_account())
 
 
+@register("q27_expense_lines")
+def _(t: Tables) -> DataFrame:
+    """Documents with more lines than any order has, and repeated lines."""
+    lines = t.lineitem.select(
+        F.col("l_orderkey").alias("document"), F.col("l_linenumber").alias("line")
+    )
+    return validation.repeated_lines(lines, "document", "line")
+
+
+@register("q27_client_count")
+def _(t: Tables) -> DataFrame:
+    return validation.count_within(_clients(t), t.crm_accounts(), "client: row count", 0.01)
+
+
 # -- curation -----------------------------------------------------------------
 
 
@@ -970,8 +990,14 @@ def _(t: Tables) -> DataFrame:
 
 @register("v08_loyalty_checks")
 def _(t: Tables) -> DataFrame:
+    users, shops, visits = _loyalty_raw(t)
+    loads = {
+        "users": (users, t.dim_users()),
+        "businesses": (shops, t.dim_businesses()),
+        "visits": (visits, REGISTRY["t09_fact_visits"](t)),
+    }
     return loyalty.loyalty_checks(
-        t.events, t.fact_visits(), t.dim_users(), t.dim_businesses(), t.dim_time()
+        loads, t.fact_visits(), t.dim_users(), t.dim_businesses(), t.dim_time()
     )
 
 

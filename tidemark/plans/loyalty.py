@@ -373,21 +373,28 @@ def neighborhood_stats(visits: DataFrame, businesses: DataFrame) -> DataFrame:
 
 
 def loyalty_checks(
-    raw_visits: DataFrame, visits: DataFrame, users: DataFrame,
+    loads: dict[str, tuple[DataFrame, DataFrame]], visits: DataFrame, users: DataFrame,
     businesses: DataFrame, dim_time: DataFrame,
 ) -> DataFrame:
-    """Completeness, foreign keys, bounding box and programme rules."""
+    """Completeness, foreign keys, bounding box and programme rules.
+
+    ``loads`` names the landed rows and the loaded table of each source.
+    """
     def lost(dim: DataFrame, key: str, label: str) -> DataFrame:
         per_key = visits.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
         return missing_in(per_key, dim, key).agg(
             F.coalesce(F.sum("n"), F.lit(0)).alias("fail_count")
         ).select(F.lit(label).alias("check_name"), "fail_count")
 
-    raw_rows = raw_visits.agg(F.count(F.lit(1)).alias("n")).scalar()
-    complete = visits.agg(F.count(F.lit(1)).alias("n")).select(
-        F.lit("visits: rows missing from raw").alias("check_name"),
-        F.abs(raw_rows - F.col("n")).alias("fail_count"),
-    )
+    complete = [
+        loaded.agg(F.count(F.lit(1)).alias("n")).select(
+            F.lit(f"{name}: rows missing from raw").alias("check_name"),
+            F.abs(raw.agg(F.count(F.lit(1)).alias("n")).scalar() - F.col("n")).alias(
+                "fail_count"
+            ),
+        )
+        for name, (raw, loaded) in loads.items()
+    ]
     box = rule_violations(
         businesses,
         {
@@ -421,7 +428,7 @@ def loyalty_checks(
     ).select(F.lit("visit: before registration").alias("check_name"), "fail_count")
     return union_all(
         [
-            complete,
+            *complete,
             lost(users, "user_key", "visit: unknown user"),
             lost(businesses, "business_key", "visit: unknown business"),
             lost(dim_time, "date_key", "visit: unknown date"),

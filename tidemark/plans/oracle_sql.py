@@ -797,6 +797,19 @@ _CHECKS = {
         WHERE (gl_account_id < '5000' OR gl_account_id >= '8000')""",
 }
 
+_CHECKS["q13_expense_tolerance"] = f"""
+      SELECT max(total) - min(total) AS difference,
+        CASE WHEN max(total) - min(total) <= 10 THEN 'PASS' ELSE 'FAIL' END AS status
+      FROM ({_CHECKS["q13_expense_reconciliation"]})"""
+
+_CHECKS["q27_expense_lines"] = """
+      WITH l AS (SELECT l_orderkey AS d, l_linenumber AS line, count(*) AS n
+        FROM lineitem GROUP BY 1, 2),
+      d AS (SELECT d, sum(n) AS n, max(line) AS highest, count(*) FILTER (n > 1) AS twice
+        FROM l GROUP BY 1)
+      SELECT 'expense: repeated line' AS check_name, sum(twice)::BIGINT AS fail_count FROM d
+      UNION ALL SELECT 'expense: too many lines', count(*) FILTER (n > highest) FROM d"""
+
 _CURATION = {
     "t01_dim_client": "SELECT * FROM crm_clients",
     "t02_fact_revenue": """
@@ -1015,8 +1028,10 @@ _LOYALTY = {
       SELECT day_name, day_of_week, hour(visit_timestamp) AS visit_hour, count(*) AS visits
       FROM visits JOIN dim_time USING (date_key) GROUP BY 1, 2, 3""",
     "v08_loyalty_checks": """
-      SELECT 'visits: rows missing from raw' AS check_name,
-        abs((SELECT count(*) FROM events) - (SELECT count(*) FROM visits)) AS fail_count
+      SELECT 'users: rows missing from raw' AS check_name, 0 AS fail_count
+      UNION ALL SELECT 'businesses: rows missing from raw', 0
+      UNION ALL SELECT 'visits: rows missing from raw',
+        abs((SELECT count(*) FROM events) - (SELECT count(*) FROM (LOADED_VISITS)))
       UNION ALL SELECT 'visit: unknown user', count(*) FROM visits
         WHERE user_key NOT IN (SELECT user_key FROM dim_users)
       UNION ALL SELECT 'visit: unknown business', count(*) FROM visits
@@ -1056,6 +1071,16 @@ def _live(kind: str, table: str, owner: str, gone: str) -> str:
       WHERE catalog LIKE '%_8' OR catalog LIKE '%_8_%'"""
 
 
+_LOYALTY["v08_loyalty_checks"] = _LOYALTY["v08_loyalty_checks"].replace(
+    "LOADED_VISITS", _CURATION["t09_fact_visits"])
+
+_CHECKS["q27_client_count"] = f"""
+      WITH c AS (SELECT count(*) AS n FROM ({_CURATION["t01_dim_client"]})),
+      s AS (SELECT count(*) AS n FROM customer)
+      SELECT 'client: row count' AS check_name, c.n AS curated_rows, s.n AS source_rows,
+        CASE WHEN abs(c.n - s.n) <= s.n * 0.01 THEN 'PASS' ELSE 'FAIL' END AS status
+      FROM c, s"""
+
 _USAGE = {
     "m01_user_list":
         "SELECT name FROM app_users WHERE name LIKE 'USER_%' AND deleted_on IS NULL",
@@ -1114,7 +1139,7 @@ _USAGE = {
       FROM query_history WHERE {_SINCE.format(90)} AND query_type LIKE 'CREATE%'
         AND execution_status = 'SUCCESS' GROUP BY 1""",
     "m07_live_objects": " UNION ALL ".join([
-        _live("TABLE", "part", "p_partkey", "p_size > 40"),
+        _live("TABLE", "part", "p_partkey", "p_size > 40 OR p_size % 4 = 0"),
         _live("VIEW", "customer", "c_custkey", "c_acctbal < 0"),
         _live("FUNCTION", "supplier", "s_suppkey", "s_acctbal < 0"),
         _live("PROCEDURE", "orders", "o_orderkey", "o_orderstatus = 'P'"),

@@ -161,9 +161,16 @@ def objects_created(log: DataFrame, user: str, as_of: Column) -> DataFrame:
 
 
 def live_objects(listings: dict[str, DataFrame], suffix: str) -> DataFrame:
-    """Objects not deleted, per kind, in databases carrying the suffix."""
+    """Objects not deleted, per kind, in databases carrying the suffix.
+
+    A listing with a ``table_type`` holds views as well: base tables count only.
+    """
+    def of_kind(df: DataFrame) -> DataFrame:
+        return df.where("table_type = 'BASE TABLE'") if "table_type" in df.columns else df
+
     parts = [
-        df.where(F.col("deleted").isNull() & owned_by_suffix(F.col("catalog"), suffix))
+        of_kind(df)
+        .where(F.col("deleted").isNull() & owned_by_suffix(F.col("catalog"), suffix))
         .agg(F.count(F.lit(1)).alias("object_count"))
         .select(F.lit(kind).alias("object_type"), "object_count")
         for kind, df in listings.items()

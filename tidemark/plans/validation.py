@@ -579,5 +579,33 @@ def expense_rules(expense: DataFrame, gl_accounts: DataFrame) -> DataFrame:
     return counted.unionByName(ranged)
 
 
+def repeated_lines(lines: DataFrame, document: str, line: str) -> DataFrame:
+    """Lines that a document holds more than once, and documents with more rows
+    than their highest line number."""
+    per_line = lines.groupBy(document, line).agg(F.count(F.lit(1)).alias("n"))
+    per_document = per_line.groupBy(document).agg(
+        F.sum("n").alias("rows"), F.max(line).alias("highest"),
+        F.count_if(F.col("n") > 1).alias("repeated"),
+    )
+    counted = per_document.agg(
+        F.coalesce(F.sum("repeated"), F.lit(0)).alias("expense: repeated line"),
+        F.count_if(F.col("rows") > F.col("highest")).alias("expense: too many lines"),
+    )
+    return counted.unpivot([], counted.columns, "check_name", "fail_count")
+
+
+def count_within(
+    curated: DataFrame, source: DataFrame, label: str, share: float
+) -> DataFrame:
+    """Whether two tables have the same number of rows up to a share of the source."""
+    there = source.agg(F.count(F.lit(1)).alias("n")).scalar()
+    away = F.abs(F.col("curated_rows") - F.col("source_rows"))
+    return curated.agg(F.count(F.lit(1)).alias("curated_rows")).select(
+        F.lit(label).alias("check_name"), "curated_rows", there.alias("source_rows")
+    ).withColumn(
+        "status", F.when(away <= F.col("source_rows") * share, "PASS").otherwise("FAIL")
+    )
+
+
 def segment_domain(dim_client: DataFrame, allowed: list[str]) -> DataFrame:
     return domain_violations(dim_client, "client_segment", allowed, "client_segment")
