@@ -753,6 +753,23 @@ def _(t: Tables) -> DataFrame:
     return _rated(t)
 
 
+def _unmapped(t: Tables) -> DataFrame:
+    return curation.unmapped_fees(
+        t.portfolio_transactions(), t.portfolio_fee_schedules(), t.entity_crossref(),
+        t.dim_date(), t.dim_gl_account(),
+    )
+
+
+@register("t02_unmapped_fees")
+def _(t: Tables) -> DataFrame:
+    return _unmapped(t).drop("transaction_date")
+
+
+@register("t02_unmapped_counts")
+def _(t: Tables) -> DataFrame:
+    return curation.per_cause(_unmapped(t))
+
+
 @register("t02_unrated_fees")
 def _(t: Tables) -> DataFrame:
     return curation.unrated_fees(

@@ -143,6 +143,58 @@ def curate_revenue(
     return latest_per_key(rows, ["transaction_id"], order).drop("loaded_at")
 
 
+def unmapped_fees(
+    transactions: DataFrame,
+    schedules: DataFrame,
+    crossref: DataFrame,
+    dim_date: DataFrame,
+    gl_accounts: DataFrame,
+) -> DataFrame:
+    """Fees that :func:`curate_revenue` leaves out, each with its first cause.
+
+    This is the staging table for manual resolution; :func:`per_cause` counts it.
+    """
+    fees = transactions.where(F.col("transaction_type") == "FEE")
+    rows = asof_latest(
+        fees, schedules, ["account_id", "strategy_id"],
+        "transaction_date", "effective_date", ["fee_type"],
+    ).withColumn("gl_account_id", map_values(F.col("fee_type"), FEE_TYPE_ACCOUNTS))
+
+    def known(df: DataFrame, source: str, key: str, flag: str) -> DataFrame:
+        return df.where(F.col(source).isNotNull()).select(
+            F.col(source).alias(key), F.lit(True).alias(flag)
+        ).distinct()
+
+    def mapped(entity: str) -> DataFrame:
+        return crossref.where(F.col("entity_type") == entity)
+
+    lookups = [
+        ("unknown client", known(mapped("CLIENT"), "portfolio_id", "account_id", "_client"),
+         "account_id", "_client"),
+        ("unknown product", known(mapped("PRODUCT"), "portfolio_id", "strategy_id", "_product"),
+         "strategy_id", "_product"),
+        ("unknown date", known(dim_date, "calendar_date", "transaction_date", "_date"),
+         "transaction_date", "_date"),
+        ("unknown account", known(gl_accounts, "gl_account_id", "gl_account_id", "_account"),
+         "gl_account_id", "_account"),
+    ]
+    reason = F.when(F.col("fee_type").isNull(), "no rate in force")
+    for label, table, key, flag in lookups:
+        rows = rows.join(table, key, "left")
+        reason = reason.when(F.col(flag).isNull(), label)
+    return rows.withColumn("reason", reason).where("reason is not null").select(
+        "transaction_id", "account_id", "strategy_id", "transaction_date",
+        money(F.col("fee_amount")).alias("fee_amount"), "reason",
+    )
+
+
+def per_cause(unmapped: DataFrame) -> DataFrame:
+    """Rows left out and their amount, per cause."""
+    return unmapped.groupBy("reason").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum("fee_amount").alias("fee_amount")
+    )
+
+
 def unrated_fees(transactions: DataFrame, schedules: DataFrame) -> DataFrame:
     """One row: fee transactions without a rate in force on their date."""
     fees = transactions.where(F.col("transaction_type") == "FEE")

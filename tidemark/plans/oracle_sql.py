@@ -831,6 +831,17 @@ _CURATION = {
       QUALIFY row_number() OVER (PARTITION BY gt.transaction_id ORDER BY gt.loaded_at DESC,
         CAST(gt.fee_amount AS DECIMAL(18,2)) DESC, d.date_key DESC, xp.curated_key DESC,
         gt.fee_rate_bps DESC, gl.gl_account_key DESC, nav.market_value DESC NULLS LAST) = 1""",
+    "t02_unmapped_fees": """
+      SELECT transaction_id, account_id, strategy_id,
+        CAST(fee_amount AS DECIMAL(18,2))::DOUBLE AS fee_amount, reason FROM (
+        SELECT *, CASE WHEN fee_type IS NULL THEN 'no rate in force'
+          WHEN account_id NOT IN (SELECT portfolio_id FROM entity_crossref
+            WHERE entity_type = 'CLIENT' AND portfolio_id IS NOT NULL) THEN 'unknown client'
+          WHEN strategy_id NOT IN (SELECT portfolio_id FROM entity_crossref
+            WHERE entity_type = 'PRODUCT') THEN 'unknown product'
+          WHEN transaction_date NOT IN (SELECT calendar_date FROM dim_date)
+            THEN 'unknown date' END AS reason FROM rated_fees)
+      WHERE reason IS NOT NULL""",
     "t02_unrated_fees":
         "SELECT count(*) AS fees, count(*) FILTER (fee_type IS NULL) AS unrated FROM rated_fees",
     "t03_fact_expense":
@@ -1081,6 +1092,10 @@ _CHECKS["q27_client_count"] = f"""
         CASE WHEN abs(c.n - s.n) <= s.n * 0.01 THEN 'PASS' ELSE 'FAIL' END AS status
       FROM c, s"""
 
+_CURATION["t02_unmapped_counts"] = f"""
+      SELECT reason, count(*) AS n_rows, sum(CAST(fee_amount AS DECIMAL(18,2)))::DOUBLE AS fee_amount
+      FROM ({_CURATION["t02_unmapped_fees"]}) GROUP BY 1"""
+
 _USAGE = {
     "m01_user_list":
         "SELECT name FROM app_users WHERE name LIKE 'USER_%' AND deleted_on IS NULL",
