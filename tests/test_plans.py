@@ -359,5 +359,31 @@ def test_off_hours_uses_the_local_weekday(spark):
          ("weekend", datetime(2024, 1, 8, 1, 0))],
         "user_name string, start_time timestamp_ntz"
     ).withColumns({"role_name": F.lit("ANALYST"), "database_name": F.lit("D")})
-    assert rows(governance.off_hours_access(log, "D"), "user_name") == [
-        ("late",), ("weekend",)]
+    now = F.lit(datetime(2024, 1, 8, 1, 10)).cast("timestamp_ntz")
+    week = governance.off_hours_access(log, "D", now, minutes=7 * 24 * 60)
+    assert rows(week, "user_name") == [("late",), ("weekend",)]
+    recent = governance.off_hours_access(log, "D", now)  # the last half hour
+    assert rows(recent, "user_name") == [("weekend",)]
+
+
+def test_gaps_per_group(spark):
+    days = spark.sql("""select cast(date_format(d, 'yyyyMMdd') as int) as date_key,
+        d as calendar_date, date_format(d, 'EEE') as day_name, true as is_business_day
+        from (select explode(sequence(date'2024-01-01', date'2024-01-06')) as d)""")
+    fact = spark.createDataFrame(
+        [(1, 20240101), (1, 20240102), (1, 20240105), (2, 20240106)], "g int, date_key int")
+    as_of = F.lit("2024-01-06").cast("date")
+    lost = validation.business_days_without_rows(days, fact, as_of, 30, ["g"])
+    assert [(r.g, r.calendar_date.day) for r in lost.orderBy("g", "calendar_date").collect()] == [
+        (1, 3), (1, 4), (1, 6), (2, 1), (2, 2), (2, 3), (2, 4), (2, 5)]
+    runs = validation.expense_gap_runs(days, fact, as_of, 30, ["g"])
+    assert rows(runs, "g", "consecutive_missing_days") == [(1, 1), (1, 2), (2, 5)]
+
+
+def test_line_and_count_rules(spark):
+    lines = spark.createDataFrame([(1, 1), (1, 2), (2, 1), (2, 1)], "d int, l int")
+    assert rows(validation.repeated_lines(lines, "d", "l")) == [
+        ("expense: repeated line", 1), ("expense: too many lines", 1)]
+    for n, status in ((99, "PASS"), (98, "FAIL")):
+        got = validation.count_within(spark.range(n), spark.range(100), "c", 0.01)
+        assert rows(got) == [("c", n, 100, status)]
