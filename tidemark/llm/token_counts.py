@@ -22,7 +22,7 @@ from tokenizers import Tokenizer
 from tidemark.llm.common import map_texts, ranges
 
 #: Distinct pre-tokens, and words in them, that a task remembers.
-CACHE = 400_000
+CACHE = 250_000
 
 #: Fixed values of the public word-level tokenizer: its split rule ...
 WORD_RULE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -34,6 +34,11 @@ _WORDS = re.compile(
     "'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[!-/:-`{-~]+"
 )
 
+def _rules(part) -> dict:
+    """What a normalizer or pre-tokenizer does; nothing for none."""
+    return json.loads(part.__getstate__()) if part is not None else {}
+
+
 class Pretokens:
     """Numbers for pre-tokens, and how many pieces (or which) each has."""
 
@@ -44,20 +49,20 @@ class Pretokens:
         apart = [encode(x, add_special_tokens=False).ids for x in "ab"]
         if both != apart[0] + apart[1] or self.tokenizer.truncation or self.tokenizer.padding:
             raise ValueError(f"{path}: pieces may cross white space, or texts are cut or padded")
-        rules = json.loads(self.tokenizer.to_str())
-        first, *rest = (rules["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+        # the parts only: the whole tokenizer as text would take its vocabulary along
+        rules = _rules(self.tokenizer.pre_tokenizer).get("pretokenizers", [{}])
+        changes = _rules(self.tokenizer.normalizer).get("normalizers", [])
         self.plain_words = (
-            first.get("pattern") == {"Regex": WORD_RULE}
-            and [r.get("type") for r in rest] == ["ByteLevel"]
-            and [n["type"] for n in (rules["normalizer"] or {}).get("normalizers", [])]
-            == WORD_NORMALIZERS
+            rules[0].get("pattern") == {"Regex": WORD_RULE}
+            and [r.get("type") for r in rules[1:]] == ["ByteLevel"]
+            and [c["type"] for c in changes] == WORD_NORMALIZERS
         )
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in shown]
         self.byte_level = {b: b for b in shown} | {b: 256 + i for i, b in enumerate(hidden)}
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.with_ids, self.model = with_ids, self.tokenizer.model
-        self.words: dict[str, list[int] | int] = {}
+        self.words: dict[str, bytes | int] = {}  # packed ids, or their number
         self._clear()
 
     def _clear(self) -> None:
@@ -65,11 +70,11 @@ class Pretokens:
         self.counts, self.ids = array("q"), array("I")
 
     def _pieces(self, pretoken: bytes):
-        """Ids of a pre-token, or their number."""
+        """Packed ids of a pre-token, or their number."""
         text, tokenizer = pretoken.decode("utf-8", "replace"), self.tokenizer
         if any(s in text for s in self.special):
             ids = tokenizer.encode(text, add_special_tokens=False).ids
-            return ids if self.with_ids else len(ids)
+            return array("I", ids).tobytes() if self.with_ids else len(ids)
         if self.plain_words and _PLAIN.fullmatch(text):
             found = [
                 self.words.get(w) or self._word(w, w.encode().decode("latin-1").translate(self.byte_level))
@@ -81,13 +86,14 @@ class Pretokens:
                 self.words.get(f"={w}") or self._word(f"={w}", w)
                 for w, _ in tokenizer.pre_tokenizer.pre_tokenize_str(text)
             ]
-        return list(chain.from_iterable(found)) if self.with_ids else sum(found)
+        return b"".join(found) if self.with_ids else sum(found)
 
     def _word(self, name: str, word: str):
         tokens = self.model.tokenize(word)
         if len(self.words) >= CACHE:
             self.words.clear()
-        self.words[name] = pieces = [t.id for t in tokens] if self.with_ids else len(tokens)
+        pieces = array("I", [t.id for t in tokens]).tobytes() if self.with_ids else len(tokens)
+        self.words[name] = pieces
         return pieces
 
     def numbers(self, pretokens: list[bytes]) -> np.ndarray:
@@ -99,8 +105,8 @@ class Pretokens:
             pieces = self._pieces(pretoken)
             known[pretoken] = len(counts)
             if self.with_ids:
-                ids.extend(pieces)
-                pieces = len(pieces)
+                ids.frombytes(pieces)
+                pieces = len(pieces) // ids.itemsize
             counts.append(pieces)
         return np.fromiter(map(known.__getitem__, pretokens), dtype=np.int64, count=len(pretokens))
 
