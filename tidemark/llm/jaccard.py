@@ -17,10 +17,13 @@ neither possible nor needed:
   whole sets.
 
 Components are asked for, not all pairs.  First each set meets one partner, the
-smallest that shares a column with it; what links is joined to components.  Then
-all pairs of different components are multiplied, where in each column the rows
-outside its largest component meet all others.  So a group of copies costs about
-its size, and no link between two components is missed.
+most central that shares one of its ``STAR_COLUMNS`` columns; what links is joined
+to components.  Then all pairs of different components are multiplied, where in each
+column the rows outside its largest component meet all others.  So a group of
+copies costs about its size, and no link between two components is missed.  For
+that product a set has a bitmap with the parity of its shingles per bit: bits that
+differ are a lower bound on ``m + n - 2 * overlap``, which at a link is at most
+``(m + n) / 9``.
 
 Texts with equal sets are one row from the start.  A set is named by a 64-bit
 hash, as is a shingle; among *n* sets two share a name with chance ``n**2 / 2**65``.
@@ -45,7 +48,11 @@ WORDS = 5
 #: Fixed size of the count sketch: counters, and counters in one of its rows.
 COUNTERS, CHUNK = 1 << 22, 1 << 18
 #: Words whose hash a task remembers.
-CACHE = 300_000
+CACHE = 150_000
+#: Columns of a row that the first product uses: those of smallest hash.
+STAR_COLUMNS = 8
+#: Longs of 64 parity bits that bound how much two sets differ.
+BIT_LONGS = 8
 #: Sets sent to every executor to pick their texts; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 
@@ -103,14 +110,22 @@ def name_of(hashes: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(hashes.tobytes())).astype(np.int64))
 
 
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """``BIT_LONGS`` signed longs: for each bit the parity of the shingles on it."""
+    low = (hashes & np.uint64(64 * BIT_LONGS - 1)).astype(np.int64)
+    odd = np.bincount(low, minlength=64 * BIT_LONGS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _column(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - COUNTERS.bit_length() + 1)).astype(np.int64)
 
 
 def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, mark, n, ref) of each text, then this task's part of the sketch."""
+    """(key, mark, n, ref, bits) of each text, then this task's part of the sketch."""
     counts, key_type = np.zeros(COUNTERS, dtype=np.uint32), None
     seen: set[int] = set()
+    bits = pa.list_(pa.int64())
     for batch in batches:
         for part in cut(batch, 2):
             sets = shingle_sets(part.column(2).to_pylist())
@@ -122,8 +137,9 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n, key_type = part.num_rows, part.schema.field(0).type
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), part.column(1), pa.array(list(map(len, sets)), pa.int64()),
-                 pa.array(refs, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())],
-                names=["key", "mark", "n", "ref", "chunk", "counts"],
+                 pa.array(refs, pa.int64()), pa.array([parities(s) for s in sets], bits),
+                 pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())],
+                names=["key", "mark", "n", "ref", "bits", "chunk", "counts"],
             )
     if key_type is not None:
         yield _sketch_rows({k: counts[k * CHUNK : (k + 1) * CHUNK] for k in range(COUNTERS // CHUNK)},
@@ -135,8 +151,9 @@ def _sketch_rows(chunks: dict[int, np.ndarray], key_type=None) -> pa.RecordBatch
     columns = [pa.array(list(chunks), pa.int32()), pa.array(data, pa.binary())]
     names = ["chunk", "counts"]
     if key_type is not None:
-        blank = [pa.nulls(len(data), t) for t in (key_type, pa.int64(), pa.int64(), pa.int64())]
-        columns, names = blank + columns, ["key", "mark", "n", "ref", *names]
+        blank = [pa.nulls(len(data), t) for t in (
+            key_type, pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))]
+        columns, names = blank + columns, ["key", "mark", "n", "ref", "bits", *names]
     return pa.RecordBatch.from_arrays(columns, names=names)
 
 
@@ -208,6 +225,14 @@ def _may_link(a: str, b: str) -> Column:
     )
 
 
+def _may_differ(a: str, b: str) -> Column:
+    """Whether the bitmaps of two rows differ in few enough bits for a link."""
+    bits = F.lit(0)
+    for k in range(BIT_LONGS):
+        bits = bits + F.bit_count(F.col(f"{a}.bits{k}").bitwiseXOR(F.col(f"{b}.bits{k}")))
+    return 9 * bits <= F.col(f"{a}.n") + F.col(f"{b}.n")
+
+
 def _accumulate(columns: DataFrame) -> DataFrame:
     """Pairs (a, b) whose overlap in prefix columns still allows a link.
 
@@ -307,6 +332,7 @@ def grouped(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
         [
             T.StructField("key", docs.schema[key].dataType), T.StructField("mark", T.LongType()),
             T.StructField("n", T.LongType()), T.StructField("ref", T.LongType()),
+            T.StructField("bits", T.ArrayType(T.LongType())),
             T.StructField("chunk", T.IntegerType()), T.StructField("counts", T.BinaryType()),
         ]
     )
@@ -315,10 +341,13 @@ def grouped(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     levels = spark.sparkContext.broadcast(_levels(sketch))  # COUNTERS bytes
     rows = seen.where("chunk is null").select("key", "mark", "n", "ref")
     linkable = F.col("key").isNotNull() & (F.col("n") > 0)
-    classes = stored(rows.where(linkable).groupBy("ref").agg(F.min("key").alias("key")), "classes")
+    one = seen.where("chunk is null").where(linkable).groupBy("ref")
+    classes = stored(
+        one.agg(F.min("key").alias("key"), F.any_value("bits").alias("bits")), "classes"
+    )
     links = _links(texts.where(F.col("key").isNotNull()).select("key", "text"), classes, levels)
 
-    named = classes.join(components(links).withColumnRenamed("node", "ref"), "ref", "left")
+    named = classes.drop("bits").join(components(links).withColumnRenamed("node", "ref"), "ref", "left")
     named = named.withColumn("root", F.coalesce("root", "ref"))
     least = named.groupBy("root").agg(F.min("key").alias("component"))
     named = named.join(least, "root").select("ref", "root", "component")
@@ -339,18 +368,30 @@ def _links(texts: DataFrame, classes: DataFrame, levels) -> DataFrame:
     common = postings.groupBy("h").count().where("count > 1").select("h")
     live = stored(postings.join(common, "h", "left_semi").distinct(), "live")
 
-    # first product: every row with the smallest row of its columns
+    # first product: every row with the most central row of its columns.  A set with
+    # shingles of its own has them in its prefix, where no other set has them, so the
+    # share of prefix columns in use tells the middle of a group from its edge.
+    prefix = F.col("n") - F.floor((4 * F.col("n") + 4) / 5) + 1
+    used = live.groupBy("ref", "n").count().select("ref", (-F.col("count") / prefix).alias("edge"))
+    known = live.join(used, "ref")
     pivot = (
-        live.where("pos < n - floor((8 * n + 8) / 9) + 1").groupBy("h")
-        .agg(F.min(F.struct("n", "ref", "pos")).alias("p")).select("h", "p.*").alias("p")
+        known.groupBy("h").agg(F.min(F.struct("edge", "n", "ref", "pos")).alias("p"))
+        .select("h", "p.*").alias("p")
+    )
+    first = Window.partitionBy("ref").orderBy("h")
+    few = live.withColumn("_at", F.row_number().over(first)).where(f"_at <= {STAR_COLUMNS}")
+    met = few.alias("l").join(pivot, F.col("l.h") == F.col("p.h")).where(
+        _may_link("p", "l") | _may_link("l", "p")
     )
-    met = live.alias("l").join(pivot, F.col("l.h") == F.col("p.h")).where(_may_link("p", "l"))
     star = (
-        met.groupBy(F.col("l.ref").alias("b"), F.col("l.n").alias("nb"))
-        .agg(F.min(F.struct(F.col("p.n").alias("na"), F.col("p.ref").alias("a"))).alias("s"))
-        .select("s.a", "s.na", "b", "nb")
+        met.groupBy(F.col("l.ref").alias("ref"), F.col("l.n").alias("n"))
+        .agg(F.min(F.struct("edge", F.col("p.ref").alias("to"), F.col("p.n").alias("size"))).alias("s"))
+    )
+    own, other = F.struct("n", "ref"), F.struct(F.col("s.size").alias("n"), F.col("s.to").alias("ref"))
+    star = star.select(F.least(own, other).alias("a"), F.greatest(own, other).alias("b")).select(
+        F.col("a.ref").alias("a"), F.col("b.ref").alias("b")
     )
-    star = stored(star, "star")
+    star = stored(star.distinct(), "star")
     links = _linked(star, classes, texts)
     roots = components(links).withColumnRenamed("node", "ref")
 
@@ -362,9 +403,12 @@ def _links(texts: DataFrame, classes: DataFrame, levels) -> DataFrame:
         marked.join(split, "h", "left_semi").groupBy("h", "c").count()
         .groupBy("h").agg(F.max_by("c", F.struct("count", "c")).alias("most"))
     )
-    mixed = stored(marked.join(largest, "h"), "mixed")
+    unpacked = [F.col("bits")[k].alias(f"bits{k}") for k in range(BIT_LONGS)]
+    mixed = marked.join(largest, "h").join(classes.select("ref", *unpacked), "ref")
+    mixed = stored(mixed, "mixed")
     pairs = mixed.where("c != most").alias("l").join(
-        mixed.alias("r"), (F.col("l.h") == F.col("r.h")) & (F.col("l.c") != F.col("r.c"))
+        mixed.alias("r"),
+        (F.col("l.h") == F.col("r.h")) & (F.col("l.c") != F.col("r.c")) & _may_differ("l", "r"),
     )
     # two rows outside the largest component meet twice; l is the smaller once
     inside = F.col("r.c") == F.col("r.most")
@@ -375,7 +419,7 @@ def _links(texts: DataFrame, classes: DataFrame, levels) -> DataFrame:
         )
         for s, g, met_by in (("l", "r", _may_link("l", "r")), ("r", "l", _may_link("r", "l") & inside))
     ]
-    rest = _accumulate(columns[0].union(columns[1])).join(star.select("a", "b"), ["a", "b"], "left_anti")
+    rest = _accumulate(columns[0].union(columns[1])).join(star, ["a", "b"], "left_anti")
     return links.union(_linked(stored(rest, "rest"), classes, texts))
 
 
