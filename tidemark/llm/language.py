@@ -24,7 +24,9 @@ from pyspark.sql import types as T
 from tidemark.llm.common import keep_rows, labelled_texts, map_texts
 
 #: Texts of each language that the fit may hold, and bytes of one of them.
-PER_CLASS, MAX_BYTES = 1200, 30_000
+PER_CLASS, MAX_BYTES = 1200, 20_000
+#: Texts of all languages together; with more languages each has fewer.
+MAX_TEXTS = 6000
 BUCKETS, DIMENSIONS = 1 << 16, 12
 #: Bytes of text hashed at once.
 PIECE_BYTES = 1 << 20
@@ -82,7 +84,7 @@ def subwords(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 def _bag(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     ids = subwords([text])[0].ravel()
     ids, counts = np.unique(ids[ids < BUCKETS], return_counts=True)
-    return ids, counts / max(counts.sum(), 1)
+    return ids, (counts / max(counts.sum(), 1)).astype(np.float32)
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -149,8 +151,10 @@ def _pieces(texts: list[bytes | None]):
     for k, text in enumerate(texts):
         text, at = text or b"", 0
         while at < len(text) or not at:
-            stop = at + PIECE_BYTES
-            stop = len(text) if stop >= len(text) else max(text.rfind(b" ", at, stop), at + 1)
+            stop = min(at + PIECE_BYTES, len(text))
+            if stop < len(text):
+                blank = text.rfind(b" ", at + 1, stop)
+                stop = blank if blank > 0 else stop
             owners.append(k)
             pieces.append(text[at:stop])
             held, at = held + stop - at, max(stop, 1)
@@ -190,7 +194,8 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     )
     names = sorted(r[0] for r in frequent.select(lang).collect())  # at most MAX_LANGUAGES
     labels = docs.select(key, lang)
-    return fit(labelled_texts(docs, labels, lang, key, text, PER_CLASS, MAX_BYTES, names))
+    each = min(PER_CLASS, MAX_TEXTS // max(len(names), 1))
+    return fit(labelled_texts(docs, labels, lang, key, text, each, MAX_BYTES, names))
 
 
 def identify(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
