@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from tidemark.llm.common import Adam, labelled_texts, map_texts, sigmoid
 
 #: Labelled texts of each class that the fit may hold, and bytes of one of them.
-PER_CLASS, MAX_BYTES = 2000, 60_000
+PER_CLASS, MAX_BYTES = 2000, 20_000
 #: Features the model may hold, and documents of the sample that must have one.
 MAX_FEATURES, MIN_DOCUMENTS = 20_000, 3
 #: A sentence without an end is cut after this many words.
@@ -107,12 +107,16 @@ def fit(sample: list[tuple[bytes, object]], steps: int = 300, rate: float = 0.1)
     truth = np.array([float(y) for _, y in sample])
     if len(set(truth)) < 2:
         return Model(0.0 if not len(truth) else (8.0 if truth[0] else -16.0), {})
-    cut = [[words for _, _, words in sentences(t)] for t, _ in sample]
     holds: dict[float, Counter] = {0.0: Counter(), 1.0: Counter()}
-    for doc, y in zip(cut, truth, strict=True):
-        holds[y].update({f for words in doc for w in set(words) for f in features(w)})
+    for y in (1.0, 0.0):  # features that no toxic text has are not counted
+        for (text, _), own in zip(sample, truth, strict=True):
+            if own == y:
+                words = {w for _, _, ws in sentences(text) for w in ws}
+                found = {f for w in words for f in features(w)}
+                holds[y].update(found if y else found & holds[1.0].keys())
+        holds[y] = Counter({f: n for f, n in holds[y].items() if y == 0 or n >= MIN_DOCUMENTS})
     n1, n0 = truth.sum(), len(truth) - truth.sum()
-    names = [f for f, c in holds[1.0].items() if c >= MIN_DOCUMENTS]
+    names = list(holds[1.0])
     have1 = np.array([holds[1.0][f] for f in names], dtype=float)
     have0 = np.array([holds[0.0][f] for f in names], dtype=float)
     pooled = (have1 + have0) / (n1 + n0)
@@ -125,9 +129,10 @@ def fit(sample: list[tuple[bytes, object]], steps: int = 300, rate: float = 0.1)
     index = {names[k]: i for i, k in enumerate(order[contrast[order] >= least])}
 
     ids, sizes, per_doc = [], [], []
-    for doc in cut:
-        per_doc.append(len(doc))
-        for words in doc:
+    for text, _ in sample:
+        parts = sentences(text)
+        per_doc.append(len(parts))
+        for _, _, words in parts:
             have = {index[f] for w in words for f in features(w) if f in index}
             ids.extend(sorted(have))
             sizes.append(len(have))
