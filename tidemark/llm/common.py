@@ -20,7 +20,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from tidemark.session import ensure_checkpoint_dir, scratch_path
 
 #: Text that a Python worker handles at a time; one longer text makes a batch of its own.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 _TEXT = "__text"
 
 

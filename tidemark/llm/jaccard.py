@@ -48,7 +48,7 @@ WORDS = 5
 #: Fixed size of the count sketch: counters, and counters in one of its rows.
 COUNTERS, CHUNK = 1 << 22, 1 << 18
 #: Words whose hash a task remembers.
-CACHE = 150_000
+CACHE = 100_000
 #: Columns of a row that the first product uses: those of smallest hash.
 STAR_COLUMNS = 8
 #: Longs of 64 parity bits that bound how much two sets differ.

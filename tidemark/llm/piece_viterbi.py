@@ -33,7 +33,7 @@ from tidemark.llm.common import map_texts, ranges
 
 UNKNOWN_COST = 10.0
 #: Distinct words that a task remembers.
-CACHE = 400_000
+CACHE = 150_000
 #: Fixed values of the model file format.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, BYTE = 1, 2, 3, 4, 6
 UNIGRAM, SPACE = 1, "▁"

@@ -22,7 +22,7 @@ from tokenizers import Tokenizer
 from tidemark.llm.common import map_texts, ranges
 
 #: Distinct pre-tokens, and words in them, that a task remembers.
-CACHE = 250_000
+CACHE = 150_000
 
 #: Fixed values of the public word-level tokenizer: its split rule ...
 WORD_RULE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"

@@ -33,7 +33,7 @@ SENTENCE_WORDS = 40
 #: Keeps documents of very many sentences without any feature clean.
 HIGHEST_BIAS = -11.0
 #: Words whose weight a task remembers.
-CACHE = 300_000
+CACHE = 150_000
 #: A sentence at least this probable is reported as offending.
 OFFENDING = 0.5
 
