@@ -139,3 +139,30 @@ def test_language_pieces_of_long_texts(monkeypatch):
     cut = language.predict(model, texts)
     assert whole[0] == cut[0] and whole[0][:2] == ["en", "de"]
     assert cut[1] == pytest.approx(whole[1], abs=0.02)
+
+
+def test_language_rejects_unlearned_languages_and_junk(spark):
+    docs, _ = tables(spark)
+    rnd = random.Random(4)
+    noise = ["".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=rnd.randint(2, 9))) for _ in range(200)]
+    junk = [b"x" * 9000, b"qzxv kjwq zzkx vvqj " * 30, " ".join(noise).encode()]
+    rows = [(r.text.encode(), r.lang, r.doc_id % 4 == 2) for r in docs.collect() if r.text]
+    for unlearned in ("es", "fr"):
+        model = language.fit([(t, y) for t, y, test in rows if y != unlearned and not test])
+        strange = language.predict(model, [t for t, y, _ in rows if y == unlearned])[2]
+        assert strange.mean() >= 0.9
+        known = language.predict(model, [t for t, y, test in rows if y != unlearned and test])[2]
+        assert known.mean() <= 0.02
+        assert language.predict(model, junk)[2].all()
+    alone = language.fit([(t, y) for t, y, test in rows if y == "en" and not test])
+    assert language.predict(alone, junk)[2].all()
+
+
+def test_floors_of_few_and_many_values():
+    import numpy as np
+
+    values = -np.random.default_rng(2).exponential(size=20_000)
+    many = language.floor_of(values, 0.001)
+    assert many == np.quantile(values, 0.001)
+    assert language.floor_of(values[:300], 0.001) < values[:300].min()
+    assert language.floor_of(values[:3], 0.001) == -np.inf

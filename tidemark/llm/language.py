@@ -4,8 +4,14 @@ A text is lower-cased (A-Z), everything but letters becomes one blank, and its
 subwords are all byte 3-grams and 4-grams, blanks at word ends included.  Each
 is hashed to a row of an embedding table; the mean of the rows goes through a
 linear softmax.  Embeddings and softmax are trained together by stochastic
-gradient descent in numpy on a bounded sample.  A temperature and a rejection
-threshold are then calibrated on sample rows held back from the descent.
+gradient descent in numpy on a bounded sample.  A temperature is then calibrated
+on sample rows held back from the descent.
+
+A softmax only tells the learned languages from each other.  So a text is rejected
+for either of two measures: its calibrated probability, and how familiar it is, the
+mean log-probability of its subwords in the training texts, all languages alike.
+Held-back rows give the least value of both for each class of length: whole texts,
+and for the short classes pieces of them as well.
 
 The classifier is linear in the subwords, so tasks use the product of both
 tables: one row of logits for each bucket.
@@ -32,8 +38,15 @@ BUCKETS, DIMENSIONS = 1 << 16, 12
 PIECE_BYTES = 1 << 20
 #: Languages the model may learn: the most frequent ones.
 MAX_LANGUAGES = 256
-#: Share of calibration texts of known language that may fall below the threshold.
+#: Share of texts of known language that may be rejected, half by either measure.
 REJECTED = 0.001
+#: Subwords from which the next class of length begins; held-back pieces of texts
+#: count in the first ``PIECE_CLASSES`` classes only.
+LENGTHS, PIECE_CLASSES = (64, 256, 2048), 2
+#: With fewer held-back rows a class takes the least values of all that it may count.
+LEAST_HELD = 100
+#: Share of its probability that each language leaves to subwords it has not shown.
+UNSEEN = 0.01
 UNKNOWN = "und"
 
 _LETTERS = bytes(
@@ -48,7 +61,8 @@ class Model:
     table: np.ndarray  # BUCKETS + 1 rows of logits, the last all zero
     bias: np.ndarray
     temperature: float
-    threshold: float
+    seen: np.ndarray  # log-probability of each bucket in the training texts, the last 0
+    floors: np.ndarray  # for each class of length: least log-odds and least familiarity
 
 
 def has_letter(text: bytes) -> bool:
@@ -92,6 +106,38 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
+def _log_odds(p: np.ndarray) -> np.ndarray:
+    p = np.clip(p, 1e-12, 1 - 1e-12)
+    return np.log(p) - np.log1p(-p)
+
+
+def floor_of(values: np.ndarray, share: float) -> float:
+    """The value that a ``share`` of the population is below.
+
+    With too few values to read it off, the tail below the median is taken as
+    exponential and carried on from the lowest value.
+    """
+    if len(values) * share >= 1:
+        return float(np.quantile(values, share))
+    middle, lowest = np.median(values), values.min()
+    if len(values) < 4:
+        return -np.inf
+    return float(middle - (middle - lowest) * np.log(0.5 / share) / np.log(0.5 * len(values)))
+
+
+def _floors(odds: np.ndarray, familiar: np.ndarray, n: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """Least log-odds and least familiarity of each class of length."""
+    of = np.searchsorted(LENGTHS, n, side="right")
+    out = np.full((len(LENGTHS) + 1, 2), -np.inf)
+    for k in range(len(out)):
+        usable = whole | (k < PIECE_CLASSES)
+        own = usable & (of == k)
+        own = own if own.sum() >= LEAST_HELD else usable
+        for column, values in enumerate((odds, familiar)):
+            out[k, column] = floor_of(values[own], REJECTED / 2) if own.any() else -np.inf
+    return out
+
+
 def fit(sample: list[tuple[bytes, object]], epochs: int = 4, rate: float = 2.0,
         seed: int = 11) -> Model:
     """Train on (text, language) rows; every fifth row is kept for calibration.
@@ -106,14 +152,25 @@ def fit(sample: list[tuple[bytes, object]], epochs: int = 4, rate: float = 2.0,
     embed = random.uniform(-1, 1, (BUCKETS, DIMENSIONS)) / DIMENSIONS
     weight = np.zeros((DIMENSIONS, len(languages)))
     bias = np.zeros(len(languages))
-    bags, held = [], []
+    bags, held, sizes, whole = [], [], [], []
+    share_of = np.zeros((len(languages), BUCKETS))
     for k, at in enumerate(random.permutation(len(sample))):
         text, y = sample[at]
         words = text.split()
         begin = int(random.integers(0, max(len(words) - 8, 1)))
         piece = b" ".join(words[begin : begin + int(random.integers(2, 12))])
-        to = held if k % 5 == 4 else bags
-        to += [(*_bag(t), number[y]) for t in (text, piece) if has_letter(t)]
+        for t in (text, piece):
+            if not has_letter(t):
+                continue
+            ids, share = _bag(t)
+            if k % 5 != 4:
+                bags.append((ids, share, number[y]))
+                if t is text:
+                    share_of[number[y], ids] += share
+            elif len(ids):
+                held.append((ids, share, number[y]))
+                sizes.append(int((subwords([t])[0] < BUCKETS).sum()))
+                whole.append(t is text)
     total = max(epochs * len(bags), 1)
     done = 0
     for _ in range(epochs):
@@ -130,8 +187,12 @@ def fit(sample: list[tuple[bytes, object]], epochs: int = 4, rate: float = 2.0,
             embed[ids] -= lr * share[:, None] * back
     table = np.zeros((BUCKETS + 1, len(languages)), dtype=np.float32)
     table[:-1] = embed @ weight
-    temperature, threshold = 1.0, 0.0
-    if held and len(languages) > 1:
+    total = share_of.sum(axis=1, keepdims=True)
+    share_of = (1 - UNSEEN) * share_of / np.maximum(total, 1e-12) + UNSEEN / BUCKETS
+    seen = np.zeros(BUCKETS + 1)
+    seen[:-1] = np.log(share_of.mean(axis=0)) if languages else 0
+    temperature, floors = 1.0, np.full((len(LENGTHS) + 1, 2), -np.inf)
+    if held:
         logits = np.array([share @ table[ids] + bias for ids, share, _ in held])
         truth = np.array([y for _, _, y in held])
         rows = np.arange(len(truth))
@@ -140,9 +201,10 @@ def fit(sample: list[tuple[bytes, object]], epochs: int = 4, rate: float = 2.0,
             return float(-np.log(_softmax(logits / t)[rows, truth] + 1e-12).mean())
 
         temperature = min((2.0**k for k in np.arange(-3, 4, 0.25)), key=loss)
-        best = _softmax(logits / temperature).max(axis=1)
-        threshold = min(float(np.quantile(best, REJECTED)), 1.2 / len(languages))
-    return Model(languages, table, bias, float(temperature), threshold)
+        odds = _log_odds(_softmax(logits / temperature).max(axis=1))
+        familiar = np.array([share @ seen[ids] for ids, share, _ in held])
+        floors = _floors(odds, familiar, np.array(sizes), np.array(whole))
+    return Model(languages, table, bias, float(temperature), seen, floors)
 
 
 def _pieces(texts: list[bytes | None]):
@@ -170,7 +232,7 @@ def predict(model: Model, texts: list[bytes | None]) -> tuple[list[str], np.ndar
     known = [bool(t) and has_letter(t) for t in texts]
     if not model.languages or not texts:
         return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.ones(len(texts), dtype=bool)
-    n = np.zeros(len(texts))
+    n, familiar = np.zeros(len(texts)), np.zeros(len(texts))
     logits = np.zeros((len(texts), len(model.languages)))
     for owners, pieces in _pieces(texts):
         ids, starts = subwords(pieces)
@@ -179,11 +241,14 @@ def predict(model: Model, texts: list[bytes | None]) -> tuple[list[str], np.ndar
             column = np.ascontiguousarray(model.table[:, c])
             part = np.add.reduceat(column[ids].sum(axis=1), starts, dtype=np.float64)
             np.add.at(logits[:, c], owners, part)
+        np.add.at(familiar, owners, np.add.reduceat(model.seen[ids].sum(axis=1), starts))
     p = _softmax((logits / np.maximum(n, 1)[:, None] + model.bias) / model.temperature)
     best = p.argmax(axis=1)
     score = np.where(known, p[np.arange(len(texts)), best], 0.0)
     names = [model.languages[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)]
-    return names, score, ~np.array(known) | (score < model.threshold)
+    least = model.floors[np.searchsorted(LENGTHS, n, side="right")]
+    low = (_log_odds(score) < least[:, 0]) | (familiar / np.maximum(n, 1) < least[:, 1])
+    return names, score, ~np.array(known) | low
 
 
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
@@ -201,7 +266,8 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
 def identify(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
     """``lang_pred``, ``score`` and ``rejected`` for every row.
 
-    Null texts and texts without a letter are ``und``, score 0 and are rejected.
+    Null texts and texts without a letter are ``und``, score 0 and are rejected;
+    so are texts that are less likely or less familiar than known ones of their length.
     Each row is judged on its own; only the columns in ``keep`` pass through.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x languages floats
