@@ -255,6 +255,38 @@ def test_licenses_of_awkward_rows(spark):
     assert license_scan.scan_licenses(empty(spark), ["doc_id"]).count() == 0
 
 
+def license_labels(text):
+    index = license_scan.build_index({}, license_scan.TEMPLATES)
+    return license_scan.scan(index, text.encode())[5]
+
+
+def test_licenses_do_not_depend_on_line_ends():
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted"
+    assert license_labels(bsd) == license_labels(bsd.replace("\n", " ")) == ["bsd"]
+    assert license_labels("# Released under\n# the MIT\n# License.\n") == ["mit"]
+    for text in license_scan.TEMPLATES.values():
+        assert license_labels(text.replace(" ", "\r\n")) == license_labels(text)
+    # scattered over a long line
+    scattered = "and".join(f" {w} " + "x " * 40 for w in license_scan.TEMPLATES["bsd"].split())
+    assert license_labels(scattered) == []
+    assert license_labels(scattered + bsd) == ["bsd"]
+
+
+def test_license_blocks_equal_brute_force():
+    rnd = random.Random(8)
+    for _ in range(200):
+        ranks, size = rnd.randint(1, 6), rnd.randint(2, 9)
+        text = rnd.choices(range(-12, ranks), k=rnd.randint(0, 60))
+        least = rnd.randint(1, ranks)
+        places = [(i, r) for i, r in enumerate(text) if r >= 0]
+        wanted = {i: len({r for r in text[i : i + size] if r >= 0}) for i, _ in places}
+        wanted = {i: n for i, n in wanted.items() if n >= least}
+        got = list(license_scan.blocks(places, least, size))
+        assert all(past <= first for (_, past, _), (first, _, _) in zip(got, got[1:]))
+        assert all(sum(a <= i < b for a, b, _ in got) == 1 for i in wanted)
+        assert [n for _, _, n in got] == [max(n for i, n in wanted.items() if a <= i < b) for a, b, _ in got]
+
+
 # -- near duplicates ----------------------------------------------------------
 
 

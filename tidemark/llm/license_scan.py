@@ -1,7 +1,8 @@
 """License scans by exact set-similarity join of text blocks with templates.
 
-A block is a line of a text.  Two sets of words, a template *t* and a block *b*,
-match if ``|t & b| >= THRESHOLD * |t|``.  Words are ordered by how many documents
+Line ends do not bound a block: a block is any run of ``SPREAD`` times as many words
+as the template has, ``LEAST_BLOCK`` at least.  Two sets of words, a template *t* and
+a block *b*, match if ``|t & b| >= THRESHOLD * |t|``.  Words are ordered by how many documents
 of the whole corpus hold them, rarest first; words outside the templates cannot
 add to an overlap and are dropped.  With ``least = ceil(THRESHOLD * |t|)``:
 
@@ -11,15 +12,16 @@ add to an overlap and are dropped.  With ``least = ceil(THRESHOLD * |t|)``:
 * position: at the first shared word, the words left on either side must allow
   ``least``.
 
-What passes is counted exactly.  A block with all the words of a template more
-than once still matches once.  Beside the templates, three fixed phrases are found
+The filters are put to the set of a whole text, which holds every block's.  What passes
+is counted exactly, block by block from each word of the template on; blocks that
+overlap are one match with the best containment of them.  Beside the templates, three fixed phrases are found
 word by word.
 """
 
 from __future__ import annotations
 
 import math
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,6 +34,8 @@ from pyspark.sql import types as T
 from tidemark.llm.common import cut, map_texts, prepare
 
 THRESHOLD = 0.8
+#: Words of a block for each word of the template, and words of the shortest block.
+SPREAD, LEAST_BLOCK = 2, 10
 
 #: Phrase and label of the base scan.
 PHRASES = {
@@ -51,7 +55,7 @@ TEMPLATES = {
     "all-rights-reserved": "all rights reserved",
 }
 
-#: Lower-cases A-Z; blanks all but digits, letters, bytes from 0x80 on and line ends.
+#: Lower-cases A-Z; blanks all but digits, letters and bytes from 0x80 on; keeps line ends.
 _LINES = bytes(
     c + 32 if 65 <= c <= 90
     else c if c == 10 or 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32
@@ -89,7 +93,7 @@ class Index:
     """Templates in corpus order, and which have a word in their prefix."""
 
     rank: dict[bytes, int]
-    templates: list[tuple[str, list[int], int]]  # label, ranks in order, least overlap
+    templates: list[tuple[str, list[int], int, int]]  # label, ranks, least overlap, block
     by_prefix: dict[int, list[tuple[int, int]]]  # rank: template, place in it
     shortest: int
 
@@ -97,7 +101,8 @@ class Index:
 def build_index(frequency: dict[bytes, int], templates: dict[str, str],
                 threshold: float = THRESHOLD) -> Index:
     """Order template words by document frequency (ties by the word)."""
-    sets = {label: set(text.encode().translate(_LINES).split()) for label, text in templates.items()}
+    split = {label: text.encode().translate(_LINES).split() for label, text in templates.items()}
+    sets = {label: set(words) for label, words in split.items()}
     words = sorted(set().union(*sets.values()), key=lambda w: (frequency.get(w, 0), w))
     rank = {w: i for i, w in enumerate(words)}
     out, by_prefix = [], defaultdict(list)
@@ -106,48 +111,76 @@ def build_index(frequency: dict[bytes, int], templates: dict[str, str],
         least = math.ceil(threshold * len(ranks) - 1e-9)
         for place, r in enumerate(ranks[: len(ranks) - least + 1]):
             by_prefix[r].append((len(out), place))
-        out.append((label, ranks, least))
+        out.append((label, ranks, least, max(SPREAD * len(split[label]), LEAST_BLOCK)))
     return Index(rank, out, dict(by_prefix), min((x[2] for x in out), default=0))
 
 
-def matches(index: Index, block: list[int]) -> list[tuple[str, float]]:
-    """Label and containment of every template that a sorted list of ranks matches."""
+def candidates(index: Index, block: list[int]) -> list[int]:
+    """Place of every template that a sorted list of ranks matches, in order."""
     found, seen = [], set()
     for i, r in enumerate(block):
         for t, j in index.by_prefix.get(r, ()):
             if t in seen:
                 continue
-            label, ranks, least = index.templates[t]
+            _, ranks, least, _ = index.templates[t]
             if len(block) < least or i > len(block) - least:
                 continue
             # the first shared word, as the block is read in order
             seen.add(t)
             if 1 + min(len(block) - i - 1, len(ranks) - j - 1) < least:
                 continue
-            overlap = len(set(block).intersection(ranks))
-            if overlap >= least:
-                found.append((label, overlap / len(ranks)))
+            if len(set(block).intersection(ranks)) >= least:
+                found.append(t)
     return sorted(found)
 
 
+def blocks(places: list[tuple[int, int]], least: int, size: int) -> Iterator[tuple[int, int, int]]:
+    """First word, word past the last and best overlap of each run of matching blocks.
+
+    ``places`` are (word position, rank) of a template's words in order of position.
+    """
+    inside: Counter = Counter()
+    begin = end = best = past = 0
+    for k, (first, _) in enumerate(places):
+        if k:
+            left = places[k - 1][1]
+            inside[left] -= 1
+            if not inside[left]:
+                del inside[left]
+        while past < len(places) and places[past][0] < first + size:
+            inside[places[past][1]] += 1
+            past += 1
+        if len(inside) < least:
+            continue
+        if best and first >= end:
+            yield begin, end, best
+            best = 0
+        begin = begin if best else first
+        end, best = places[past - 1][0] + 1, max(best, len(inside))
+    if best:
+        yield begin, end, best
+
+
 def scan(index: Index, text: bytes | None) -> tuple:
     """One row of ``OUTPUTS``."""
     plain = (text or b"").translate(_LINES)
-    lines = plain.split(b"\n")
-    n, hits, best, known = 0, [], 0.0, index.rank
+    words = plain.split()
+    hits, best, known = [], 0.0, index.rank
     base, labels = [], set()
-    for line in lines:
-        words = line.split()
-        # most lines hold too few template words to match
-        have = known.keys() & words
-        if have and len(have) >= index.shortest:
-            for label, share in matches(index, sorted(known[w] for w in have)):
-                hits.append({"label": label, "first_word": n, "n_words": len(words), "containment": share})
+    # most texts hold too few template words to match
+    have = known.keys() & words
+    if have and len(have) >= index.shortest:
+        chosen = candidates(index, sorted(known[w] for w in have))
+        places = [(i, known[w]) for i, w in enumerate(words) if w in known] if chosen else []
+        for label, ranks, least, size in (index.templates[t] for t in chosen):
+            own = set(ranks)
+            for first, past, overlap in blocks([p for p in places if p[1] in own], least, size):
+                share = overlap / len(ranks)
+                hits.append({"label": label, "first_word": first, "n_words": past - first,
+                             "containment": share})
                 labels.add(label)
                 best = max(best, share)
-        n += len(words)
     if any(p in plain for p in _PHRASE_STARTS):
-        words = plain.split()
         for phrase, label in _PHRASE_WORDS:
             at = -1
             while (at := _find(words, phrase[0], at + 1)) >= 0:
@@ -158,7 +191,7 @@ def scan(index: Index, text: bytes | None) -> tuple:
         best = 1.0
     starts = [a for a, _ in base]
     return (
-        n, len(base), min(starts, default=None), max(starts, default=None),
+        len(words), len(base), min(starts, default=None), max(starts, default=None),
         sorted({x for _, x in base}), sorted(labels), best, hits,
     )
 
