@@ -222,6 +222,24 @@ def test_contamination_of_awkward_rows(spark, monkeypatch, limit):
     assert nothing.where(F.size("spans") > 0).count() == 0
 
 
+def test_passes_cut_what_one_pass_cuts(spark, monkeypatch):
+    w = [f"w{i}" for i in range(30)]
+    # overlapping items, and a window that stands only after a cut
+    items = [w[:20], w[14:26], ["a"] * 5 + ["b"] * 5, ["c"] * 10]
+    benchmark = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    texts = [w, ["a"] * 5 + w[:20] + ["b"] * 5 + ["d"], ["a"] * 5 + ["c"] * 10 + w[14:26] + ["b"] * 5, ["d"], []]
+    docs = spark.createDataFrame(
+        [(i, " ".join(t), 0) for i, t in enumerate(texts)] + [(9, None, None)], "doc_id long, text string, n int")
+    cut = {}
+    for limit in (1 << 24, 20):
+        monkeypatch.setattr(decontam, "PASS_BYTES", limit)
+        found = decontam.without_spans(docs, benchmark, length="n")
+        assert found.schema == docs.schema
+        cut[limit] = sorted(map(tuple, found.collect()))
+    assert cut[20] == cut[1 << 24]
+    assert cut[20][0][1].split() == w[26:] and cut[20][1][1].split() == ["d"]
+
+
 # -- licenses -----------------------------------------------------------------
 
 

@@ -232,13 +232,18 @@ _OUTPUTS = T.StructType(
 )
 
 
-def passes(benchmark: DataFrame, key: str, text: str) -> Iterator[list[tuple[object, bytes]]]:
-    """The benchmark in lists of at most ``PASS_BYTES`` of text, one in memory at a time."""
+def _dealt(benchmark: DataFrame, key: str, text: str) -> tuple[DataFrame, int]:
+    """Distinct rows of the benchmark, and how many passes their text takes."""
     rows = benchmark.select(
         F.col(key).cast("string").alias("key"), F.col(text).cast("string").alias("text")
     ).where(F.col("text").isNotNull()).distinct()
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = 1 + 2 * total // PASS_BYTES if total > PASS_BYTES else 1
+    return rows, 1 + 2 * total // PASS_BYTES if total > PASS_BYTES else 1
+
+
+def passes(benchmark: DataFrame, key: str, text: str) -> Iterator[list[tuple[object, bytes]]]:
+    """The benchmark in lists of at most ``PASS_BYTES`` of text, one in memory at a time."""
+    rows, n = _dealt(benchmark, key, text)
     for k in range(n):
         part = rows.where(F.pmod(F.xxhash64("key", "text"), F.lit(n)) == k) if n > 1 else rows
         yield sorted(((r.key, r.text.encode()) for r in part.collect()), key=repr)
@@ -296,39 +301,63 @@ def without_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text",
     Should what is left then read as a window, that is cut as well.  Where a text
     changed, the column ``length`` (if given) gets its new number of characters.
     Rows without a hit, and rows left without words, stay.
+
+    A benchmark over ``PASS_BYTES`` is searched in several passes.  The spans of all of
+    them are cut from one text at once, as in a single pass, and the rows that had some
+    are searched again by all passes until none has any.
     """
     context = docs.sparkSession.sparkContext
     prepare(docs.sparkSession)
-    schema, out = docs.schema, None
+    schema = docs.schema
     names = schema.fieldNames()
     at, size_at = names.index(text), names.index(length) if length else None
-    for rows in passes(benchmark, item_key, item_text):
-        shared = context.broadcast(phrases(rows))  # PASS_BYTES of text at most
-        source = docs if out is None else checkpointed(out)
-        out = source.mapInArrow(_cutter(shared, to_arrow_schema(schema), at, size_at), schema)
-    return out
+    arrow = to_arrow_schema(schema)
+    if _dealt(benchmark, item_key, item_text)[1] == 1:
+        shared = context.broadcast(phrases(next(passes(benchmark, item_key, item_text))))
+        return docs.mapInArrow(_cutter(_cleaner(shared), arrow, at, size_at), schema)
+    plain = [f"p{i}" for i in range(len(names))]
+    done, left = None, docs
+    while True:
+        found = checkpointed(contamination(left.toDF(*plain), benchmark, plain, plain[at],
+                                           item_key, item_text).select(*plain, "spans"))
+        hit = F.size("spans") > 0
+        clear = found.where(~hit).select(*plain).toDF(*names)
+        done = clear if done is None else done.union(clear)
+        if found.where(hit).isEmpty():
+            return done
+        left = checkpointed(
+            found.where(hit).mapInArrow(_cutter(_remover, arrow, at, size_at), schema)
+        )
+
+
+def _cleaner(shared):
+    return lambda part, texts: clean(shared.value, texts)
+
+
+def _remover(part: pa.RecordBatch, texts: list[bytes | None]) -> dict[int, bytes]:
+    """The texts without the spans of the last column."""
+    spans = part.column(part.num_columns - 1).to_pylist()
+    return {k: remove(t, s) for k, (t, s) in enumerate(zip(texts, spans, strict=True)) if s}
+
 
+def _cutter(change, arrow: pa.Schema, at: int, size_at: int | None):
+    """Batches as ``arrow`` says, with the texts that ``change`` gives by place."""
 
-def _cutter(shared, arrow: pa.Schema, at: int, size_at: int | None):
     def run(batches):
         for batch in batches:
-            batch = pa.RecordBatch.from_arrays(
-                [batch.column(i).cast(f.type) for i, f in enumerate(arrow)], schema=arrow
-            )
             for part in cut(batch, at):
                 texts = part.column(at).cast(pa.binary()).to_pylist()
-                new = clean(shared.value, texts)
+                new = change(part, texts)
+                columns = [part.column(i).cast(f.type) for i, f in enumerate(arrow)]
                 if new:
                     made = [new.get(k, t) for k, t in enumerate(texts)]
-                    columns = list(part.columns)
                     columns[at] = pa.array(made, pa.binary()).cast(arrow.field(at).type)
                     if size_at is not None:
                         sizes = columns[size_at].to_pylist()
                         for k, t in new.items():
                             sizes[k] = len(t.decode("utf-8", "replace"))
                         columns[size_at] = pa.array(sizes, arrow.field(size_at).type)
-                    part = pa.RecordBatch.from_arrays(columns, schema=arrow)
-                yield part
+                yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
     return run
 
