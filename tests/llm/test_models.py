@@ -43,6 +43,14 @@ def test_a_long_clean_text_stays_clean():
     assert score < 0.5 < bad
 
 
+def test_sentences_without_a_feature_never_add_up():
+    model = toxicity.Model(toxicity.HIGHEST_BIAS, {b"bad": 12.0, b"mild": 1.0})
+    text = b"some quite harmless words here. " * 100_000
+    (clean, mild, bad), _, places = toxicity.scorer(model)([text, text + b"mild one.", text + b"bad one."])
+    assert clean == 0 and mild < 0.01 and bad == pytest.approx(toxicity.sigmoid(1.0))
+    assert [len(p) for p in places] == [0, 0, 1]
+
+
 def test_sentences_keep_places_and_are_bounded():
     text = b"One two. Three!\n\n" + b"w " * 100 + b"end"
     found = toxicity.sentences(text)

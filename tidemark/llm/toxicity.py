@@ -5,7 +5,8 @@ Only documents carry labels.  Each sentence *s* gets a probability
 toxic if any sentence is: ``P = 1 - prod(1 - p_s)`` (noisy-or).  The weights are
 fitted to document labels through that formula, so blame settles on the
 sentences that toxic documents have and clean ones lack; those are the ones
-``locate`` reports.
+``locate`` reports.  A sentence without a feature is left out of the product when texts
+are scored, so that no number of them makes a text toxic.
 
 Features are the lower-cased word and its prefixes of 4 to 6 bytes, kept if
 labelled toxic documents hold them more often than chance explains.  The fit runs on a bounded sample of
@@ -179,17 +180,18 @@ def scorer(model: Model):
             words = set(text.translate(_PLAIN).translate(_BLANK_ENDS).split())
             if any(map(known.__getitem__, words)):
                 parts = sentences(text)
-                z = np.full(len(parts), model.bias)
+                z = np.full(len(parts), -np.inf)
                 for k, (_, _, own) in enumerate(parts):
                     have = {f for fs in map(known.__getitem__, own) if fs for f in fs}
                     if have:
-                        z[k] += sum(weights[f] for f in sorted(have))
+                        z[k] = model.bias + sum(weights[f] for f in sorted(have))
                 n, total, p = len(parts), float(np.logaddexp(0, z).sum()), sigmoid(z)
                 for k in np.flatnonzero(p >= OFFENDING):
                     found.append({"start": parts[k][0], "end": parts[k][1], "p": float(p[k])})
             else:
                 n = n_sentences(text)
-                total = n * float(np.logaddexp(0, model.bias))
+                # a model without features is a constant score; else nothing speaks against the text
+                total = 0.0 if weights else n * float(np.logaddexp(0, model.bias))
             scores.append(float(-np.expm1(-total)))
             counts.append(n)
             places.append(found)
