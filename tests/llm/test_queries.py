@@ -20,7 +20,7 @@ SMALL = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def duck():
     connection = duckdb.connect()
-    for name in ("documents", "embeddings", "benchmark", "labels"):
+    for name in ("documents", "embeddings", "benchmark", "labels", "conversations"):
         connection.execute(f"create view {name} as select * from '{SMALL}/{name}.parquet'")
     return connection
 

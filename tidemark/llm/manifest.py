@@ -230,13 +230,11 @@ def _descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _down(rounds: list[DataFrame], paths: DataFrame) -> DataFrame:
-    """Paths of the nodes below the last round's arrays, but for those of the first round."""
+def _down(rounds: list[DataFrame], paths: DataFrame | None) -> DataFrame:
+    """Paths of the nodes of the first round's arrays; none given: the last round has the root."""
     for arrays in reversed(rounds):
-        paths = (
-            arrays.join(paths, ["grp", "chunk"]).select("grp", "chunk", "total", "nodes", "path")
-            .mapInArrow(_descend, _PATHS)
-        )
+        known = arrays.withColumn("path", F.lit(b"")) if paths is None else arrays.join(paths, ["grp", "chunk"])
+        paths = known.select("grp", "chunk", "total", "nodes", "path").mapInArrow(_descend, _PATHS)
     return paths
 
 
@@ -313,10 +311,7 @@ def proofs(
     top_rounds = _rounds(top, n_groups, "top-slots")
     root = bytes(top_rounds[-1].select("digest").first()[0]).hex()
     # down from the root: every subroot's path, then every array's
-    start = spark.range(1).select(
-        F.lit("").alias("grp"), F.lit(0).cast("long").alias("chunk"), F.lit(b"").alias("path")
-    )
-    of_groups = _down(top_rounds, start).select(F.col("chunk").alias("place"), "path")
+    of_groups = _down(top_rounds, None).select(F.col("chunk").alias("place"), "path")
     paths = groups.join(of_groups, "place").select("grp", F.lit(0).cast("long").alias("chunk"), "path")
     paths = _down(rounds[1:], paths)
     named = subroots.select("grp", F.lower(F.hex("leaf")).alias("subroot"))
