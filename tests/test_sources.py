@@ -258,6 +258,34 @@ def test_archive_keeps_days_that_the_log_has_lost(spark, folder):
     assert before == sorted(p.name for p in Path(path, "log_date=2024-01-02").iterdir())
 
 
+def test_archive_is_a_bag_union_of_trimmed_and_late_rows(spark, folder):
+    path, limit = f"{folder}/bag", F.lit(date(2024, 1, 2))
+    row = "select timestamp_ntz'2024-01-01 01:00:00' as ts, cast(if(id = 3, null, id) as long) as id"
+    archive = lambda df: tables.archive_log(df, "ts", path, limit)
+    log = spark.sql(f"{row} from range(10)").unionAll(spark.sql(f"{row} from range(2)"))
+    archive(log)
+    late = spark.sql(f"{row} from range(20, 28)").unionAll(spark.sql(f"{row} from range(1)"))
+    archive(log.where("id >= 5").unionAll(late))  # half is trimmed, and more late rows came
+    expected = sorted([(i,) for i in [0, 0, 1, 1, 2, 4, 5, 6, 7, 8, 9, *range(20, 28)]] + [(None,)], key=repr)
+    assert rows(spark.read.parquet(path), "id") == expected
+    before = sorted(p.name for p in Path(path, "log_date=2024-01-01").iterdir())
+    archive(log)
+    assert before == sorted(p.name for p in Path(path, "log_date=2024-01-01").iterdir())
+    archive(log.unionAll(spark.sql(f"{row} from range(1)")))  # a third copy in the log
+    assert rows(spark.read.parquet(path), "id") == sorted([*expected, (0,)], key=repr)
+
+
+@pytest.mark.parametrize("newest_by", [None, "at"])
+def test_upsert_keeps_every_row_without_a_key(spark, folder, newest_by):
+    path, schema = f"{folder}/n{newest_by}", "id int, sub int, at int, p int"
+    load = lambda *r: tables.upsert(
+        spark.createDataFrame(list(r), schema), path, ["id", "sub"], "p", newest_by=newest_by)
+    load((None, 1, 1, 1), (None, 1, 2, 1), (7, None, 1, 1), (7, 1, 1, 1))
+    load((None, 1, 1, 1), (7, 1, 5, 1))
+    assert rows(spark.read.schema(schema).parquet(path)) == sorted(
+        [(None, 1, 1, 1), (None, 1, 2, 1), (7, None, 1, 1), (None, 1, 1, 1), (7, 1, 5, 1)], key=repr)
+
+
 def test_erasure_rewrites_touched_partitions_and_keeps_its_audit(spark, folder):
     path, audit = f"{folder}/t", f"{folder}/audit"
     df = spark.createDataFrame(

@@ -204,6 +204,55 @@ class Tables:
         )
         return clients.unionByName(products)
 
+    def entity_accounts(self) -> DataFrame:
+        """Accounts of the three systems: shared business ids, misspelt names, doubles."""
+        key = F.col("c_custkey")
+        text = key.cast("string")
+        name = F.concat(F.lit("Firm "), F.left(F.md5(text.cast("binary")), F.lit(10)))
+        city = F.concat(F.lit("City "), F.col("c_nationkey").cast("string"))
+        business = F.concat(F.lit("B"), text)
+
+        def side(system: str, prefix: str, held: Column, known: Column, called: Column) -> DataFrame:
+            return self.customer.where(held).select(
+                F.lit(system).alias("system"), F.concat(F.lit(prefix), text).alias("id"),
+                F.when(known, business).alias("business_id"), called.alias("name"), city.alias("city"),
+            )
+
+        respelt = (
+            F.when(key % 5 == 0, F.concat(F.upper(name), F.lit("!")))
+            .when(key % 5 == 1, F.left(name, F.length(name) - 1))
+            .otherwise(F.concat(F.lit("Unit "), text))
+        )
+        ledger = F.when(key % 5 == 2, F.concat(name, F.lit("x"))).otherwise(name)
+        sides = [
+            side("crm", "ACC", key % 11 != 0, key % 7 != 0, name),
+            side("portfolio", "A", key % 13 != 0, key % 3 != 0, respelt),
+            side("ledger", "L", key % 4 != 0, key % 2 == 0, ledger).withColumn(
+                "business_id",
+                F.when(F.substring("id", 2, 9).cast("long") % 40 == 1, "NONE").otherwise(F.col("business_id")),
+            ),
+            side("ledger", "LX", key % 17 == 0, F.lit(True), F.concat(F.lit("Old "), name)),
+        ]
+        return sides[0].unionByName(sides[1]).unionByName(sides[2]).unionByName(sides[3])
+
+    def entity_known(self) -> DataFrame:
+        """Keys of an earlier cross-reference."""
+        key = F.col("c_custkey")
+        return self.customer.where((key % 3 == 0) & (key % 11 != 0)).select(
+            F.lit("crm").alias("system"), F.concat(F.lit("ACC"), key.cast("string")).alias("account"),
+            key.alias("curated_key"),
+        )
+
+    def entity_reviews(self) -> DataFrame:
+        """Links that people confirmed, and proposed names that they refused."""
+        key, text = F.col("c_custkey"), F.col("c_custkey").cast("string")
+        return self.customer.where((key % 19 == 0) | (key % 23 == 0)).select(
+            F.lit("portfolio").alias("left_system"), F.concat(F.lit("A"), text).alias("left_id"),
+            F.when(key % 19 == 0, "crm").otherwise("ledger").alias("right_system"),
+            F.concat(F.when(key % 19 == 0, "ACC").otherwise("L"), text).alias("right_id"),
+            (key % 19 == 0).alias("accepted"),
+        )
+
     # -- finance, raw -------------------------------------------------------
 
     def _lines_with_account(self) -> DataFrame:

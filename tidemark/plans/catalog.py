@@ -25,10 +25,11 @@ from tidemark.operators import shape
 from tidemark.operators.dedupe import duplicate_keys, latest_per_key
 from tidemark.operators.joins import asof_latest, present_in, with_boundary
 from tidemark.plans import (
-    bikes, curation, finance, governance, loyalty, model, usage, validation,
+    bikes, curation, entities, finance, governance, loyalty, model, staging, usage,
+    validation,
 )
 from tidemark.plans.adapters import Tables
-from tidemark.session import scratch_path
+from tidemark.session import scratch_path, stored
 from tidemark.sources import files, tables
 from tidemark.streaming import jobs
 
@@ -849,6 +850,106 @@ def _(t: Tables) -> DataFrame:
     return curation.build_crossref(crm, portfolio)
 
 
+def _members(t: Tables) -> DataFrame:
+    return entities.entity_members(t.entity_accounts(), t.entity_known(), t.entity_reviews())
+
+
+@register("t08_entity_members")
+def _(t: Tables) -> DataFrame:
+    """Every account of three systems with its entity's key."""
+    return _members(t)
+
+
+@register("t08_entity_crossref")
+def _(t: Tables) -> DataFrame:
+    return entities.entity_crossref(_members(t))
+
+
+@register("t08_coverage")
+def _(t: Tables) -> DataFrame:
+    return entities.coverage(t.entity_accounts(), entities.entity_crossref(_members(t)))
+
+
+def _products(t: Tables) -> DataFrame:
+    return t.entity_crossref().where("entity_type = 'PRODUCT'").select(
+        "entity_type", "portfolio_id", "curated_key"
+    )
+
+
+def _batch_time(batch: int) -> Column:
+    return F.lit(f"2024-01-0{batch + 1} 06:00:00")
+
+
+@register("t02_staged_revenue")
+def _(t: Tables) -> DataFrame:
+    """Three batches of fees; half of the clients are mapped from the first, the rest from the second."""
+    clients = entities.entity_crossref(_members(t)).select("entity_type", "portfolio_id", "curated_key")
+    known = stored(clients.unionByName(_products(t)), "crossref")
+    fees = stored(t.portfolio_transactions().where(F.col("transaction_type") == "FEE"), "fees")
+    schedules, nav, days = (
+        stored(df, "lookup") for df in (t.portfolio_fee_schedules(), t.portfolio_nav(), t.dim_date())
+    )
+    part = F.substring_index("transaction_id", "-", -1).cast("int") % 3
+    folder = scratch_path(t.spark, "revenue")
+    early = known.where("entity_type = 'PRODUCT' or curated_key % 2 = 0")
+    for batch in range(3):
+        load = staging.StagedFact(
+            folder,
+            lambda rows, crossref=known if batch else early: staging.keyed_fees(
+                rows, schedules, nav, crossref, days, t.dim_gl_account()
+            ),
+            staging.revenue_rows,
+        )
+        load.run(fees.where(part == batch), batch, batch - 1 if batch else None, _batch_time(batch))
+    keys = ["date_key", "client_key", "product_key", "gl_account_key"]
+    fact = staging.newest_revenue(load.fact(fees)).select(
+        "transaction_id", *keys, "aum_amount", "revenue_amount", "fee_basis_points",
+        F.col("batch").alias("loaded_in"), "created_at", F.lit(None).cast("int").alias("staged_in"),
+        F.lit(None).cast("string").alias("reason"),
+    )
+    waiting = load.staged(fees, 2).select("transaction_id", "staged_in", "reason")
+    return fact.unionByName(waiting, allowMissingColumns=True)
+
+
+@register("t04_staged_budgets")
+def _(t: Tables) -> DataFrame:
+    """Two batches of budget lines; most products are mapped from the second only."""
+    budgets, products = t.ledger_budgets(), _products(t).where("curated_key < 24")
+    accounts = curation.curate_gl_accounts(t.ledger_accounts())
+    centers = curation.curate_cost_centers(t.ledger_departments())
+    folder = scratch_path(t.spark, "budgets")
+    for batch, version in enumerate(("Original", "Revised")):
+        crossref = products if batch else products.where("curated_key < 12")
+        load = staging.StagedFact(
+            folder,
+            lambda rows, crossref=crossref: staging.keyed_budgets(rows, accounts, centers, crossref, t.dim_date()),
+            staging.budget_rows,
+        )
+        load.run(budgets.where(F.col("budget_version") == version), batch, batch - 1 if batch else None,
+                 _batch_time(batch))
+    fact = load.fact(budgets).withColumnRenamed("batch", "loaded_in").withColumns(
+        {"staged_in": F.lit(None).cast("int"), "reason": F.lit(None).cast("string")}
+    )
+    waiting = load.staged(budgets, 1).select(
+        F.col("account").alias("gl_account_key"), F.col("amount").cast("decimal(18,2)").alias("budget_amount"),
+        "budget_version", "staged_in", "reason",
+    )
+    return fact.unionByName(waiting, allowMissingColumns=True)
+
+
+@register("t04_product_details")
+def _(t: Tables) -> DataFrame:
+    key = F.col("n_nationkey")
+    strategies = t.nation.where(key % 7 != 3).join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).select(
+        F.concat(F.lit("S"), key.cast("string")).alias("strategy_id"),
+        F.concat(F.lit("  Fund "), "n_name").alias("strategy_name"), F.col("r_name").alias("asset_class"),
+        F.when(key % 3 == 1, F.make_date(F.lit(1994) + key, F.lit(6), F.lit(30))).alias("closed_on"),
+    )
+    return staging.product_details(
+        t.portfolio_fee_schedules(), strategies, _products(t).where("curated_key <> 5"), _ship_day(t), _batch_time(0)
+    )
+
+
 def _loyalty_raw(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
     def landed(df: DataFrame, *fields: Column) -> DataFrame:
         value = F.parse_json(F.to_json(F.struct(*fields)))

@@ -810,7 +810,148 @@ _CHECKS["q27_expense_lines"] = """
       SELECT 'expense: repeated line' AS check_name, sum(twice)::BIGINT AS fail_count FROM d
       UNION ALL SELECT 'expense: too many lines', count(*) FILTER (n > highest) FROM d"""
 
+#: Accounts of three systems up to their entities; see ``plans/entities.py``.
+_ENTITIES = """
+      WITH RECURSIVE k AS (
+        SELECT c_custkey AS k, CAST(c_custkey AS VARCHAR) AS t, 'B' || c_custkey AS b,
+          'firm ' || left(md5(CAST(c_custkey AS VARCHAR)), 10) AS nm,
+          'city ' || c_nationkey AS city FROM customer),
+      acc AS MATERIALIZED (
+        SELECT system || ':' || account AS id, * FROM (
+          SELECT 'crm' AS system, 'ACC' || t AS account, CASE WHEN k % 7 <> 0 THEN b END AS biz,
+            nm AS name, city FROM k WHERE k % 11 <> 0
+          UNION ALL SELECT 'portfolio', 'A' || t, CASE WHEN k % 3 <> 0 THEN b END,
+            CASE k % 5 WHEN 0 THEN nm WHEN 1 THEN left(nm, 14) ELSE 'unit ' || t END, city
+            FROM k WHERE k % 13 <> 0
+          UNION ALL SELECT 'ledger', 'L' || t,
+            CASE WHEN k % 40 = 1 THEN 'NONE' WHEN k % 2 = 0 THEN b END,
+            CASE WHEN k % 5 = 2 THEN nm || 'x' ELSE nm END, city FROM k WHERE k % 4 <> 0
+          UNION ALL SELECT 'ledger', 'LX' || t, b, 'old ' || nm, city FROM k WHERE k % 17 = 0)),
+      hub AS (SELECT biz, min(id) AS dst FROM acc WHERE biz IS NOT NULL
+        GROUP BY biz HAVING count(DISTINCT system) > 1),
+      by_id AS MATERIALIZED (SELECT id AS src, dst FROM acc JOIN hub USING (biz)),
+      judged AS (
+        SELECT 'portfolio:A' || t AS src,
+          CASE WHEN k % 19 = 0 THEN 'crm:ACC' ELSE 'ledger:L' END || t AS dst, k % 19 = 0 AS accepted
+        FROM k WHERE k % 19 = 0 OR k % 23 = 0),
+      reviewed AS MATERIALIZED (
+        SELECT * FROM (SELECT * FROM judged UNION ALL SELECT dst, src, accepted FROM judged)
+        WHERE src IN (SELECT id FROM acc) AND dst IN (SELECT id FROM acc)),
+      by_name AS MATERIALIZED (
+        SELECT src, dst, similarity FROM (
+          SELECT a.id AS src, o.id AS dst, round(1 - levenshtein(a.name, o.name)
+            / greatest(length(a.name), length(o.name))::DOUBLE, 4) AS similarity
+          FROM acc a JOIN acc o ON a.city = o.city AND a.system <> o.system
+            AND a.id NOT IN (SELECT src FROM by_id) AND levenshtein(a.name, o.name) <= 1
+          QUALIFY row_number() OVER (PARTITION BY a.id
+            ORDER BY levenshtein(a.name, o.name), o.id) = 1)
+        WHERE (src, dst) NOT IN (SELECT src, dst FROM reviewed)),
+      links AS MATERIALIZED (
+        SELECT src, dst, 1 AS rank FROM reviewed WHERE accepted
+        UNION SELECT src, dst, 2 FROM by_id UNION SELECT src, dst, 3 FROM by_name),
+      both_ways AS MATERIALIZED (
+        SELECT src, dst, rank FROM links UNION SELECT dst, src, rank FROM links),
+      reach(a, b) AS (
+        SELECT id, id FROM acc UNION SELECT r.a, e.dst FROM reach r JOIN both_ways e ON r.b = e.src),
+      comp AS MATERIALIZED (SELECT a AS id, min(b) AS component FROM reach GROUP BY a),
+      ranked AS (SELECT src AS id, min(rank) AS rank, max(rank) AS weakest FROM both_ways GROUP BY 1),
+      m AS MATERIALIZED (
+        SELECT acc.id, system, account, component, coalesce(rank, 4) AS rank, weakest, n.similarity
+        FROM acc JOIN comp USING (id) LEFT JOIN ranked USING (id) LEFT JOIN by_name n ON n.src = acc.id),
+      e AS (
+        SELECT component, max(n) > 1 AS conflict,
+          coalesce(min(rank) = 1 AND max(weakest) < 3, FALSE) AS verified
+        FROM (SELECT component, system, count(*) AS n, min(rank) AS rank, max(weakest) AS weakest
+              FROM m GROUP BY ALL) GROUP BY component),
+      known AS (SELECT 'crm:ACC' || t AS id, k AS curated_key FROM k WHERE k % 3 = 0 AND k % 11 <> 0),
+      had AS (SELECT component, min(curated_key) AS curated_key FROM m JOIN known USING (id) GROUP BY component),
+      fresh AS (
+        SELECT component, (SELECT max(curated_key) FROM known) + row_number() OVER (ORDER BY component) AS curated_key
+        FROM (SELECT DISTINCT component FROM m WHERE component NOT IN (SELECT component FROM had))),
+      keys AS (SELECT * FROM had UNION ALL SELECT * FROM fresh),
+      members AS MATERIALIZED (
+        SELECT system, account, curated_key, rank, similarity, verified, conflict,
+          ['MANUAL', 'ID_MATCH', 'NAME_MATCH', 'UNMATCHED'][rank] AS match_method
+        FROM m JOIN e USING (component) JOIN keys USING (component)),
+      wide AS (
+        SELECT 'CLIENT' AS entity_type, max(account) FILTER (system = 'portfolio') AS portfolio_id,
+          max(account) FILTER (system = 'ledger') AS ledger_id, max(account) FILTER (system = 'crm') AS crm_id,
+          curated_key, ['MANUAL', 'ID_MATCH', 'NAME_MATCH', 'UNMATCHED'][min(rank)] AS match_method,
+          any_value(verified) AS verified, any_value(conflict) AS conflict
+        FROM (SELECT *, row_number() OVER (PARTITION BY curated_key, system ORDER BY account) AS nth FROM members)
+        GROUP BY curated_key, nth)"""
+
 _CURATION = {
+    "t02_staged_revenue": f"""{_ENTITIES},
+      x AS (SELECT portfolio_id, min(curated_key) AS client_key FROM wide
+        WHERE portfolio_id IS NOT NULL GROUP BY 1),
+      f AS (
+        SELECT gt.*, CAST(string_split(transaction_id, '-')[2] AS INT) % 3 AS b, client_key,
+          CAST(substr(strategy_id, 2) AS BIGINT) AS product_key, date_key, market_value,
+          CASE fee_type WHEN 'Management' THEN 4010 WHEN 'Performance' THEN 4020
+            WHEN 'Advisory' THEN 4030 WHEN 'Transaction' THEN 4040 END AS gl_account_key,
+          CASE WHEN fee_type IS NULL THEN 'no rate in force' WHEN client_key IS NULL THEN 'unknown client' END AS reason
+        FROM rated_fees gt LEFT JOIN x ON x.portfolio_id = gt.account_id
+        LEFT JOIN dim_date d ON d.calendar_date = gt.transaction_date
+        LEFT JOIN nav ON nav.account_id = gt.account_id AND nav.valuation_date = gt.transaction_date),
+      l AS (SELECT *, CAST(CASE WHEN b > 0 OR client_key % 2 = 0 THEN b ELSE 1 END AS INT) AS loaded_in FROM f)
+      SELECT transaction_id, CAST(date_key AS INT) AS date_key, client_key, product_key,
+        CAST(gl_account_key AS BIGINT) AS gl_account_key, CAST(market_value AS DECIMAL(18,2))::DOUBLE AS aum_amount,
+        CAST(fee_amount AS DECIMAL(18,2))::DOUBLE AS revenue_amount, fee_rate_bps::DOUBLE AS fee_basis_points,
+        loaded_in, TIMESTAMP '2024-01-01 06:00:00' + to_days(loaded_in) AS created_at,
+        CAST(NULL AS INT) AS staged_in, NULL AS reason
+      FROM l WHERE reason IS NULL
+      QUALIFY row_number() OVER (PARTITION BY transaction_id ORDER BY loaded_at DESC,
+        CAST(fee_amount AS DECIMAL(18,2)) DESC, date_key DESC, product_key DESC, fee_rate_bps DESC,
+        gl_account_key DESC, market_value DESC NULLS LAST, client_key DESC) = 1
+      UNION ALL
+      SELECT transaction_id, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, CAST(b AS INT), reason
+      FROM l WHERE reason IS NOT NULL""",
+    "t04_staged_budgets": """
+      WITH b AS (
+        SELECT o_custkey % 25 AS account, CASE WHEN o_orderpriority <> '4-NOT SPECIFIED' THEN o_custkey % 25 END AS center,
+          CASE WHEN o_orderstatus <> 'P' THEN o_custkey % 25 END AS product,
+          CAST(date_trunc('month', o_orderdate) AS DATE) AS day, CAST(o_totalprice AS DECIMAL(18,2))::DOUBLE AS amount,
+          CASE WHEN o_orderstatus = 'F' THEN 0 ELSE 1 END AS batch FROM orders),
+      l AS (
+        SELECT b.*, date_key, acctnumber, year(day) AS y, CASE batch WHEN 0 THEN 'Original' ELSE 'Revised' END AS version,
+          CASE WHEN acctnumber IS NULL THEN 'closed account' WHEN date_key IS NULL THEN 'unknown date'
+            WHEN product = 24 THEN 'unknown product' END AS reason
+        FROM b LEFT JOIN ledger_accounts a ON a.id = account AND a.is_active
+        LEFT JOIN dim_date d ON d.calendar_date = day)
+      SELECT CAST(date_key AS INT) AS date_key, center AS cost_center_key, account AS gl_account_key,
+        product AS product_key, CASE WHEN acctnumber < '5000' THEN 'Revenue' WHEN acctnumber < '8000' THEN 'Expense' END AS budget_type,
+        amount AS budget_amount, version AS budget_version, CAST(y AS INT) AS fiscal_year,
+        CAST(loaded AS INT) AS loaded_in, TIMESTAMP '2024-01-01 06:00:00' + to_days(CAST(loaded AS INT)) AS created_at,
+        CAST(NULL AS INT) AS staged_in, NULL AS reason
+      FROM (SELECT *, CASE WHEN batch = 0 AND coalesce(product, 0) < 12 THEN 0 ELSE 1 END AS loaded FROM l)
+      WHERE reason IS NULL
+      UNION ALL
+      SELECT NULL, NULL, account, NULL, NULL, amount, version, NULL, NULL, NULL, CAST(batch AS INT), reason
+      FROM l WHERE reason IS NOT NULL""",
+    "t04_product_details": """
+      WITH newest AS (
+        SELECT strategy_id, fee_type, CAST(substr(strategy_id, 2) AS BIGINT) AS k FROM fee_schedules
+        QUALIFY row_number() OVER (PARTITION BY strategy_id
+          ORDER BY effective_date DESC, fee_type DESC, account_id DESC) = 1)
+      SELECT CASE WHEN k <> 5 THEN k END AS product_key, strategy_id AS product_id,
+        CASE WHEN k % 7 <> 3 THEN 'Fund ' || n_name ELSE strategy_id END AS product_name,
+        fee_type || ' Fee' AS product_category, fee_type,
+        CASE WHEN k % 7 <> 3 THEN r_name END AS asset_class,
+        CASE WHEN k % 7 <> 3 AND k % 3 = 1 THEN make_date(1994 + k, 6, 30)
+          > (SELECT CAST(max(l_shipdate) AS DATE) FROM lineitem) ELSE TRUE END AS is_active,
+        TIMESTAMP '2024-01-01 06:00:00' AS created_at
+      FROM newest JOIN nation ON n_nationkey = k JOIN region ON n_regionkey = r_regionkey""",
+    "t08_entity_members": f"{_ENTITIES} SELECT * EXCLUDE (rank) FROM members",
+    "t08_entity_crossref": f"{_ENTITIES} SELECT * FROM wide",
+    "t08_coverage": f"""{_ENTITIES},
+      listed AS (
+        SELECT s.system, count(*) AS n_mapped, count(*) FILTER (match_method <> 'UNMATCHED') AS n_shared
+        FROM wide JOIN (VALUES ('portfolio'), ('ledger'), ('crm')) s(system) ON
+          CASE s.system WHEN 'portfolio' THEN portfolio_id WHEN 'ledger' THEN ledger_id ELSE crm_id END IS NOT NULL
+        GROUP BY s.system)
+      SELECT system, n_accounts, coalesce(n_mapped, 0) AS n_mapped, coalesce(n_shared, 0) AS n_shared
+      FROM (SELECT system, count(*) AS n_accounts FROM acc GROUP BY system) LEFT JOIN listed USING (system)""",
     "t01_dim_client": "SELECT * FROM crm_clients",
     "t02_fact_revenue": """
       SELECT d.date_key, xc.curated_key AS client_key, xp.curated_key AS product_key,

@@ -16,12 +16,14 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tidemark.operators.dedupe import latest_per_key
+from tidemark.session import stored
 
 BUCKET = "key_bucket"
 CURRENT = "_CURRENT"
@@ -207,7 +209,9 @@ def upsert(
             src.withColumn("_new", F.lit(1))
         )
         order = [F.desc_nulls_last(newest_by), F.desc("_new")]
-        return latest_per_key(both, list(keys), order).drop("_new")
+        whole = reduce(Column.__and__, [F.col(k).isNotNull() for k in keys])
+        newest = latest_per_key(both.where(whole), list(keys), order)
+        return newest.unionByName(both.where(~whole)).drop("_new")
 
     _swap_partitions(spark, merged, src.schema, path, partition_by, change, held)
 
@@ -385,25 +389,35 @@ def store_high_water(df: DataFrame, column: str, path: str) -> None:
 def archive_log(df: DataFrame, ts: str, path: str, older_than: Column) -> None:
     """Export the days of a log before a date, one partition per day.
 
-    The log itself is trimmed later on, so a day is written only if the archive
-    has fewer rows of it.  Running it again changes nothing.
+    The log is trimmed later on and may get late rows, so a day of the archive becomes
+    the bag union of what it holds and what the log has: a row stands in it as often as
+    in the one that has more of it.  Nothing that was archived goes, and running it again
+    changes nothing.  Days without a new row are not written.  Rows are equal if all
+    columns are; columns of a map type cannot be compared.
     """
     spark = df.sparkSession
     dated = df.where(F.col(ts) < older_than.cast("timestamp_ntz")).withColumn(
         "log_date", F.to_date(ts)
     )
-    days = dated.groupBy("log_date").agg(F.count(F.lit(1)).alias("n"))
-    kept = read_table(spark, path, dated.schema).groupBy("log_date").agg(
-        F.count(F.lit(1)).alias("kept")
+    archived = in_touched_partitions(
+        read_table(spark, path, dated.schema), dated.select("log_date"), "log_date"
+    ).select(*dated.columns)
+    one, none = F.lit(1), F.lit(0)
+    counted = (
+        dated.withColumns({"_log": one, "_kept": none})
+        .unionByName(archived.withColumns({"_log": none, "_kept": one}))
+        .groupBy(*dated.columns).agg(F.sum("_log").alias("_log"), F.sum("_kept").alias("_kept"))
     )
-    new = days.join(kept, "log_date", "left").where("n > coalesce(kept, 0)").select("log_date")
+    counted = stored(counted, "archive")  # the archive is read before it is written
     # fixed before the archive changes; a row per day
-    found = [r[0] for r in new.collect()]
+    found = [r[0] for r in counted.where("_log > _kept").select("log_date").distinct().collect()]
     if not found:
         return
-    dated.where(F.col("log_date").isin(found)).hint("rebalance", "log_date").write.mode(
-        "overwrite"
-    ).option("partitionOverwriteMode", "dynamic").partitionBy("log_date").parquet(path)
+    copies = F.sequence(F.lit(1), F.greatest("_log", "_kept").cast("int"))
+    rows = counted.where(F.col("log_date").isin(found)).withColumn("_copy", F.explode(copies))
+    rows.select(*dated.columns).hint("rebalance", "log_date").write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic"
+    ).partitionBy("log_date").parquet(path)
 
 
 def erase_subjects(
