@@ -25,7 +25,7 @@ from tidemark.operators import shape
 from tidemark.operators.dedupe import duplicate_keys, latest_per_key
 from tidemark.operators.joins import asof_latest, present_in, with_boundary
 from tidemark.plans import (
-    bikes, curation, entities, finance, governance, loyalty, model, staging, usage,
+    bikes, curation, entities, finance, governance, loyalty, loyalty_load, model, staging, usage,
     validation,
 )
 from tidemark.plans.adapters import Tables
@@ -997,6 +997,96 @@ def _(t: Tables) -> DataFrame:
     )
 
 
+def _raw_users(t: Tables) -> list[DataFrame]:
+    """Two landings of user payloads: most users, then changed and new ones."""
+    key, text = F.col("c_custkey"), F.col("c_custkey").cast("string")
+
+    def landed(rows: DataFrame, status: str) -> DataFrame:
+        payload = rows.select(F.parse_json(F.to_json(F.struct(
+            F.when(key % 97 != 0, F.concat(F.lit("U"), text)).alias("user_id"),
+            F.substring_index("c_name", "#", 1).alias("first_name"),
+            F.substring_index("c_name", "#", -1).alias("last_name"),
+            F.concat(F.lit("user"), text, F.lit("@mail.test")).alias("email"),
+            F.concat(F.lit("+52 999 "), text).alias("phone"),
+            F.date_add(F.lit("2024-01-01").cast("date"), F.col("c_nationkey") % 5).alias("registration_date"),
+            F.lit(status).alias("status"), F.concat(F.lit("Zone "), F.col("c_nationkey").cast("string"))
+            .alias("preferred_zone"),
+        ))).alias("raw_data"))
+        return loyalty_load.staged_view(payload, loyalty_load.USER_FIELDS)
+
+    return [landed(t.customer.where(key % 3 != 0), "active"), landed(t.customer.where(key % 2 == 0), "inactive")]
+
+
+def _raw_businesses(t: Tables) -> list[DataFrame]:
+    shops = t.dim_businesses()
+    k, text = F.col("business_key"), F.col("business_key").cast("string")
+
+    def landed(rows: DataFrame, extra: int) -> DataFrame:
+        kind = F.col("loyalty_type")
+        payload = rows.select(F.parse_json(F.to_json(F.struct(
+            text.alias("business_id"), "business_name", "category",
+            F.concat(F.col("category"), F.lit(" "), (k % 3).cast("string")).alias("subcategory"), "loyalty_type",
+            F.when(kind == "Cashback", k % 10 + F.lit(0.5)).alias("cashback_pct"),
+            F.when(kind == "Punch Card", k % 6 + F.lit(5 + extra)).alias("punch_goal"),
+            "lat", F.col("lng").alias("long"), "google_rating",
+            F.concat(F.lit("P"), F.left(F.md5(text.cast("binary")), F.lit(8))).alias("google_place_id"),
+            F.concat(F.lit("Calle "), text).alias("address"), "neighborhood",
+        ))).alias("raw_data"))
+        return loyalty_load.staged_view(payload, loyalty_load.BUSINESS_FIELDS)
+
+    return [landed(shops.where(k % 2 == 0), 0), landed(shops.where(k >= 50), 10)]
+
+
+def _dimension(t: Tables, landings: list[DataFrame], key_id: str, key: str) -> DataFrame:
+    dimension = loyalty_load.Dimension(scratch_path(t.spark, key), key_id, key)
+    for batch, staged in enumerate(landings):
+        dimension.load(staged, batch)
+    return dimension.read(landings[0])
+
+
+@register("t09_dim_users")
+def _(t: Tables) -> DataFrame:
+    return _dimension(t, _raw_users(t), "user_id", "user_key")
+
+
+@register("t09_dim_businesses")
+def _(t: Tables) -> DataFrame:
+    return _dimension(t, _raw_businesses(t), "business_id", "business_key")
+
+
+def _loyalty_star(t: Tables) -> tuple[dict, staging.StagedFact]:
+    """The three loads; visits of users and businesses that are not loaded stay staged."""
+    raw_users, raw_shops = _raw_users(t), _raw_businesses(t)
+    users = _dimension(t, raw_users, "user_id", "user_key")
+    shops = _dimension(t, raw_shops, "business_id", "business_key")
+    visits = stored(loyalty.flatten_visits(_loyalty_raw(t)[2]), "visits")
+    load = staging.StagedFact(
+        scratch_path(t.spark, "visits"),
+        lambda rows: loyalty_load.keyed_visits(rows, users, shops, t.dim_loyalty_type()), loyalty_load.visit_rows,
+    )
+    load.run(visits, 0, None, _batch_time(0))
+    loads = {
+        "users": (raw_users[0].unionByName(raw_users[1]).dropDuplicates(["user_id"]), users, "user_id"),
+        "businesses": (raw_shops[0].unionByName(raw_shops[1]).dropDuplicates(["business_id"]), shops, "business_id"),
+        "visits": (visits, load.fact(visits), "visit_id"),
+    }
+    return loads, load
+
+
+@register("t09_loaded_visits")
+def _(t: Tables) -> DataFrame:
+    loads, load = _loyalty_star(t)
+    fact = loads["visits"][1].drop("batch", "visit_key", "created_at").withColumn("reason", F.lit(None).cast("string"))
+    waiting = load.staged(fact, 0).select("visit_id", "visit_type", "reason")
+    return fact.unionByName(waiting, allowMissingColumns=True)
+
+
+@register("v08_load_checks")
+def _(t: Tables) -> DataFrame:
+    """Raw payloads against what was loaded from them; these can fail, and some do."""
+    return loyalty_load.load_checks(_loyalty_star(t)[0])
+
+
 # -- loyalty ------------------------------------------------------------------
 
 

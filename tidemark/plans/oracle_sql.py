@@ -881,7 +881,64 @@ _ENTITIES = """
         FROM (SELECT *, row_number() OVER (PARTITION BY curated_key, system ORDER BY account) AS nth FROM members)
         GROUP BY curated_key, nth)"""
 
+#: Two landings of users and businesses, and the keys they get; see ``plans/loyalty_load.py``.
+_LOADS = """
+      WITH u AS (
+        SELECT c_custkey AS c, 'U' || c_custkey AS user_id, split_part(c_name, '#', 1) AS first_name,
+          split_part(c_name, '#', -1) AS last_name, 'user' || c_custkey || '@mail.test' AS email,
+          '+52 999 ' || c_custkey AS phone, DATE '2024-01-01' + CAST(c_nationkey % 5 AS INT) AS registration_date,
+          CASE WHEN c_custkey % 2 = 0 THEN 'inactive' ELSE 'active' END AS status,
+          'Zone ' || c_nationkey AS preferred_zone
+        FROM customer WHERE c_custkey % 97 <> 0 AND (c_custkey % 3 <> 0 OR c_custkey % 2 = 0)),
+      loaded_users AS (
+        SELECT row_number() OVER (ORDER BY c % 3 = 0, user_id) AS user_key, * EXCLUDE (c) FROM u),
+      b AS (
+        SELECT CAST(business_key AS INT) AS k, CAST(business_key AS VARCHAR) AS business_id, * FROM dim_businesses
+        WHERE business_key % 2 = 0 OR business_key >= 50),
+      loaded_shops AS (
+        SELECT row_number() OVER (ORDER BY k % 2 <> 0, business_id) AS business_key, business_id, business_name,
+          category, category || ' ' || k % 3 AS subcategory, loyalty_type,
+          CASE WHEN loyalty_type = 'Cashback' THEN (k % 10 + 0.5)::DOUBLE END AS cashback_pct,
+          CAST(CASE WHEN loyalty_type = 'Punch Card' THEN k % 6 + CASE WHEN k >= 50 THEN 15 ELSE 5 END END AS INT) AS punch_goal,
+          lat, lng AS long, google_rating::DOUBLE AS google_rating, 'P' || left(md5(business_id), 8) AS google_place_id,
+          'Calle ' || business_id AS address, neighborhood
+        FROM b)"""
+
+_LOADED_VISITS = f"""{_LOADS}
+      SELECT visit_id, date_key, user_key, business_key, loyalty_type_key, visit_type, visit_timestamp, points_earned,
+        cashback_amount, punch_count, reason
+      FROM (
+        SELECT CAST(event_id AS VARCHAR) AS visit_id, CASE WHEN reason IS NULL THEN CAST(strftime(ts, '%Y%m%d') AS INT) END AS date_key,
+          CASE WHEN reason IS NULL THEN user_key END AS user_key, CASE WHEN reason IS NULL THEN business_key END AS business_key,
+          CASE WHEN reason IS NULL THEN CAST(k % 4 AS INT) END AS loyalty_type_key, event_type AS visit_type,
+          CASE WHEN reason IS NULL THEN date_trunc('second', ts) END AS visit_timestamp,
+          CASE WHEN reason IS NULL THEN CAST(floor(value) AS BIGINT) END AS points_earned,
+          CASE WHEN reason IS NULL THEN CAST(value AS DECIMAL(12,2))::DOUBLE END AS cashback_amount,
+          CASE WHEN reason IS NULL AND k <> 7 THEN 1 END AS punch_count, reason
+        FROM (
+          SELECT ev.*, uu.user_key, s.business_key, CASE WHEN uu.user_key IS NULL THEN 'unknown user'
+            WHEN s.business_key IS NULL THEN 'unknown business' END AS reason
+          FROM ev LEFT JOIN loaded_users uu ON uu.user_id = 'U' || ev.user_id
+          LEFT JOIN loaded_shops s ON s.business_id = CAST(ev.k AS VARCHAR)))"""
+
 _CURATION = {
+    "t09_dim_users": f"{_LOADS} SELECT * FROM loaded_users",
+    "t09_dim_businesses": f"{_LOADS} SELECT * FROM loaded_shops",
+    "t09_loaded_visits": _LOADED_VISITS,
+    "v08_load_checks": f"""
+      WITH v AS ({_LOADED_VISITS}),
+      c AS (SELECT
+        (SELECT count(*) FROM customer WHERE c_custkey % 97 <> 0 AND (c_custkey % 3 <> 0 OR c_custkey % 2 = 0)) AS users,
+        (SELECT count(*) FROM customer WHERE c_custkey % 97 = 0 AND (c_custkey % 3 <> 0 OR c_custkey % 2 = 0)) AS nameless,
+        (SELECT count(DISTINCT k) FROM ev WHERE k % 2 = 0 OR k >= 50) AS shops,
+        (SELECT count(*) FROM ev) AS visits, (SELECT count(*) FROM v WHERE reason IS NULL) AS loaded),
+      r AS (
+        SELECT 'users' AS name, users + least(nameless, 1) AS raw_rows, users AS loaded_rows, least(nameless, 1) AS no_id, 0 AS lost FROM c
+        UNION ALL SELECT 'businesses', shops, shops, 0, 0 FROM c
+        UNION ALL SELECT 'visits', visits, loaded, 0, visits - loaded FROM c)
+      SELECT name || ': ' || x.kind AS check_name, raw_rows, loaded_rows,
+        CASE x.kind WHEN 'without an id' THEN no_id WHEN 'not loaded' THEN lost ELSE 0 END AS fail_count
+      FROM r, (VALUES ('without an id'), ('not loaded'), ('not in raw'), ('loaded twice')) x(kind)""",
     "t02_staged_revenue": f"""{_ENTITIES},
       x AS (SELECT portfolio_id, min(curated_key) AS client_key FROM wide
         WHERE portfolio_id IS NOT NULL GROUP BY 1),
