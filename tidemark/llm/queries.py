@@ -206,10 +206,15 @@ def _values(rows: list[tuple[str, str]]) -> str:
     return ", ".join(f"('{a}', string_split('{b}', ' '))" for a, b in rows)
 
 
+_TEMPLATES = ", ".join(
+    f"({i}, '{t.label}', string_split('{t.text}', ' '), {list(t.required)}, {list(t.excluded)})"
+    for i, t in enumerate(license_scan.TEMPLATES)
+).replace("[]", "CAST([] AS VARCHAR[])")
+_SIZE = f"greatest({license_scan.SPREAD} * len(t), {license_scan.LEAST_BLOCK})"
 _OP8 = f"""
 WITH phrases(label, p) AS (VALUES {_values([(v, k) for k, v in license_scan.PHRASES.items()])}),
-templates(label, t) AS (VALUES {_values(list(license_scan.TEMPLATES.items()))}),
-d AS (SELECT doc_id, text, {_WORDS.format("text")} AS w FROM documents),
+templates(number, label, t, required, excluded) AS (VALUES {_TEMPLATES}),
+d AS MATERIALIZED (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents),
 places AS (
     SELECT doc_id, label, i - 1 AS place
     FROM (SELECT doc_id, w, label, p, unnest(range(1, len(w) - len(p) + 2)) AS i
@@ -218,14 +223,23 @@ places AS (
 base AS (
     SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word,
            string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM places GROUP BY doc_id),
+likely AS MATERIALIZED (
+    SELECT doc_id, w, label, list_distinct(t) AS t, required, excluded, {_SIZE} AS size,
+           ceil({license_scan.THRESHOLD} * len(list_distinct(t)) - 1e-9) AS least
+    FROM (SELECT doc_id, w, list_distinct(w) AS s FROM d) JOIN templates
+      ON len(list_intersect(s, list_distinct(t))) >= ceil({license_scan.THRESHOLD} * len(list_distinct(t)) - 1e-9)
+     AND list_has_all(s, required)),
+starts AS (
+    SELECT doc_id, label, t, required, excluded, least, w[i:i + size - 1] AS b
+    FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM likely) WHERE list_contains(t, w[i])),
 blocks AS (
-    SELECT doc_id, list_distinct({_WORDS.format("line")}) AS s
-    FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM d)),
+    SELECT doc_id, label, t, required, least,
+           b[1:list_min(list_append(list_transform(excluded,
+               lambda x: coalesce(nullif(list_position(b, x), 0), len(b) + 1)), len(b) + 1)) - 1] AS b
+    FROM starts),
 matched AS (
-    SELECT doc_id, label, max(len(list_intersect(s, list_distinct(t))) / len(list_distinct(t))) AS share
-    FROM blocks JOIN templates
-      ON len(list_intersect(s, list_distinct(t))) >= ceil({license_scan.THRESHOLD} * len(list_distinct(t)) - 1e-9)
-    GROUP BY doc_id, label),
+    SELECT doc_id, label, max(len(list_intersect(b, t)) / len(t)) AS share
+    FROM blocks WHERE list_has_all(b, required) AND len(list_intersect(b, t)) >= least GROUP BY doc_id, label),
 named AS (
     SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS share
     FROM (SELECT doc_id, label, share FROM matched UNION ALL SELECT doc_id, label, 1.0 FROM places)
