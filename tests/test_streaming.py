@@ -163,6 +163,28 @@ def test_dedup_stream_keeps_each_key_once_however_late(spark, tmp_path):
     assert rows(spark.read.parquet(sink), "k") == [(k,) for k in range(10)]
 
 
+def test_dedup_stream_restarts_and_reads_no_sink(spark, tmp_path):
+    source, sink, mark = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "mark")
+    schema = "k int, v int"
+
+    def land(*data):
+        spark.createDataFrame(list(data), schema).coalesce(1).write.mode("append").parquet(source)
+
+    def run():
+        stream = jobs.file_stream(spark, source, spark.createDataFrame([], schema).schema, files_per_batch=1)
+        jobs.dedup_stream(stream.withColumn("b", F.lit(0)), sink, ["k"], "b", mark)
+        return rows(spark.read.parquet(sink), "k")
+
+    provider = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    land((1, 1), (1, 2), (None, 3), (2, 4))
+    assert run() == [(1,), (2,), (None,)]
+    land((2, 5), (None, 6), (3, 7))
+    first = sorted(p.name for p in (tmp_path / "out" / "b=0").iterdir())
+    assert run() == run() == [(1,), (2,), (3,), (None,)]
+    assert set(first) <= {p.name for p in (tmp_path / "out" / "b=0").iterdir()}
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == provider
+
+
 def test_login_spike_window_is_sliding(spark):
     at = datetime(2024, 1, 1, 10, 4)
     data = [(at + timedelta(seconds=30 * i), "NO") for i in range(6)] + [(at, "YES")]

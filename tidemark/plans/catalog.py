@@ -1198,11 +1198,18 @@ def _(t: Tables) -> DataFrame:
 
 @register("v08_loyalty_checks")
 def _(t: Tables) -> DataFrame:
-    users, shops, visits = _loyalty_raw(t)
+    k = F.get_json_object("props", "$.k")
+    # the columns the load resolves; what it lands from JSON is the same rows
+    visits = t.events.select(
+        F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("user_id"), k.alias("business_id"),
+        *(F.lit(None).alias(c) for c in ("visit_id", "visit_type", "points_earned", "cashback_amount", "punch_count")),
+        F.col("ts").alias("visit_timestamp"),
+    )
+    shops = t.dim_businesses().withColumn("business_id", F.col("business_key").cast("string"))
     loads = {
-        "users": (users, t.dim_users()),
+        "users": (t.customer, t.dim_users()),
         "businesses": (shops, t.dim_businesses()),
-        "visits": (visits, REGISTRY["t09_fact_visits"](t)),
+        "visits": (t.events, loyalty.load_fact_visits(visits, t.dim_users(), shops, t.dim_loyalty_type())),
     }
     return loyalty.loyalty_checks(
         loads, t.fact_visits(), t.dim_users(), t.dim_businesses(), t.dim_time()

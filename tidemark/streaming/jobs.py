@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +20,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from tidemark.sources.tables import (
-    append_dedup, apply_changes, full_replace, in_touched_partitions, read_table,
+    apply_changes, full_replace, in_touched_partitions, read_table,
     read_text, upsert,
 )
 
@@ -170,6 +171,27 @@ def apply_change_stream(
     )
 
 
+#: Keys live on disk with the executors and only what a batch changed is checkpointed.
+_KEY_STATE = {
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
+
+@contextmanager
+def _settings(spark: SparkSession, wanted: dict[str, str]):
+    """Settings that hold while a query is started; the session gets its own back."""
+    before = {key: spark.conf.get(key, None) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
 def dedup_stream(
     stream: DataFrame,
     sink: str,
@@ -181,20 +203,15 @@ def dedup_stream(
 ) -> StreamingQuery:
     """Keep each key once, however late it comes again.
 
-    Keys are looked up in the stored table, in the partitions of the batch;
-    derive the partition from the key (:func:`key_bucket`).
+    Keys are state, without a watermark, so none is ever forgotten: a batch reads and
+    writes the state of its own keys, never the sink.  The sink's log makes every batch
+    appear once, also after a restart.  Of the rows of a key the first to arrive stays; a
+    null key equals a null key.
     """
-
-    def apply(batch: DataFrame, _batch_id: int) -> None:
-        rows = batch.persist()  # read for its partitions and for its rows
-        try:
-            append_dedup(rows, sink, keys, partition_by)
-        finally:
-            rows.unpersist()
-
-    return _start(
-        stream.writeStream.foreachBatch(apply), checkpoint, available_now, every
-    )
+    once = stream.dropDuplicates(list(keys))
+    writer = once.writeStream.format("parquet").option("path", sink).partitionBy(partition_by)
+    with _settings(stream.sparkSession, _KEY_STATE):
+        return _start(writer, checkpoint, available_now, every)
 
 
 def append_stream(
