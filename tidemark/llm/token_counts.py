@@ -1,10 +1,10 @@
 """Token counts without token ids.
 
-The tokenizer drops white space and no piece crosses it, so a text is a bag of
-pre-tokens between blanks.  Within a task every distinct pre-token is tokenized
-once, by the library's own normalizer, pre-tokenizer and model, and only its
-number of pieces is kept.  Texts become (document, pre-token, frequency) rows,
-which are joined to those numbers and summed.  Nothing is shuffled.
+The tokenizer drops white space and no piece crosses its pre-tokens, so a text is a bag
+of those.  Within a task every distinct pre-token is tokenized once, by the library's own
+normalizer, pre-tokenizer and model, and only its number of pieces is kept.  Texts become
+(document, pre-token, frequency) rows, which are joined to those numbers and summed.
+Nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from __future__ import annotations
 import json
 import re
 from array import array
-from itertools import chain
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -21,24 +21,42 @@ from tokenizers import Tokenizer
 
 from tidemark.llm.common import map_texts, ranges
 
-#: Distinct pre-tokens, and words in them, that a task remembers.
-CACHE = 150_000
+#: Distinct pre-tokens that a task remembers, and bytes of text split at once.
+CACHE, SLICE_BYTES = 300_000, 1 << 20
 
 #: Fixed values of the public word-level tokenizer: its split rule ...
 WORD_RULE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 WORD_NORMALIZERS = ["NFC", "Replace", "Lowercase"]
-#: ... and what it comes to for printable ASCII and composed Latin-1 letters.  Any
-#: other pre-token goes through the library's normalizer and pre-tokenizer.
-_PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+#: ... and what it comes to for printable ASCII, composed Latin-1 letters and ASCII blanks.
+#: Any other piece between blanks goes through the library's normalizer and pre-tokenizer.
+_ODD = re.compile("[^\t-\r -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]")
 _WORDS = re.compile(
     "'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[!-/:-`{-~]+"
 )
+_BLANK = re.compile(rb"[\t-\r ]")
+#: Marks the names of pre-tokens that the library split off, and of pieces with special tokens.
+_LIBRARY, _SPECIAL = "\n", "\n\n"
+
+
+_BLANKS = {c: " " for c in (9, 10, 11, 12, 13)}
+
 
 def _rules(part) -> dict:
     """What a normalizer or pre-tokenizer does; nothing for none."""
     return json.loads(part.__getstate__()) if part is not None else {}
 
 
+class _Numbers(dict):
+    """A number for each name; ``add`` gives that of a new one."""
+
+    def __init__(self, add) -> None:
+        self.add = add
+
+    def __missing__(self, name: str) -> int:
+        self[name] = number = self.add(name)
+        return number
+
+
 class Pretokens:
     """Numbers for pre-tokens, and how many pieces (or which) each has."""
 
@@ -62,68 +80,92 @@ class Pretokens:
         self.byte_level = {b: b for b in shown} | {b: 256 + i for i, b in enumerate(hidden)}
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.with_ids, self.model = with_ids, self.tokenizer.model
-        self.words: dict[str, bytes | int] = {}  # packed ids, or their number
         self._clear()
 
     def _clear(self) -> None:
-        self.known: dict[bytes, int] = {}
+        self.known = _Numbers(self._add)
         self.counts, self.ids = array("q"), array("I")
 
-    def _pieces(self, pretoken: bytes):
-        """Packed ids of a pre-token, or their number."""
-        text, tokenizer = pretoken.decode("utf-8", "replace"), self.tokenizer
-        if any(s in text for s in self.special):
-            ids = tokenizer.encode(text, add_special_tokens=False).ids
-            return array("I", ids).tobytes() if self.with_ids else len(ids)
-        if self.plain_words and _PLAIN.fullmatch(text):
-            found = [
-                self.words.get(w) or self._word(w, w.encode().decode("latin-1").translate(self.byte_level))
-                for w in _WORDS.findall(text.lower())
-            ]
+    def split(self, text: bytes) -> list[str]:
+        """Names of the pre-tokens of a text, in order."""
+        text = text.decode("utf-8", "replace")
+        if any(s in text for s in self.special) or not self.plain_words or _ODD.search(text):
+            return [name for piece in text.split(" ") for name in self._split_piece(piece)]
+        return _WORDS.findall(text.lower())
+
+    def _split_piece(self, piece: str) -> list[str]:
+        """The same for a part of a text between two blanks."""
+        special = any(s in piece for s in self.special)
+        if not special and self.plain_words and not _ODD.search(piece):
+            return _WORDS.findall(piece.lower())
+        if len(parts := piece.translate(_BLANKS).split(" ")) > 1:
+            return [name for part in parts for name in self._split_piece(part)]
+        if special:
+            return [_SPECIAL + piece]
+        tokenizer = self.tokenizer
+        text = tokenizer.normalizer.normalize_str(piece) if tokenizer.normalizer else piece
+        return [_LIBRARY + w for w, _ in tokenizer.pre_tokenizer.pre_tokenize_str(text)] if text else []
+
+    def _pieces(self, name: str) -> list[int]:
+        """Ids of a pre-token."""
+        if not name.startswith(_LIBRARY):
+            word = name if name.isascii() else name.encode().decode("latin-1").translate(self.byte_level)
+        elif name.startswith(_SPECIAL):
+            return self.tokenizer.encode(name[len(_SPECIAL) :], add_special_tokens=False).ids
         else:
-            text = tokenizer.normalizer.normalize_str(text) if tokenizer.normalizer else text
-            found = [
-                self.words.get(f"={w}") or self._word(f"={w}", w)
-                for w, _ in tokenizer.pre_tokenizer.pre_tokenize_str(text)
-            ]
-        return b"".join(found) if self.with_ids else sum(found)
-
-    def _word(self, name: str, word: str):
-        tokens = self.model.tokenize(word)
-        if len(self.words) >= CACHE:
-            self.words.clear()
-        pieces = array("I", [t.id for t in tokens]).tobytes() if self.with_ids else len(tokens)
-        self.words[name] = pieces
-        return pieces
-
-    def numbers(self, pretokens: list[bytes]) -> np.ndarray:
+            word = name[len(_LIBRARY) :]
+        return [t.id for t in self.model.tokenize(word)]
+
+    def _add(self, name: str) -> int:
+        pieces = self._pieces(name)
+        self.counts.append(len(pieces))
+        if self.with_ids:
+            self.ids.extend(pieces)
+        return len(self.counts) - 1
+
+    def numbers(self, names: list[str]) -> np.ndarray:
         """The number of each pre-token; valid until the next call."""
         if len(self.known) > CACHE:
             self._clear()
-        known, counts, ids = self.known, self.counts, self.ids
-        for pretoken in set(pretokens).difference(known):
-            pieces = self._pieces(pretoken)
-            known[pretoken] = len(counts)
-            if self.with_ids:
-                ids.frombytes(pieces)
-                pieces = len(pieces) // ids.itemsize
-            counts.append(pieces)
-        return np.fromiter(map(known.__getitem__, pretokens), dtype=np.int64, count=len(pretokens))
+        return np.fromiter(map(self.known.__getitem__, names), dtype=np.int64, count=len(names))
 
     def sizes(self) -> np.ndarray:
         return np.array(self.counts, dtype=np.int64)
 
+    def slices(self, texts: list[bytes | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(text, number) of all pre-tokens, some ``SLICE_BYTES`` of text at a time.
+
+        Long texts are cut at blanks; numbers are valid until the next slice.
+        """
+        owners, sizes, names, held = [], [], [], 0
+        for k, text in enumerate(texts):
+            text, at = text or b"", 0
+            while at < len(text):
+                stop = min(at + SLICE_BYTES, len(text))
+                if stop < len(text):
+                    blank = _BLANK.search(text, stop)
+                    stop = blank.start() if blank else len(text)
+                found = self.split(text[at:stop])
+                owners.append(k)
+                sizes.append(len(found))
+                names += found
+                held, at = held + stop - at, stop
+                if held >= SLICE_BYTES:
+                    yield np.repeat(owners, sizes), self.numbers(names)
+                    owners, sizes, names, held = [], [], [], 0
+        if owners:
+            yield np.repeat(owners, sizes), self.numbers(names)
+
     def encoded(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in turn, and how many each has."""
-        split = [(t or b"").split() for t in texts]
-        numbers = self.numbers(list(chain.from_iterable(split)))
-        sizes = self.sizes()
-        flat = np.array(self.ids, dtype=np.uint32)
-        starts = np.cumsum(sizes) - sizes
-        per_word = sizes[numbers]
-        ids = flat[ranges(starts[numbers], per_word)]
-        doc = np.repeat(np.arange(len(split)), [len(s) for s in split])
-        return ids, np.bincount(doc, per_word, minlength=len(split)).astype(np.int64)
+        parts, counts = [np.zeros(0, dtype=np.uint32)], np.zeros(len(texts))
+        for owner, numbers in self.slices(texts):
+            sizes = self.sizes()
+            starts = np.cumsum(sizes) - sizes
+            per_word = sizes[numbers]
+            parts.append(np.array(self.ids, dtype=np.uint32)[ranges(starts[numbers], per_word)])
+            counts += np.bincount(owner, per_word, minlength=len(texts))
+        return np.concatenate(parts), counts.astype(np.int64)
 
 
 _loaded: dict[tuple[str, bool], Pretokens] = {}
@@ -138,13 +180,12 @@ def pretokens(path: str, with_ids: bool = False) -> Pretokens:
 
 def counts(table: Pretokens, texts: list[bytes | None]) -> list[np.ndarray]:
     """Bytes and pieces of each text."""
-    split = [(t or b"").split() for t in texts]
-    numbers = table.numbers(list(chain.from_iterable(split)))
-    pieces = table.sizes()
-    doc = np.repeat(np.arange(len(split), dtype=np.int64), [len(s) for s in split])
-    pairs, frequency = np.unique(doc * len(pieces) + numbers, return_counts=True)
-    width = max(len(pieces), 1)
-    per_doc = np.bincount(pairs // width, frequency * pieces[pairs % width], minlength=len(split))
+    per_doc = np.zeros(len(texts))
+    for owner, numbers in table.slices(texts):
+        pieces = table.sizes()
+        width = max(len(pieces), 1)
+        pairs, frequency = np.unique(owner * width + numbers, return_counts=True)
+        per_doc += np.bincount(pairs // width, frequency * pieces[pairs % width], minlength=len(texts))
     n_bytes = np.array([len(t or b"") for t in texts], dtype=np.int64)
     return [n_bytes, per_doc.astype(np.int64)]
 
