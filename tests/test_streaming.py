@@ -1,6 +1,7 @@
 """A stream must end with the table the batch job gives, however files arrive."""
 
-from datetime import datetime, timedelta
+import random
+from datetime import date, datetime, timedelta
 
 import pytest
 from conftest import SMALL, rows
@@ -10,6 +11,7 @@ from tidemark.plans import bikes, governance
 from tidemark.plans.adapters import Tables
 from tidemark.sources import tables
 from tidemark.streaming import jobs
+from tidemark.streaming.metric_log import MetricLog
 
 
 @pytest.fixture
@@ -163,6 +165,33 @@ def test_dedup_stream_keeps_each_key_once_however_late(spark, tmp_path):
     assert rows(spark.read.parquet(sink), "k") == [(k,) for k in range(10)]
 
 
+def test_metric_log_equals_a_full_count_after_every_batch(spark, tmp_path):
+    rnd = random.Random(6)
+    schema = "id string, k string, v double, day date, at int"
+    table, log = str(tmp_path / "t"), MetricLog(str(tmp_path / "m"), "day", {"null v": "v", "null k": "k"}, {"twice k": "k"})
+    days = [date(2024, 1, 1) + timedelta(days=d) for d in range(4)]
+    for batch in range(5):
+        touched = rnd.sample(days, 2)
+        data = {(f"i{rnd.randrange(6)}", rnd.choice(touched)): (rnd.choice(["a", "b", "c", None]), rnd.choice([None, 1.0]))
+                for _ in range(12)}
+        frame = spark.createDataFrame([(i, k, v, d, batch) for (i, d), (k, v) in data.items()], schema)
+        tables.upsert(frame, table, ["id", "day"], "day", newest_by="at")
+        stored = tables.read_table(spark, table, frame.schema)
+        for _ in range(2 if batch == 2 else 1):  # a repeated batch gives the same
+            log.update(stored, frame, batch)
+        counted = {r.metric_name: r.metric_value for r in log.latest(spark).collect()}
+        assert counted == {
+            "null v": stored.where("v is null").count(), "null k": stored.where("k is null").count(),
+            "twice k": stored.count() - stored.select("k").where("k is not null").distinct().count()}
+        assert log.log(spark).where(F.col("batch") == batch).count() == 3
+    # a day that lost its rows, and a day outside the touched ones that nothing looks at
+    gone = stored.where(F.col("day") != days[0])
+    log.update(gone, spark.createDataFrame([(days[0],)], "day date"), 5)
+    counted = {r.metric_name: r.metric_value for r in log.latest(spark).collect()}
+    assert counted["null v"] == gone.where("v is null").count()
+    assert counted["twice k"] == gone.count() - gone.select("k").where("k is not null").distinct().count()
+
+
 def test_dedup_stream_restarts_and_reads_no_sink(spark, tmp_path):
     source, sink, mark = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "mark")
     schema = "k int, v int"

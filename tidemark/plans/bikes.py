@@ -260,5 +260,14 @@ LAYER_METRICS: dict[str, list[Metric]] = {
 }
 
 
+# The same metrics for tables kept by jobs: label to column, nulls and repeated values.
+SILVER_NULLS = {
+    "silver null station_id": "station_id", "silver null latitude": "latitude",
+    "silver null longitude": "longitude",
+}
+SILVER_REPEATED = {"silver repeated station_id": "station_id"}
+GOLD_NULLS = {"gold null total_stations": "total_stations", "gold null occupancy": "network_occupancy_pct"}
+
+
 def layer_metrics(layer: str, df: DataFrame) -> DataFrame:
     return union_all([metric(df) for metric in LAYER_METRICS[layer]])

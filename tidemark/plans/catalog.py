@@ -32,6 +32,7 @@ from tidemark.plans.adapters import Tables
 from tidemark.session import scratch_path, stored
 from tidemark.sources import files, tables
 from tidemark.streaming import jobs
+from tidemark.streaming.metric_log import MetricLog
 
 Query = Callable[[SparkSession, str], DataFrame]
 USER = "USER_8"
@@ -1573,6 +1574,33 @@ def _gold(t: Tables, build: Callable[[DataFrame], DataFrame], day: Column) -> Da
     return t.spark.read.parquet(gold).drop("gold_date")
 
 
+@register("x03_metric_log")
+def _(t: Tables) -> DataFrame:
+    """Metrics behind the silver and gold jobs, a row for each batch; the last are those of a full count."""
+    schema, gold = _silver_schema(t), scratch_path(t.spark, "gold")
+    of_silver = MetricLog(
+        scratch_path(t.spark, "metrics"), bikes.SILVER_PARTITION, bikes.SILVER_NULLS, bikes.SILVER_REPEATED
+    )
+    of_gold = MetricLog(scratch_path(t.spark, "metrics"), "gold_date", bikes.GOLD_NULLS, {})
+
+    def steps(silver: str):
+        refresh = jobs.refresh_touched(
+            silver, schema, gold, bikes.SILVER_PARTITION, "gold_date",
+            lambda rows: bikes.network_summary(rows).withColumn("gold_date", F.to_date("extraction_at")),
+        )
+
+        def after(batch: DataFrame, batch_id: int) -> None:
+            of_silver.after(silver, schema)(batch, batch_id)
+            refresh(batch, batch_id)
+            days = batch.select(F.col(bikes.SILVER_PARTITION).alias("gold_date"))
+            of_gold.update(t.spark.read.parquet(gold), days, batch_id)
+
+        return after
+
+    _run_silver(t, after=steps)
+    return of_silver.latest(t.spark).unionByName(of_gold.latest(t.spark))
+
+
 @register("r02_network_summary_stream")
 def _(t: Tables) -> DataFrame:
     return _gold(t, bikes.network_summary, F.to_date("extraction_at"))

@@ -1536,6 +1536,8 @@ _METRICS = {
 }
 
 _STREAMS = {
+    "x03_metric_log": f"""SELECT metric_name, CAST(metric_value AS BIGINT) AS metric_value
+      FROM ({_BIKES["d01_quality_metrics"]}) WHERE metric_name NOT LIKE 'bronze%'""",
     "r01_bronze_silver": _BIKES["b01_silver_clean"],
     "r02_network_summary_stream": _BIKES["b02_network_summary"],
     "r03_station_hourly_stream": _BIKES["b03_station_hourly"],
