@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import SparkContext, SparkFiles
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -22,6 +22,8 @@ from tidemark.session import ensure_checkpoint_dir, scratch_path
 #: Text that a Python worker handles at a time; one longer text makes a batch of its own.
 BATCH_BYTES = 2 << 20
 _TEXT = "__text"
+#: Longer texts that a class of a training sample may hold, counted in the bytes of a short one.
+LONG_TEXTS = 50
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -150,36 +152,40 @@ def labelled_texts(
 ) -> list[tuple[bytes, object]]:
     """A bounded training sample: at most ``per_class`` texts of each class.
 
-    Rows are taken in the order of a hash of their key.  Texts over ``max_bytes``
-    are passed over, so the driver holds ``per_class * max_bytes`` for each class
-    at most.  Null keys, labels and texts are passed over; a key with two labels
-    takes the larger, with two texts the smaller.
+    Only labels whose text is there and not null count.  Texts of at most ``max_bytes``
+    come first, in the order of a hash of their key; longer ones fill up what is left of
+    ``per_class``, as long as they take ``LONG_TEXTS * max_bytes`` together at most.  So the
+    driver holds ``(per_class + LONG_TEXTS) * max_bytes`` of each class at most.  A key with
+    two labels takes the larger, with two texts the shorter, then the smaller.
     """
-    spark = docs.sparkSession
     known = (
-        labels.where(F.col(key).isNotNull() & F.col(label).isNotNull())
+        labels.where(F.col(key).isNotNull() & F.col(label).isin(list(classes)))
         .groupBy(F.col(key).alias("key"))
         .agg(F.max(label).alias("label"))
     )
-    chosen = None
-    for value in classes:
-        part = (
-            known.where(F.col("label") == F.lit(value))
-            .orderBy(F.xxhash64("key"), "key")
-            .limit(per_class)
-        )
-        chosen = part if chosen is None else chosen.unionByName(part)
-    if chosen is None:
-        return []
+    most = LONG_TEXTS * max_bytes
+    size = F.octet_length("text")
+    usable = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).where(
+        F.col("text").isNotNull() & (size <= max(max_bytes, most))
+    )
+    order = F.col("bytes") > max_bytes, F.xxhash64("key"), F.col("key")
+    # keys and lengths only; each class is cut to per_class rows before the shuffle
+    first = Window.partitionBy("label").orderBy(*order)
+    long = F.when(F.col("bytes") > max_bytes, F.col("bytes")).otherwise(0)
+    chosen = (
+        usable.select("key", size.alias("bytes")).join(known, "key")
+        .groupBy("key", "label").agg(F.min("bytes").alias("bytes"))
+        .withColumn("place", F.row_number().over(first)).where(F.col("place") <= per_class)
+        .withColumn("long", F.sum(long).over(first)).where(F.col("long") <= most)
+        .select("key", "label", "bytes")
+    )
     # at most per_class rows a class: small enough to broadcast by construction
     rows = (
-        docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-        .where(F.col("text").isNotNull() & (F.octet_length("text") <= max_bytes))
-        .join(F.broadcast(chosen), "key")
+        usable.withColumn("bytes", size).join(F.broadcast(chosen), ["key", "bytes"])
         .groupBy("key", "label")
         .agg(F.min("text").alias("text"))
     )
-    prepare(spark)
+    prepare(docs.sparkSession)
     found = rows.toPandas().sort_values("key", kind="stable")
     return [(t.encode(), y) for t, y in zip(found["text"], found["label"], strict=True)]
 

@@ -34,10 +34,12 @@ PER_CLASS, MAX_BYTES = 1200, 20_000
 #: Texts of all languages together; with more languages each has fewer.
 MAX_TEXTS = 6000
 BUCKETS, DIMENSIONS = 1 << 16, 12
+#: Rounds over the sample and first step size, for few and for many languages.
+STEPS = (4, 2.0), (20, 8.0)
 #: Bytes of text hashed at once.
 PIECE_BYTES = 1 << 20
-#: Languages the model may learn: the most frequent ones.
-MAX_LANGUAGES = 256
+#: Languages in the sample, the most frequent ones: as many as it has texts.
+MAX_LANGUAGES = MAX_TEXTS
 #: Share of texts of known language that may be rejected, half by either measure.
 REJECTED = 0.001
 #: Subwords from which the next class of length begins; held-back pieces of texts
@@ -58,7 +60,8 @@ _ASCII = re.compile(rb"[A-Za-z]")
 @dataclass
 class Model:
     languages: list[str]
-    table: np.ndarray  # BUCKETS + 1 rows of logits, the last all zero
+    table: np.ndarray  # BUCKETS + 1 rows, the last all zero: logits, or embeddings to be mixed
+    mix: np.ndarray | None  # logits of embeddings, if there are more languages than dimensions
     bias: np.ndarray
     temperature: float
     seen: np.ndarray  # log-probability of each bucket in the training texts, the last 0
@@ -138,8 +141,7 @@ def _floors(odds: np.ndarray, familiar: np.ndarray, n: np.ndarray, whole: np.nda
     return out
 
 
-def fit(sample: list[tuple[bytes, object]], epochs: int = 4, rate: float = 2.0,
-        seed: int = 11) -> Model:
+def fit(sample: list[tuple[bytes, object]], seed: int = 11) -> Model:
     """Train on (text, language) rows; every fifth row is kept for calibration.
 
     Each training text is also seen as a short piece of itself, as short texts
@@ -149,11 +151,12 @@ def fit(sample: list[tuple[bytes, object]], epochs: int = 4, rate: float = 2.0,
     sample = [(t, str(y)) for t, y in sample if has_letter(t)]
     languages = sorted({y for _, y in sample})
     number = {y: i for i, y in enumerate(languages)}
+    epochs, rate = STEPS[len(languages) > DIMENSIONS]
     embed = random.uniform(-1, 1, (BUCKETS, DIMENSIONS)) / DIMENSIONS
     weight = np.zeros((DIMENSIONS, len(languages)))
     bias = np.zeros(len(languages))
     bags, held, sizes, whole = [], [], [], []
-    share_of = np.zeros((len(languages), BUCKETS))
+    shown: list[list[int]] = [[] for _ in languages]
     for k, at in enumerate(random.permutation(len(sample))):
         text, y = sample[at]
         words = text.split()
@@ -166,7 +169,7 @@ def fit(sample: list[tuple[bytes, object]], epochs: int = 4, rate: float = 2.0,
             if k % 5 != 4:
                 bags.append((ids, share, number[y]))
                 if t is text:
-                    share_of[number[y], ids] += share
+                    shown[number[y]].append(len(bags) - 1)
             elif len(ids):
                 held.append((ids, share, number[y]))
                 sizes.append(int((subwords([t])[0] < BUCKETS).sum()))
@@ -185,15 +188,21 @@ def fit(sample: list[tuple[bytes, object]], epochs: int = 4, rate: float = 2.0,
             weight -= 0.1 * lr * np.outer(mean, slope)
             bias -= 0.01 * lr * slope
             embed[ids] -= lr * share[:, None] * back
-    table = np.zeros((BUCKETS + 1, len(languages)), dtype=np.float32)
-    table[:-1] = embed @ weight
-    total = share_of.sum(axis=1, keepdims=True)
-    share_of = (1 - UNSEEN) * share_of / np.maximum(total, 1e-12) + UNSEEN / BUCKETS
+    mix = weight if len(languages) > DIMENSIONS else None
+    table = np.zeros((BUCKETS + 1, min(len(languages), DIMENSIONS)), dtype=np.float32)
+    table[:-1] = embed if mix is not None else embed @ weight
+    mean_share = np.zeros(BUCKETS)
+    for of_language in shown:
+        share_of = np.zeros(BUCKETS)
+        for k in of_language:
+            share_of[bags[k][0]] += bags[k][1]
+        mean_share += (1 - UNSEEN) * share_of / max(share_of.sum(), 1e-12) + UNSEEN / BUCKETS
     seen = np.zeros(BUCKETS + 1)
-    seen[:-1] = np.log(share_of.mean(axis=0)) if languages else 0
+    seen[:-1] = np.log(mean_share / len(languages)) if languages else 0
     temperature, floors = 1.0, np.full((len(LENGTHS) + 1, 2), -np.inf)
     if held:
-        logits = np.array([share @ table[ids] + bias for ids, share, _ in held])
+        logits = np.array([share @ table[ids] for ids, share, _ in held])
+        logits = (logits if mix is None else logits @ mix) + bias
         truth = np.array([y for _, _, y in held])
         rows = np.arange(len(truth))
 
@@ -204,7 +213,7 @@ def fit(sample: list[tuple[bytes, object]], epochs: int = 4, rate: float = 2.0,
         odds = _log_odds(_softmax(logits / temperature).max(axis=1))
         familiar = np.array([share @ seen[ids] for ids, share, _ in held])
         floors = _floors(odds, familiar, np.array(sizes), np.array(whole))
-    return Model(languages, table, bias, float(temperature), seen, floors)
+    return Model(languages, table, mix, bias, float(temperature), seen, floors)
 
 
 def _pieces(texts: list[bytes | None]):
@@ -233,16 +242,18 @@ def predict(model: Model, texts: list[bytes | None]) -> tuple[list[str], np.ndar
     if not model.languages or not texts:
         return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.ones(len(texts), dtype=bool)
     n, familiar = np.zeros(len(texts)), np.zeros(len(texts))
-    logits = np.zeros((len(texts), len(model.languages)))
+    sums = np.zeros((len(texts), model.table.shape[1]))
     for owners, pieces in _pieces(texts):
         ids, starts = subwords(pieces)
         np.add.at(n, owners, np.add.reduceat((ids < BUCKETS).sum(axis=1), starts))
-        for c in range(len(model.languages)):
+        for c in range(sums.shape[1]):
             column = np.ascontiguousarray(model.table[:, c])
             part = np.add.reduceat(column[ids].sum(axis=1), starts, dtype=np.float64)
-            np.add.at(logits[:, c], owners, part)
+            np.add.at(sums[:, c], owners, part)
         np.add.at(familiar, owners, np.add.reduceat(model.seen[ids].sum(axis=1), starts))
-    p = _softmax((logits / np.maximum(n, 1)[:, None] + model.bias) / model.temperature)
+    means = sums / np.maximum(n, 1)[:, None]
+    logits = (means if model.mix is None else means @ model.mix) + model.bias
+    p = _softmax(logits / model.temperature)
     best = p.argmax(axis=1)
     score = np.where(known, p[np.arange(len(texts)), best], 0.0)
     names = [model.languages[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)]
@@ -252,14 +263,17 @@ def predict(model: Model, texts: list[bytes | None]) -> tuple[list[str], np.ndar
 
 
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
-    """Fit on at most ``PER_CLASS`` texts of each of the most frequent languages."""
+    """Fit on at most ``PER_CLASS`` texts of each language, ``MAX_TEXTS`` of all together.
+
+    Should there be more languages than that, the sample holds the most frequent ones.
+    """
     frequent = (
         docs.where(F.col(lang).isNotNull()).groupBy(lang).count()
         .orderBy(F.desc("count"), lang).limit(MAX_LANGUAGES)
     )
     names = sorted(r[0] for r in frequent.select(lang).collect())  # at most MAX_LANGUAGES
     labels = docs.select(key, lang)
-    each = min(PER_CLASS, MAX_TEXTS // max(len(names), 1))
+    each = max(min(PER_CLASS, MAX_TEXTS // max(len(names), 1)), 1)
     return fit(labelled_texts(docs, labels, lang, key, text, each, MAX_BYTES, names))
 
 

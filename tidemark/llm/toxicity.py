@@ -31,7 +31,7 @@ PER_CLASS, MAX_BYTES = 2000, 20_000
 MAX_FEATURES, MIN_DOCUMENTS = 20_000, 3
 #: A sentence without an end is cut after this many words.
 SENTENCE_WORDS = 40
-#: Keeps documents of very many sentences without any feature clean.
+#: What a sentence has against it before its features count: many weak ones stay clean together.
 HIGHEST_BIAS = -11.0
 #: Words whose weight a task remembers.
 CACHE = 150_000
@@ -103,7 +103,7 @@ def features(word: bytes) -> list[bytes]:
 def fit(sample: list[tuple[bytes, object]], steps: int = 300, rate: float = 0.1) -> Model:
     """Weights for (text, 0 or 1) rows; without both classes, a constant score.
 
-    A sample of no rows scores 0.5; one class only scores near that class.
+    As when texts are scored, only sentences with a feature enter the noisy-or.  A sample of no rows scores 0.5; one class only scores near that class.
     """
     truth = np.array([float(y) for _, y in sample])
     if len(set(truth)) < 2:
@@ -131,13 +131,13 @@ def fit(sample: list[tuple[bytes, object]], steps: int = 300, rate: float = 0.1)
 
     ids, sizes, per_doc = [], [], []
     for text, _ in sample:
-        parts = sentences(text)
-        per_doc.append(len(parts))
-        for _, _, words in parts:
-            have = {index[f] for w in words for f in features(w) if f in index}
-            ids.extend(sorted(have))
-            sizes.append(len(have))
-    ids, sizes, per_doc = np.array(ids, dtype=np.int64), np.array(sizes), np.array(per_doc)
+        before = len(sizes)
+        for _, _, words in sentences(text):
+            if have := {index[f] for w in words for f in features(w) if f in index}:
+                ids.extend(sorted(have))
+                sizes.append(len(have))
+        per_doc.append(len(sizes) - before)
+    ids, sizes, per_doc = (np.array(x, dtype=np.int64) for x in (ids, sizes, per_doc))
     owner = np.repeat(np.arange(len(sizes)), sizes)
     doc_of = np.repeat(np.arange(len(per_doc)), per_doc)
     share = np.where(truth > 0, 0.5 / n1, 0.5 / n0)
