@@ -1,13 +1,14 @@
 """Nearest neighbours by a block matrix join of int8 tiles.
 
-Vectors are packed into blocks.  Each vector is stored as int8 codes with a scale,
-the norm of what the codes stand for and the norm of what they miss.  A tile is a
-query block and a candidate block: the integer product of its codes, scaled, gives
-every inner product ``x.y`` up to ``coded(x) * missed(y) + missed(x) * |y|``.
-A candidate goes on if its upper bound reaches the k-th largest lower bound of its
-query in the tile; so none of the k best is lost.  What is left is recomputed in
-double precision from the original vectors, and the tiles' lists of a query are
-merged by a heap.
+Candidates are dealt to groups of a bounded size by a hash of their id; a task holds a
+group as blocks.  Each vector is stored as int8 codes with a scale, the norm of what the
+codes stand for and the norm of what they miss.  The queries, a twentieth of the rows, are
+copied to every group and pass its blocks in blocks of their own.  A tile is a query block
+and a candidate block: the integer product of its codes, scaled, gives every inner product
+``x.y`` up to ``coded(x) * missed(y) + missed(x) * |y|``.  A candidate goes on if its upper
+bound reaches the k-th largest lower bound of its query in the tile; so none of the k best
+is lost.  What is left is recomputed in double precision from the original vectors.  Heaps
+merge the tiles' lists of a query inside the group; the groups' lists are ranked last.
 """
 
 from __future__ import annotations
@@ -24,21 +25,14 @@ from pyspark.sql.window import Window
 
 from tidemark.llm.common import prepare
 
-#: Vectors of a query block and of a candidate block.
-QUERY_ROWS, BLOCK_ROWS = 512, 4096
+#: Vectors of a query block and of a candidate block, and components of a group at most.
+QUERY_ROWS, BLOCK_ROWS, GROUP_COMPONENTS = 512, 4096, 1 << 22
 #: Codes of at most so many dimensions have products that float32 holds exactly.
 EXACT_WIDTH = 1024
 #: Relative allowance for rounding in the bounds.
 SLACK = 1e-9
 
-_BLOCK = T.StructType(
-    [
-        T.StructField("slot", T.IntegerType()), T.StructField("dim", T.IntegerType()),
-        T.StructField("ids", T.BinaryType()), T.StructField("vectors", T.BinaryType()),
-        T.StructField("codes", T.BinaryType()), T.StructField("bounds", T.BinaryType()),
-    ]
-)
-_LISTS = "slot int, ids binary, sizes binary, near binary, scores binary"
+_FOUND = "query_id long, vec_id long, score double"
 
 
 def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -103,124 +97,114 @@ def tile(q: tuple, c: tuple, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return np.minimum(sizes, k), ids[kept], scores[kept]
 
 
-def _pack(slot: int, dim: int, ids: np.ndarray, vectors: np.ndarray) -> pa.RecordBatch:
-    codes, bounds = quantise(vectors)
-    row = slot, dim, ids.tobytes(), vectors.tobytes(), codes.tobytes(), bounds.tobytes()
-    types = [pa.int32(), pa.int32(), *[pa.binary()] * 4]
-    return pa.RecordBatch.from_arrays(
-        [pa.array([v], t) for v, t in zip(row, types, strict=True)], names=_BLOCK.fieldNames()
-    )
-
-
-def _packer(size: int, double: bool):
-    """Blocks of at most ``size`` rows of one slot and dimension."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, int], list] = {}
-        for batch in batches:
-            slots, ids, lists = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
-            dims = lists.value_lengths().to_numpy()
-            flat = lists.flatten().to_numpy().astype(np.float64 if double else np.float32)
-            starts = np.cumsum(dims) - dims
-            for slot, dim in sorted(set(zip(slots.tolist(), dims.tolist(), strict=True))):
-                chosen = np.flatnonzero((slots == slot) & (dims == dim))
-                vectors = flat[starts[chosen, None] + np.arange(dim)]
-                group = held.setdefault((slot, dim), [])
-                group.append((ids[chosen], vectors))
-                while sum(len(i) for i, _ in group) >= size:
-                    i, v = (np.concatenate(x) for x in zip(*group, strict=True))
-                    yield _pack(slot, dim, i[:size], v[:size])
-                    group[:] = [(i[size:], v[size:])]
-            if len(held) > 64:  # many slots in one partition: let none wait for more rows
-                yield from _flush(held)
-        yield from _flush(held)
-
-    return run
-
-
-def _flush(held: dict) -> Iterator[pa.RecordBatch]:
-    for (slot, dim), group in held.items():
-        i, v = (np.concatenate(x) for x in zip(*group, strict=True))
-        if len(i):
-            yield _pack(slot, dim, i, v)
-    held.clear()
-
-
-def _unpack(row: dict, side: str, kind) -> tuple:
-    ids = np.frombuffer(row[f"{side}_ids"], dtype=np.int64)
-    dim = row["dim"]
-    return (
-        ids, np.frombuffer(row[f"{side}_vectors"], dtype=kind).reshape(-1, dim),
-        np.frombuffer(row[f"{side}_codes"], dtype=np.int8).reshape(-1, dim),
-        np.frombuffer(row[f"{side}_bounds"], dtype=np.float64).reshape(-1, 4),
-    )
-
-
-def _multiply(k: int, double: bool):
-    kind = np.float64 if double else np.float32
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(batch.num_rows):
-                row = batch.slice(at, 1).to_pylist()[0]
-                q, c = _unpack(row, "q", kind), _unpack(row, "c", kind)
-                sizes, ids, scores = tile(q, c, k)
-                values = [row["slot"]], [row["q_ids"]]
-                packed = [[x.tobytes()] for x in (sizes.astype(np.int64), ids, scores)]
+def _rows(batch: pa.RecordBatch, kind) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(dimension, ids, vectors) of a batch."""
+    ids, lists = batch.column(2).to_numpy(), batch.column(3)
+    dims = lists.value_lengths().to_numpy()
+    flat = lists.flatten().to_numpy().astype(kind) + kind(0)  # one zero, not two
+    starts = np.cumsum(dims) - dims
+    for dim in sorted(set(dims.tolist())):
+        chosen = np.flatnonzero(dims == dim)
+        yield dim, ids[chosen], flat[starts[chosen, None] + np.arange(dim)]
+
+
+class _Group:
+    """Collects the candidates of a group, then answers query blocks."""
+
+    def __init__(self, k: int) -> None:
+        self.k, self.parts, self.held, self.blocks = k, {}, 0, None
+
+    def add(self, dim: int, ids: np.ndarray, vectors: np.ndarray) -> None:
+        self.parts.setdefault(dim, []).append((ids, vectors))
+        self.held += vectors.size
+        if self.held > 2 * GROUP_COMPONENTS:  # many copies: no group is so large otherwise
+            self.parts = {d: [self._distinct(p)] for d, p in self.parts.items()}
+            self.held = 0
+
+    def _distinct(self, parts: list) -> tuple[np.ndarray, np.ndarray]:
+        """Each (id, vector) once; of ids that share a vector the k + 1 smallest can appear."""
+        ids, vectors = (np.concatenate(x) for x in zip(*parts, strict=True))
+        whole = np.ascontiguousarray(vectors).view(np.dtype((np.void, vectors.shape[1] * vectors.itemsize))).ravel()
+        _, number = np.unique(whole, return_inverse=True)
+        order = np.lexsort((ids, number))
+        ids, number = ids[order], number[order]
+        first = np.ones(len(ids), dtype=bool)
+        first[1:] = (number[1:] != number[:-1]) | (ids[1:] != ids[:-1])
+        order, number = order[first], number[first]
+        starts = np.flatnonzero(np.r_[True, number[1:] != number[:-1]])
+        place = np.arange(len(number)) - np.repeat(starts, np.diff(np.r_[starts, len(number)]))
+        kept = np.sort(order[place <= self.k])
+        ids, vectors = (np.concatenate(x) for x in zip(*parts, strict=True))
+        return ids[kept], vectors[kept]
+
+    def _block_list(self, dim: int) -> list[tuple]:
+        if self.blocks is None:
+            self.blocks = {}
+            for d, parts in self.parts.items():
+                ids, vectors = self._distinct(parts)
+                self.blocks[d] = [
+                    (ids[a : a + BLOCK_ROWS], v := vectors[a : a + BLOCK_ROWS], *quantise(v))
+                    for a in range(0, len(ids), BLOCK_ROWS)
+                ]
+            self.parts = {}
+        return self.blocks.get(dim, [])
+
+    def answer(self, dim: int, ids: np.ndarray, vectors: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(ids), QUERY_ROWS):
+            part = slice(at, at + QUERY_ROWS)
+            query = ids[part], vectors[part], *quantise(vectors[part])
+            heaps: dict[int, list] = {}
+            for block in self._block_list(dim):
+                _merge(heaps, ids[part], tile(query, block, self.k), self.k)
+            rows = [(q, -near, score) for q, heap in heaps.items() for score, near in heap]
+            if rows:
+                types = pa.int64(), pa.int64(), pa.float64()
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(values[0], pa.int32()), pa.array(values[1], pa.binary()),
-                     *(pa.array(p, pa.binary()) for p in packed)],
-                    names=["slot", "ids", "sizes", "near", "scores"],
+                    [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)],
+                    names=["query_id", "vec_id", "score"],
                 )
 
-    return run
-
 
-def _merge(k: int):
-    """Merge the lists of a query block, tile by tile, in one heap for each query."""
+def _merge(heaps: dict[int, list], queries: np.ndarray, found: tuple, k: int) -> None:
+    """Merge a tile's lists into one heap for each query; the worst entry is the smallest."""
+    sizes, ids, scores = (x.tolist() for x in found)
+    at = 0
+    for query, n in zip(queries.tolist(), sizes, strict=True):
+        heap = heaps.setdefault(query, [])
+        for j in range(at, at + n):
+            entry = (scores[j], -ids[j])
+            if len(heap) < k:
+                heapq.heappush(heap, entry)
+            elif entry > heap[0]:
+                heapq.heapreplace(heap, entry)
+            else:
+                break  # a list is in order
+        at += n
+
+
+def _searcher(k: int, double: bool):
+    """Each group's candidates come first, then the queries."""
+    kind = np.float64 if double else np.float32
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, heaps, slot = None, {}, None
+        group, at = None, None
         for batch in batches:
-            for row in batch.to_pylist():
-                if row["ids"] != block or row["slot"] != slot:
-                    yield from _ranked(heaps)
-                    block, slot, heaps = row["ids"], row["slot"], {}
-                ids = np.frombuffer(row["ids"], dtype=np.int64).tolist()
-                near = np.frombuffer(row["near"], dtype=np.int64).tolist()
-                scores = np.frombuffer(row["scores"], dtype=np.float64).tolist()
-                at = 0
-                for query, n in zip(ids, np.frombuffer(row["sizes"], dtype=np.int64).tolist(), strict=True):
-                    heap = heaps.setdefault(query, [])
-                    for j in range(at, at + n):
-                        entry = (scores[j], -near[j])  # the worst entry is the smallest
-                        if len(heap) < k:
-                            heapq.heappush(heap, entry)
-                        elif entry > heap[0]:
-                            heapq.heapreplace(heap, entry)
-                        else:
-                            break  # a list is in order
-                    at += n
-        yield from _ranked(heaps)
+            g, side = (batch.column(i).to_numpy() for i in (0, 1))
+            edges = np.flatnonzero((np.diff(g) != 0) | (np.diff(side) != 0)) + 1
+            for start, stop in zip([0, *edges], [*edges, batch.num_rows], strict=True):
+                if stop == start:
+                    continue
+                if g[start] != at:
+                    group, at = _Group(k), g[start]
+                for dim, ids, vectors in _rows(batch.slice(start, stop - start), kind):
+                    if side[start] == 0:
+                        group.add(dim, ids, vectors)
+                    else:
+                        yield from group.answer(dim, ids, vectors)
 
     return run
 
 
-def _ranked(heaps: dict[int, list]) -> Iterator[pa.RecordBatch]:
-    rows = [
-        (query, rank, -negative, score)
-        for query, heap in heaps.items()
-        for rank, (score, negative) in enumerate(sorted(heap, reverse=True), 1)
-    ]
-    if rows:
-        query, rank, near, score = zip(*rows, strict=True)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(query, pa.int64()), pa.array(rank, pa.int32()), pa.array(near, pa.int64()),
-             pa.array(score, pa.float64())],
-            names=["query_id", "rank", "vec_id", "score"],
-        )
-
-
 def nearest(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id",
             vector: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k largest inner products of each query.
@@ -243,32 +227,24 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_i
     ).withColumn("__query", is_query).select(
         F.col(key).cast("long").alias("id"), F.col(vector).cast(f"array<{wide}>").alias("v"), "__query"
     )
-    # a vector that more than k + 1 ids share can appear by its k + 1 smallest ids only
-    copies = Window.partitionBy("v").orderBy("id")
-    candidates = (
-        usable.select("id", "v").withColumn("place", F.dense_rank().over(copies))
-        .where(F.col("place") <= k + 1).dropDuplicates(["v", "id"])
-    )
     queries = usable.where("__query").groupBy("id").agg(F.min("v").alias("v"))
-    slots = max(1, -(-queries.count() // QUERY_ROWS))
-    slot = F.pmod(F.xxhash64("id"), F.lit(slots)).cast("int").alias("slot")
-    q = (
-        queries.select(slot, "id", "v").repartition("slot").sortWithinPartitions("slot", "id")
-        .mapInArrow(_packer(QUERY_ROWS, double), _BLOCK)
+    n, components = usable.agg(F.count(F.lit(1)), F.sum(F.size("v"))).first()
+    # as few groups as memory allows, as every query goes to each, but work for all cores
+    groups = max(
+        1, -(-(components or 0) // GROUP_COMPONENTS),
+        min(spark.sparkContext.defaultParallelism, n // BLOCK_ROWS),
     )
-    c = candidates.select(F.lit(0).alias("slot"), "id", "v").mapInArrow(
-        _packer(BLOCK_ROWS, double), _BLOCK
+    dealt = usable.select(
+        F.pmod(F.xxhash64("id", "v"), F.lit(groups)).cast("int").alias("g"), F.lit(0).alias("side"), "id", "v"
     )
-    # every candidate block meets every query block: all rows against the stated queries
-    c = c.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
-    tiles = q.select(
-        "slot", "dim", *(F.col(x).alias(f"q_{x}") for x in ("ids", "vectors", "codes", "bounds"))
-    ).join(
-        c.select("slot", "dim", *(F.col(x).alias(f"c_{x}") for x in ("ids", "vectors", "codes", "bounds"))),
-        ["slot", "dim"],
+    # every group meets every query: all rows against the stated queries, in blocks
+    copied = queries.select(
+        F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), F.lit(1).alias("side"), "id", "v"
     )
-    lists = tiles.mapInArrow(_multiply(k, double), _LISTS)
+    together = dealt.unionByName(copied).repartitionById(groups, F.col("g")).sortWithinPartitions("g", "side", "id")
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (
-        lists.repartition("slot").sortWithinPartitions("slot", "ids")
-        .mapInArrow(_merge(k), "query_id long, rank int, vec_id long, score double")
+        together.mapInArrow(_searcher(k, double), _FOUND)
+        .withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+        .select("query_id", "rank", "vec_id", "score")
     )
