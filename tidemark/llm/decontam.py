@@ -17,11 +17,11 @@ from __future__ import annotations
 import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -31,6 +31,8 @@ from tidemark.llm.common import checkpointed, cut, map_texts, prepare, ranges
 WINDOW = 10
 #: Every so many text positions the suffix position of a row is kept.
 SAMPLE = 8
+#: Pairs of words of a shard are marked in a table of so many bits.
+PAIR_BITS = 23
 #: Bytes of benchmark text that one pass holds; more text takes more passes.
 PASS_BYTES = 16 << 20
 
@@ -47,16 +49,44 @@ def words(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(PLAIN).split()
 
 
+def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A number below ``1 << PAIR_BITS`` for each pair of neighbouring words."""
+    code = a.astype(np.uint32) * np.uint32(0x9E3779B1) ^ b.astype(np.uint32) * np.uint32(0x85EBCA6B)
+    return (code ^ code >> np.uint32(15)) & np.uint32((1 << PAIR_BITS) - 1)
+
+
 @dataclass
 class Phrases:
     """Windows to search: distinct word-number sequences and the items they are of."""
 
-    vocabulary: dict[bytes, int] = field(default_factory=dict)
-    windows: list[tuple[int, ...]] = field(default_factory=list)
-    items: list[tuple[str, ...]] = field(default_factory=list)
+    vocabulary: dict[bytes, int]
+    windows: np.ndarray  # a row for each window, zeros behind its words
+    sizes: np.ndarray
+    first_pair: np.ndarray
+    names: list[str]
+    owner_starts: np.ndarray  # where the items of each window begin in ``owners``
+    owners: np.ndarray  # places in ``names``
 
     def shortest(self) -> int:
-        return min(map(len, self.windows), default=0)
+        return int(self.sizes.min(initial=1 << 30)) if len(self.sizes) else 0
+
+    def items(self, window: int) -> list[str]:
+        return [self.names[k] for k in self.owners[self.owner_starts[window] : self.owner_starts[window + 1]]]
+
+    def possible(self, text: np.ndarray) -> np.ndarray:
+        """The windows whose words all stand in a shard's text, pair by pair."""
+        present = np.zeros(_FIRST + len(self.vocabulary), dtype=bool)
+        present[text] = True
+        pairs = np.zeros(1 << PAIR_BITS, dtype=bool)
+        both = (text[:-1] >= _FIRST) & (text[1:] >= _FIRST)
+        pairs[_pair(text[:-1][both], text[1:][both])] = True
+        live = np.flatnonzero((pairs[self.first_pair] | (self.sizes == 1)) & present[self.windows[:, 0]])
+        for k in range(1, self.windows.shape[1] - 1):
+            left, right = self.windows[live, k], self.windows[live, k + 1]
+            live = live[(right == 0) | pairs[_pair(left, right)]]
+            if not len(live):
+                break
+        return live
 
 
 def phrases(rows: list[tuple[object, bytes | None]], window: int = WINDOW) -> Phrases:
@@ -65,17 +95,29 @@ def phrases(rows: list[tuple[object, bytes | None]], window: int = WINDOW) -> Ph
     Rows of one item id count as one item.  A window of a row without an id still
     hits, but no item is named for it.
     """
-    out, found = Phrases(), defaultdict(set)
+    vocabulary: dict[bytes, int] = {}
+    names = sorted({str(item) for item, _ in rows if item is not None})
+    place = {name: k for k, name in enumerate(names)}
+    flat, lengths, owner = [], [], []
     for item, text in rows:
-        own = words(text)
-        ids = [out.vocabulary.setdefault(w, _FIRST + len(out.vocabulary)) for w in own]
-        for at in range(max(len(ids) - window + 1, 1) if ids else 0):
-            name = found[tuple(ids[at : at + window])]
-            if item is not None:
-                name.add(str(item))
-    out.windows = sorted(found)
-    out.items = [tuple(sorted(found[w])) for w in out.windows]
-    return out
+        if own := words(text):
+            flat += [vocabulary.setdefault(w, _FIRST + len(vocabulary)) for w in own]
+            lengths.append(len(own))
+            owner.append(place[str(item)] if item is not None else -1)
+    lengths, owner = np.array(lengths, dtype=np.int64), np.array(owner, dtype=np.int64)
+    padded = np.array([*flat, *[0] * window], dtype=np.int32)
+    sizes = np.minimum(lengths, window)
+    counts = lengths - sizes + 1
+    starts = ranges(np.cumsum(lengths) - lengths, counts)
+    matrix = padded[starts[:, None] + np.arange(window)]
+    matrix[np.arange(window) >= np.repeat(sizes, counts)[:, None]] = 0
+    matrix, number = np.unique(matrix, axis=0, return_inverse=True)
+    owned = np.stack([number.ravel(), np.repeat(owner, counts)], axis=1)
+    owned = np.unique(owned[owned[:, 1] >= 0], axis=0)
+    return Phrases(
+        vocabulary, matrix, (matrix > 0).sum(axis=1), _pair(matrix[:, 0], matrix[:, min(1, window - 1)]), names,
+        np.searchsorted(owned[:, 0], np.arange(len(matrix) + 1)), owned[:, 1],
+    )
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
@@ -125,21 +167,16 @@ class FMIndex:
         """How often each symbol stands among the first ``at`` of the transform."""
         return self._descend(symbols, at) - self.block[symbols]
 
-    def search(self, patterns: list[tuple[int, ...]]) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, patterns: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First and last row (exclusive) of the suffixes that start with each pattern."""
-        n = len(patterns)
-        low = np.zeros(n, dtype=np.int64)
-        high = np.full(n, len(self.last), dtype=np.int64)
-        sizes = np.fromiter(map(len, patterns), dtype=np.int64, count=n)
-        padded = np.zeros((n, int(sizes.max(initial=0))), dtype=np.int64)
-        for k, p in enumerate(patterns):
-            padded[k, : len(p)] = p
-        live = np.arange(n)
-        for step in range(padded.shape[1]):
+        low = np.zeros(len(patterns), dtype=np.int64)
+        high = np.full(len(patterns), len(self.last), dtype=np.int64)
+        live = np.arange(len(patterns))
+        for step in range(patterns.shape[1]):
             live = live[(sizes[live] > step) & (low[live] < high[live])]
             if not len(live):
                 break
-            symbol = padded[live, sizes[live] - 1 - step]
+            symbol = patterns[live, sizes[live] - 1 - step]
             low[live] = self.before[symbol] + self.rank(symbol, low[live])
             high[live] = self.before[symbol] + self.rank(symbol, high[live])
         return low, np.maximum(high, low)
@@ -186,15 +223,18 @@ def find(known: Phrases, texts: list[bytes | None]) -> list[tuple[int, np.ndarra
     origin = np.full(len(text), -1, dtype=np.int64)
     places, sources = ranges(at, length), ranges(first, length)
     text[places], origin[places], text[-1] = ids[sources], sources, _END
+    asked = known.possible(text)
+    if not len(asked):
+        return out
     index = FMIndex(text, _FIRST + len(known.vocabulary))
-    low, high = index.search(known.windows)
+    low, high = index.search(known.windows[asked], known.sizes[asked])
     count = high - low
     hits = np.flatnonzero(count)
     if not len(hits):
         return out
     begin = origin[index.locate(ranges(low[hits], count[hits]))]
-    which = np.repeat(hits, count[hits])
-    width = np.fromiter(map(len, known.windows), dtype=np.int64, count=len(known.windows))[which]
+    which = np.repeat(asked[hits], count[hits])
+    width = known.sizes[which]
     delta = np.bincount(begin, minlength=len(ids) + 1) - np.bincount(
         begin + width, minlength=len(ids) + 1
     )
@@ -202,7 +242,7 @@ def find(known: Phrases, texts: list[bytes | None]) -> list[tuple[int, np.ndarra
     doc = np.searchsorted(starts + sizes, begin, side="right")
     named = defaultdict(set)
     for d, w in set(zip(doc.tolist(), which.tolist(), strict=True)):
-        named[d].update(known.items[w])
+        named[d].update(known.items(w))
     for d in np.unique(doc):
         own = np.concatenate([[0], hit[starts[d] : starts[d] + sizes[d]].view(np.int8), [0]])
         edge = np.diff(own)
@@ -211,15 +251,16 @@ def find(known: Phrases, texts: list[bytes | None]) -> list[tuple[int, np.ndarra
     return out
 
 
-def merge(spans: list[list[int]]) -> list[list[int]]:
+def merged(spans: Column) -> Column:
     """Overlapping or touching spans as one."""
-    out: list[list[int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return out
+    def add(done: Column, span: Column) -> Column:
+        last = F.try_element_at(done, F.lit(-1))
+        longer = F.array(F.array(last[0], F.greatest(last[1], span[1])))
+        return F.when(
+            span[0] <= last[1], F.concat(F.slice(done, F.lit(1), F.size(done) - 1), longer)
+        ).otherwise(F.concat(done, F.array(span)))
+
+    return F.aggregate(F.array_sort(spans), F.array().cast(_SPANS), add)
 
 
 _SPANS = T.ArrayType(T.ArrayType(T.LongType()))
@@ -272,7 +313,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str], text:
                          _finder, shared)
         found = more.select(
             *names, "text", "n_words",
-            F.udf(lambda spans: merge(spans), _SPANS)(F.concat("spans", "spans2")).alias("spans"),
+            merged(F.concat("spans", "spans2")).alias("spans"),
             F.array_sort(F.array_distinct(F.concat("items", "items2"))).alias("items"),
         )
     return found.select(
