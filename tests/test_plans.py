@@ -265,6 +265,33 @@ def test_crossref_prefers_ids_and_flags_the_rest(spark):
 # -- loyalty ------------------------------------------------------------------
 
 
+def test_visits_are_never_broadcast_and_keep_their_copies(spark, tmp_path):
+    at = datetime(2024, 1, 2, 3, 4, 5)
+
+    def table(name, data, schema):
+        """Stored rows: their size is known and small."""
+        spark.createDataFrame(data, schema).write.parquet(str(tmp_path / name))
+        return spark.read.parquet(str(tmp_path / name))
+
+    visits = table(
+        "visits", [("1", "U1", "10", at), ("1", "U1", "10", at), ("2", "U9", "10", at), ("3", "U2", "11", at),
+                   (None, "U2", "12", at), ("5", None, "10", at)],
+        "visit_id string, user_id string, business_id string, visit_timestamp timestamp_ntz",
+    ).withColumns({"visit_type": F.lit("x"), "points_earned": F.lit(1), "cashback_amount": F.lit(2),
+                   "punch_count": F.lit(3)})
+    users = table("users", [("U1", 1), ("U2", 2), ("U2", 3)], "user_id string, user_key int")
+    shops = table("shops", [("10", 10, "VIP"), ("11", 11, None), ("12", 12, "VIP"), ("12", 13, "None")],
+                  "business_id string, business_key int, loyalty_type string")
+    types = table("types", [(0, "VIP"), (1, "None")], "loyalty_type_key int, loyalty_type_name string")
+    fact = loyalty.load_fact_visits(visits, users, shops, types)
+    plan = fact._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 2 and plan.count("BroadcastHashJoin") == 1
+    assert rows(fact, "visit_id", "date_key", "user_key", "business_key", "loyalty_type_key") == sorted(
+        [("1", 20240102, 1, 10, 0)] * 2
+        + [(None, 20240102, u, b, t) for u in (2, 3) for b, t in ((12, 0), (13, 1))], key=repr)
+
+
+
 @pytest.fixture(scope="module")
 def churn(spark):
     users = spark.createDataFrame(

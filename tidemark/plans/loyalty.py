@@ -59,13 +59,21 @@ def _flatten(raw: DataFrame, fields: dict[str, str]) -> DataFrame:
 def load_fact_visits(
     visits: DataFrame, users: DataFrame, businesses: DataFrame, types: DataFrame
 ) -> DataFrame:
-    """Visit fact: source ids replaced by the surrogate keys of the dimensions."""
-    keyed = star_join(visits, users, "user_id", "user_id", ["user_key"])
+    """Visit fact: source ids replaced by the surrogate keys of the dimensions.
+
+    Payloads weigh far more in memory than in their files, so file sizes must not
+    choose a side to broadcast: visits meet users and businesses in merge joins.
+    The programmes are a handful; they go to the businesses first, as a join of the
+    visits by programme would put all of them in as many tasks.
+    """
+    typed = star_join(
+        businesses, F.broadcast(types), "loyalty_type", _NAME, ["loyalty_type_key"]
+    )
+    keyed = star_join(visits.hint("merge"), users, "user_id", "user_id", ["user_key"])
     keyed = star_join(
-        keyed, businesses, "business_id", "business_id",
-        ["business_key", "loyalty_type"],
+        keyed.hint("merge"), typed, "business_id", "business_id",
+        ["business_key", "loyalty_type_key"],
     )
-    keyed = star_join(keyed, types, "loyalty_type", _NAME, ["loyalty_type_key"])
     return keyed.select(
         "visit_id", date_key(F.col("visit_timestamp")).alias("date_key"), "user_key",
         "business_key", "loyalty_type_key", "visit_type", "visit_timestamp",
