@@ -7,7 +7,7 @@ import pytest
 from conftest import SMALL, rows
 from pyspark.sql import functions as F
 
-from tidemark.plans import bikes, governance
+from tidemark.plans import bikes, catalog, governance
 from tidemark.plans.adapters import Tables
 from tidemark.sources import tables
 from tidemark.streaming import jobs
@@ -71,6 +71,25 @@ def test_silver_and_gold_equal_batch(spark, tmp_path, event_files, files_per_bat
     assert rows(spark.read.parquet(gold), *columns) == rows(build(batch), *columns)
 
 
+def test_a_large_batch_comes_in_files_of_bounded_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(catalog, "FILE_ROWS", 50, raising=False)
+    views, batches = Tables(spark, str(tmp_path)), []
+    views.__dict__["events"] = spark.range(1000).select(
+        F.when(F.col("id") < 998, F.col("id")).alias("event_id"), F.col("id").alias("value"))
+
+    def seen(batch, _batch_id):
+        batches.append([tuple(r) for r in batch.collect()])
+
+    for by in (["event_id"], []):
+        batches.clear()
+        rows_in = catalog._streamed(views, "events", views.events, *by).events
+        rows_in.select("value", F.input_file_name().alias("f")).writeStream.foreachBatch(seen).option(
+            "checkpointLocation", str(tmp_path / f"mark{len(by)}")).trigger(availableNow=True).start().awaitTermination()
+        assert len(batches) == 4
+        assert all(len({f for _, f in batch}) == 5 for batch in batches)
+        assert sorted(v for batch in batches for v, _ in batch) == list(range(1000))
+
+
 def test_two_checkpoints_and_a_reset_one_lose_nothing(spark, tmp_path, event_files):
     batch = bikes.silver_clean(
         Tables(spark, SMALL).bike_stations_raw(), with_ingestion=True)

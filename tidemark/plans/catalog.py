@@ -6,6 +6,7 @@ newest timestamp of the table in question.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -1514,24 +1515,26 @@ def _(t: Tables) -> DataFrame:
 
 # -- incremental jobs ---------------------------------------------------------
 
-STREAM_FILES = 4
+STREAM_BATCHES = 4
+#: A file is read by one task, so its rows are bounded and a large batch has many files.
+FILE_ROWS = 100_000
 
 
 def _event_stream(t: Tables) -> Tables:
-    """The same views over the events as a stream of several files.
+    """The same views over the events as a stream of several batches.
 
-    Files are dealt by key, so none follows another in time, and come one batch
-    each.
+    Rows are dealt to files by key, so none follows another in time.
     """
-    return _streamed(t, "events", t.events.repartition(STREAM_FILES, "event_id"))
+    return _streamed(t, "events", t.events, "event_id")
 
 
-def _streamed(t: Tables, name: str, rows: DataFrame) -> Tables:
+def _streamed(t: Tables, name: str, rows: DataFrame, *by: str) -> Tables:
     source = scratch_path(t.spark, "files")
-    rows.write.parquet(source)
+    files = max(1, math.ceil(rows.count() / (STREAM_BATCHES * FILE_ROWS)))
+    rows.repartition(STREAM_BATCHES * files, *by).write.parquet(source)
     stream = Tables(t.spark, t.folder)
     stream.__dict__[name] = jobs.file_stream(
-        t.spark, source, rows.schema, files_per_batch=1
+        t.spark, source, rows.schema, files_per_batch=files
     )
     return stream
 
@@ -1683,9 +1686,8 @@ def _(t: Tables) -> DataFrame:
     sink, mark = scratch_path(t.spark, "once"), scratch_path(t.spark, "mark")
     lines = t.lineitem.select("l_orderkey", "l_linenumber", "l_shipdate")
     # every line comes twice, in different files
-    twice = lines.unionAll(lines).repartition(STREAM_FILES)
     keys = ["l_orderkey", "l_linenumber"]
-    stream = _streamed(t, "lineitem", twice).lineitem.select(
+    stream = _streamed(t, "lineitem", lines.unionAll(lines)).lineitem.select(
         *keys, tables.key_bucket(keys, 8).alias(tables.BUCKET)
     )
     jobs.dedup_stream(stream, sink, keys, tables.BUCKET, mark)
