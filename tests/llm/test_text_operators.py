@@ -36,6 +36,59 @@ def test_cut_keeps_rows_in_order_and_long_texts_alone():
     assert all(sum(len(t or b"") for t in p) <= 10 or len(p) == 1 for p in parts)
 
 
+def test_process_keeps_what_one_operator_needs(monkeypatch):
+    import weakref
+
+    import pyarrow as pa
+
+    given = []
+    monkeypatch.setattr(common, "give_back", lambda: given.append(1))
+    batch = pa.RecordBatch.from_arrays([pa.array([7]), pa.array([b"a b c"])], names=["ref", "text"])
+    pieces = weakref.ref(piece_viterbi.encoder(PIECES))
+    assert piece_viterbi.encoder(PIECES) is pieces()
+    list(common.tidy(lambda batches: batches, piece_viterbi.__name__)([batch]))
+    assert pieces() is not None and len(given) == 1
+    list(common.tidy(jaccard._sets)([batch]))
+    assert pieces() is None and len(given) == 2
+    # a task that is left early gives back as well
+    left = common.tidy(jaccard._sets)([batch, batch])
+    next(left)
+    left.close()
+    assert len(given) == 3
+
+
+def test_worker_drops_what_the_operator_before_kept(spark):
+    import pyarrow as pa
+
+    def others(batches):
+        for batch in batches:
+            n = sum(owner != jaccard.__name__ for owner, _ in common._kept)
+            yield pa.RecordBatch.from_arrays([pa.array([n] * batch.num_rows, pa.int64())], names=["n"])
+
+    docs = spark.range(64).selectExpr("id AS doc_id", "concat('some words ', id) AS text").repartition(8)
+
+    def most(run):
+        return docs.select("doc_id").mapInArrow(run, "n long").agg(F.max("n")).first()[0]
+
+    piece_viterbi.encode_texts(docs, PIECES, ["doc_id"]).collect()
+    assert most(others) == 1
+    assert most(common.tidy(others, jaccard.__name__)) == 0
+
+
+def test_pieces_hold_the_words_of_one_text_at_a_time():
+    import tracemalloc
+
+    tool = piece_viterbi.Encoder(PIECES)
+    texts = [b"ab cd. " * 3000] * 40
+    alone = tool.encode(texts[:1])
+    tracemalloc.start()
+    ids, sizes = tool.encode(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert ids.tolist() == alone[0].tolist() * 40 and sizes.tolist() == alone[1].tolist() * 40
+    assert peak < 120 * len(texts) * 6000
+
+
 # -- token counts and files ---------------------------------------------------
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tidemark.llm.common import checkpointed, cut, map_texts, prepare, ranges
+from tidemark.llm.common import checkpointed, cut, map_texts, prepare, ranges, tidy
 
 WINDOW = 10
 #: Every so many text positions the suffix position of a row is kept.
@@ -400,7 +400,7 @@ def _cutter(change, arrow: pa.Schema, at: int, size_at: int | None):
                         columns[size_at] = pa.array(sizes, arrow.field(size_at).type)
                 yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
-    return run
+    return tidy(run)
 
 
 def clean(known: Phrases, texts: list[bytes | None]) -> dict[int, bytes]:

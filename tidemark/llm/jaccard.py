@@ -42,12 +42,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import cut, prepare, ranges, stored
+from tidemark.llm.common import cut, kept, prepare, ranges, stored, tidy
 
 WORDS = 5
 #: Fixed size of the count sketch: counters, and counters in one of its rows.
 COUNTERS, CHUNK = 1 << 22, 1 << 18
-#: Words whose hash a task remembers.
+#: Words whose hash a process remembers.
 CACHE = 100_000
 #: Columns of a row that the first product uses: those of smallest hash.
 STAR_COLUMNS = 8
@@ -70,9 +70,6 @@ class _Hashes(dict):
         return value
 
 
-_hashes = _Hashes()
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -85,11 +82,12 @@ def shingle_sets(texts: list[bytes | None]) -> list[np.ndarray]:
     Words are runs without ASCII white space, A-Z lower-cased.  A text of fewer than
     ``WORDS`` words is one shingle, a text without words none.
     """
-    split = [(t or b"").lower().split() for t in texts]
+    hashes = kept(__name__, "words", _Hashes)
     out = []
-    for words in split:
+    for text in texts:
+        words = (text or b"").lower().split()
         n = len(words)
-        a = np.fromiter(map(_hashes.__getitem__, words), dtype=np.uint64, count=n)
+        a = np.fromiter(map(hashes.__getitem__, words), dtype=np.uint64, count=n)
         if n >= WORDS:
             h = a[: n - WORDS + 1] * _FACTORS[0]
             for k in range(1, WORDS):
@@ -168,9 +166,9 @@ def _sum_sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _levels(sketch: DataFrame) -> np.ndarray:
     """The sketch over all texts on a logarithmic scale, one byte a counter."""
-    rows = sketch.repartition(32).mapInArrow(_sum_sketch, "chunk int, counts binary")
+    rows = sketch.repartition(32).mapInArrow(tidy(_sum_sketch), "chunk int, counts binary")
     rows = rows.repartition(COUNTERS // CHUNK, "chunk")
-    rows = rows.mapInArrow(_sum_sketch, "chunk int, counts binary")
+    rows = rows.mapInArrow(tidy(_sum_sketch), "chunk int, counts binary")
     out = np.zeros(COUNTERS, dtype=np.uint8)
     for r in rows.toLocalIterator():  # COUNTERS counters in all
         counts = np.frombuffer(zlib.decompress(r.counts), "<u4").astype(np.float64)
@@ -284,14 +282,14 @@ def _linked(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame
     wanted = stored(classes.join(refs, "ref", "left_semi").select("ref", "key"), "wanted")
     if wanted.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
-    sets = texts.join(wanted, "key").select("ref", "text").mapInArrow(_sets, "ref long, hashes binary")
+    sets = texts.join(wanted, "key").select("ref", "text").mapInArrow(tidy(_sets), "ref long, hashes binary")
     sets = stored(sets.dropDuplicates(["ref"]), "sets")
     both = (
         pairs.join(sets.select(F.col("ref").alias("a"), F.col("hashes").alias("ha")), "a")
         .join(sets.select(F.col("ref").alias("b"), F.col("hashes").alias("hb")), "b")
         .select("a", "b", "ha", "hb")
     )
-    return stored(both.mapInArrow(_overlaps, "a long, b long"), "links")
+    return stored(both.mapInArrow(tidy(_overlaps), "a long, b long"), "links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -336,7 +334,7 @@ def grouped(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
             T.StructField("chunk", T.IntegerType()), T.StructField("counts", T.BinaryType()),
         ]
     )
-    seen = stored(texts.mapInArrow(_survey, survey), "survey")
+    seen = stored(texts.mapInArrow(tidy(_survey), survey), "survey")
     sketch = seen.where("chunk is not null").select("chunk", "counts")
     levels = spark.sparkContext.broadcast(_levels(sketch))  # COUNTERS bytes
     rows = seen.where("chunk is null").select("key", "mark", "n", "ref")
@@ -362,7 +360,7 @@ def grouped(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
 def _links(texts: DataFrame, classes: DataFrame, levels) -> DataFrame:
     """Links (a, b) between sets that join the same components as all links do."""
     postings = stored(
-        texts.select("text").mapInArrow(_postings(levels), "h long, ref long, n int, pos int"),
+        texts.select("text").mapInArrow(tidy(_postings(levels)), "h long, ref long, n int, pos int"),
         "postings",
     )
     common = postings.groupBy("h").count().where("count > 1").select("h")

@@ -20,7 +20,6 @@ from __future__ import annotations
 import re
 import zlib
 from array import array
-from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -29,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from sentencepiece import sentencepiece_model_pb2
 
-from tidemark.llm.common import map_texts, ranges
+from tidemark.llm.common import kept, map_texts, ranges
 
 UNKNOWN_COST = 10.0
 #: Distinct words that a task remembers.
@@ -147,30 +146,26 @@ class Encoder:
 
     def encode(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in turn, and how many each has."""
-        split = [
-            self.word.findall(self.prefix + t.decode("utf-8", "replace").replace(SPACE, " "))
-            if t
-            else []
-            for t in texts
-        ]
         if len(self.known) > CACHE:
             self._clear()
         known, counts, flat = self.known, self.counts, self.flat
-        for word in set(chain.from_iterable(split)).difference(known):
-            path = self.best_path(word.replace(" ", SPACE))
-            known[word] = len(counts)
-            counts.append(len(path))
-            flat.extend(path)
-        total = sum(map(len, split))
-        numbers = np.fromiter(
-            map(known.__getitem__, chain.from_iterable(split)), dtype=np.int64, count=total
-        )
+        numbers = [np.zeros(0, dtype=np.int64)]  # the words of one text at a time are strings
+        for t in texts:
+            words = self.word.findall(self.prefix + t.decode("utf-8", "replace").replace(SPACE, " ")) if t else []
+            for word in set(words).difference(known):
+                path = self.best_path(word.replace(" ", SPACE))
+                known[word] = len(counts)
+                counts.append(len(path))
+                flat.extend(path)
+            numbers.append(np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words)))
+        n_words = [len(x) for x in numbers[1:]]
+        numbers = np.concatenate(numbers)
         sizes = np.array(counts, dtype=np.int64)
         starts = np.cumsum(sizes) - sizes
         per_word = sizes[numbers]
         ids = np.array(flat, dtype=np.uint32)[ranges(starts[numbers], per_word)]
-        doc = np.repeat(np.arange(len(split)), [len(s) for s in split])
-        return ids, np.bincount(doc, per_word, minlength=len(split)).astype(np.int64)
+        doc = np.repeat(np.arange(len(texts)), n_words)
+        return ids, np.bincount(doc, per_word, minlength=len(texts)).astype(np.int64)
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of pieces, without the blank put before a text."""
@@ -179,14 +174,9 @@ class Encoder:
         return text[1:] if self.prefix and text.startswith(" ") else text
 
 
-_loaded: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
     """This process's encoder of a model file; later tasks find its words known."""
-    if path not in _loaded:
-        _loaded[path] = Encoder(path)
-    return _loaded[path]
+    return kept(__name__, path, lambda: Encoder(path))
 
 
 def library_encoder(path: str) -> sentencepiece.SentencePieceProcessor:
