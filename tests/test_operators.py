@@ -200,6 +200,35 @@ def test_matches_against_brute_force(spark, edits):
     assert rows(got, "left_id", "right_id", "distance") == sorted(expected, key=repr)
 
 
+@pytest.mark.parametrize("edits", [1, 2])
+def test_variants_are_all_texts_left_once(spark, edits):
+    for text in ("", "a", "aab", "abab", "éaaé"):
+        left = {text}
+        for _ in range(edits):
+            left |= {t[:i] + t[i + 1:] for t in left for i in range(len(t))}
+        found = [r.v for r in matching.with_variants(spark.createDataFrame([(text,)], "t string"), "t", edits).collect()]
+        assert set(found) == left
+        assert edits == 2 or len(found) == len(left)
+
+
+def test_matches_of_sides_that_differ_by_one_join(spark):
+    rng = random.Random(3)
+    table = [(i, "".join(rng.choice("ab") for _ in range(rng.randrange(0, 5))), "x", rng.choice("pqr")) for i in range(80)]
+    table += [(100 + i, "long name", "x", "p") for i in range(20)] + [(200, None, "x", "q"), (201, "a", None, "r"), (202, "a", "x", None)]
+    expected = []
+    for i, a, c, s in table:
+        fits = [(levenshtein(a, b), j) for j, b, d, o in table
+                if None not in (a, b, c, d, s, o) and c == d and s != o and levenshtein(a, b) <= 1]
+        if fits:
+            expected.append((i, min(fits)[1], min(fits)[0]))
+    df = spark.createDataFrame(table, "id int, name string, city string, system string")
+    got = matching.propose_matches(df, df, apart="system")
+    assert rows(got, "left_id", "right_id", "distance") == sorted(expected, key=repr)
+    # all sides spell their names once: one explode for each end of a pair
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode") == 2
+
+
 # -- metrics ------------------------------------------------------------------
 
 

@@ -58,16 +58,11 @@ def name_links(accounts: DataFrame, rest: DataFrame, systems: tuple[str, ...], e
 
     Accounts without a name or a city have no such match.
     """
-    usable = "name <> '' and city <> ''"
-    columns = ["id", "name", "city"]
-    found = []
-    for system in systems:
-        left = rest.where((F.col("system") == system) & F.expr(usable)).select(*columns)
-        right = accounts.where((F.col("system") != system) & F.expr(usable)).select(*columns)
-        found.append(propose_matches(left, right, edits))
-    return reduce(DataFrame.unionByName, found).select(
-        F.col("left_id").alias("src"), F.col("right_id").alias("dst"), "similarity"
-    )
+    usable = F.expr("name <> '' and city <> ''")
+    columns = ["id", "name", "city", "system"]
+    left = rest.where(F.col("system").isin(list(systems)) & usable).select(*columns)
+    found = propose_matches(left, accounts.where(usable).select(*columns), edits, apart="system")
+    return found.select(F.col("left_id").alias("src"), F.col("right_id").alias("dst"), "similarity")
 
 
 def _component_keys(members: DataFrame, known: DataFrame | None) -> DataFrame:
@@ -114,8 +109,8 @@ def entity_members(
     or an id are left out; repeated accounts count once.
     """
     vertices = stored(_accounts(accounts).where(F.col("system").isin(list(systems))), "accounts")
-    by_id = business_links(vertices)
-    rest = vertices.join(by_id.select(F.col("src").alias("id")), "id", "left_anti")
+    by_id = stored(business_links(vertices), "links-by-id")
+    rest = stored(vertices.join(by_id.select(F.col("src").alias("id")), "id", "left_anti"), "rest")
     by_name = name_links(vertices, rest, systems, edits)
     empty = by_id.where("false")
     accepted = empty
