@@ -138,6 +138,21 @@ def test_a_full_cache_starts_anew(monkeypatch):
     assert got == list(map(len, library_ids(texts)))
 
 
+def test_full_cache_keeps_the_frequent_pretokens(monkeypatch):
+    monkeypatch.setattr(token_counts, "CACHE", 8)
+    made = []
+    pieces = token_counts.Pretokens._pieces
+    monkeypatch.setattr(token_counts.Pretokens, "_pieces", lambda self, n: made.append(n) or pieces(self, n))
+    table, tokenizer = token_counts.Pretokens(WORDS, with_ids=True), Tokenizer.from_file(WORDS)
+    for k in range(40):
+        texts = [f"the unto{k}ward über the", f"über rar{k}ity x{k}ß"]
+        flat, n = table.encoded([t.encode() for t in texts])
+        want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+        assert flat.tolist() == sum(want, []) and n.tolist() == [len(w) for w in want]
+        assert len(table.known) <= 8 + 12 and len(table.counts) == len(table.known)
+    assert made.count("the") == 1 and made.count("über") == 1
+
+
 def test_count_tokens_on_awkward_rows(spark):
     docs = awkward(spark)
     got = {r.doc_id: (r.n_bytes, r.n_tokens) for r in token_counts.count_tokens(docs, WORDS, ["doc_id"]).collect()}

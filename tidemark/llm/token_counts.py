@@ -47,13 +47,15 @@ def _rules(part) -> dict:
 
 
 class _Numbers(dict):
-    """A number for each name; ``add`` gives that of a new one."""
+    """A number for each name, in the order of their first use; ``fresh`` lists the latest."""
 
-    def __init__(self, add) -> None:
-        self.add = add
+    def __init__(self, names=()) -> None:
+        super().__init__(zip(names, range(len(names)), strict=True))
+        self.fresh = []
 
     def __missing__(self, name: str) -> int:
-        self[name] = number = self.add(name)
+        self[name] = number = len(self)
+        self.fresh.append(name)
         return number
 
 
@@ -78,14 +80,30 @@ class Pretokens:
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in shown]
         self.byte_level = {b: b for b in shown} | {b: 256 + i for i, b in enumerate(hidden)}
+        self.hidden = frozenset(map(chr, hidden))
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.with_ids, self.model = with_ids, self.tokenizer.model
         self._clear()
 
     def _clear(self) -> None:
-        self.known = _Numbers(self._add)
+        self.known, self.uses = _Numbers(), np.zeros(0, dtype=np.int64)
         self.counts, self.ids = array("q"), array("I")
 
+    def _forget(self) -> None:
+        """Drop what was used once only, or of more than half a cache all but the most used."""
+        kept = np.flatnonzero(self.uses > 1)
+        if len(kept) > CACHE // 2:
+            kept = np.sort(kept[np.argsort(-self.uses[kept], kind="stable")[: CACHE // 2]])
+        sizes, names = self.sizes(), list(self.known)
+        self.known = _Numbers([names[i] for i in kept])
+        # what stays has to be used again to stay the next time
+        self.uses = np.zeros(len(kept), dtype=np.int64)
+        self.counts = array("q", sizes[kept].tobytes())
+        if self.with_ids:
+            starts = np.cumsum(sizes) - sizes
+            ids = np.array(self.ids, dtype=np.uint32)[ranges(starts[kept], sizes[kept])]
+            self.ids = array("I", ids.tobytes())
+
     def split(self, text: bytes) -> list[str]:
         """Names of the pre-tokens of a text, in order."""
         text = text.decode("utf-8", "replace")
@@ -109,25 +127,37 @@ class Pretokens:
     def _pieces(self, name: str) -> list[int]:
         """Ids of a pre-token."""
         if not name.startswith(_LIBRARY):
-            word = name if name.isascii() else name.encode().decode("latin-1").translate(self.byte_level)
+            word = name
+            if not name.isascii():
+                word = name.encode().decode("latin-1")
+                if not self.hidden.isdisjoint(word):
+                    word = word.translate(self.byte_level)
         elif name.startswith(_SPECIAL):
             return self.tokenizer.encode(name[len(_SPECIAL) :], add_special_tokens=False).ids
         else:
             word = name[len(_LIBRARY) :]
         return [t.id for t in self.model.tokenize(word)]
 
-    def _add(self, name: str) -> int:
-        pieces = self._pieces(name)
-        self.counts.append(len(pieces))
-        if self.with_ids:
-            self.ids.extend(pieces)
-        return len(self.counts) - 1
+    def _add(self, names: list[str]) -> None:
+        pieces, counts, ids = self._pieces, self.counts, self.ids
+        for name in names:
+            found = pieces(name)
+            counts.append(len(found))
+            if self.with_ids:
+                ids.extend(found)
 
     def numbers(self, names: list[str]) -> np.ndarray:
         """The number of each pre-token; valid until the next call."""
         if len(self.known) > CACHE:
-            self._clear()
-        return np.fromiter(map(self.known.__getitem__, names), dtype=np.int64, count=len(names))
+            self._forget()
+        known = self.known
+        found = np.fromiter(map(known.__getitem__, names), dtype=np.int64, count=len(names))
+        self._add(known.fresh)
+        known.fresh = []
+        uses = np.bincount(found, minlength=len(known))
+        uses[: len(self.uses)] += self.uses
+        self.uses = uses
+        return found
 
     def sizes(self) -> np.ndarray:
         return np.array(self.counts, dtype=np.int64)

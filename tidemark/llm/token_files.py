@@ -42,12 +42,17 @@ def pack(values: np.ndarray) -> bytes:
     """Header, control bytes and data bytes of unsigned 32-bit values."""
     values = np.ascontiguousarray(values, dtype="<u4")
     n = len(values)
-    sizes = 1 + (values > 0xFF).astype(np.int64) + (values > 0xFFFF) + (values > 0xFFFFFF)
     padded = np.zeros(-(-n // 4) * 4, dtype=np.uint8)
-    padded[:n] = sizes - 1
+    longer = [np.flatnonzero(values >= 1 << 8 * k) for k in (1, 2, 3)]
+    for more in longer:
+        padded[more] += 1
     quads = padded.reshape(-1, 4)
     control = quads[:, 0] | quads[:, 1] << 2 | quads[:, 2] << 4 | quads[:, 3] << 6
-    data = values.view(np.uint8).reshape(n, 4)[np.arange(4) < sizes[:, None]]
+    places = np.arange(n) + np.cumsum(padded[:n], dtype=np.int64) - padded[:n]
+    data = np.empty(n + sum(map(len, longer)), dtype=np.uint8)
+    data[places] = values & 0xFF
+    for k, more in enumerate(longer, 1):
+        data[places[more] + k] = values[more] >> np.uint32(8 * k) & 0xFF
     return _MAGIC + struct.pack("<q", n) + control.astype(np.uint8).tobytes() + data.tobytes()
 
 
